@@ -128,21 +128,21 @@ class Matcher:
 HITS = "doc_id bigint, n_words bigint, spans array<struct<start: int, n: int>>, items array<string>"
 
 
-def occurrences(docs: DataFrame, windows: DataFrame, blocks: int) -> list[DataFrame]:
-    """For each block of the benchmark: every document row with n_words, the spans of words hit and the items that occur."""
+def matchers(docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int) -> list:
+    """A broadcast matcher for each block of the benchmark (one that holds None for an empty benchmark)."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    windows = materialize(item_windows(benchmark, window).groupBy("words").agg(F.collect_set("item_id").alias("items")), "item-windows")
+    blocks = max(1, -(-windows.count() // block_windows))
     out = []
     for k in range(blocks):
-        rows = (windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("words"), blocks) == k)).collect()
+        rows = (windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)).collect()
         split = [tuple(r.words.encode().split(b" ")) for r in rows]
         matcher = None
         if rows:
             vocabulary = sorted({w for ws in split for w in ws})
             matcher = Matcher(split, [sorted(x for x in r["items"] if x is not None) for r in rows], word_counts(docs, vocabulary))
-        shared = spark.sparkContext.broadcast(matcher)
-        out.append(only(docs, "doc_id", "text").mapInArrow(functools.partial(_hits, shared), HITS))
+        out.append(spark.sparkContext.broadcast(matcher))
     return out
 
 
@@ -183,15 +183,32 @@ def _digest(batches):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    docs = only(docs, "doc_id", "text")
-    windows = materialize(item_windows(benchmark, window).groupBy("words").agg(F.collect_set("item_id").alias("items")), "item-windows")
-    blocks = max(1, -(-windows.count() // block_windows))
-    if blocks == 1:
-        return occurrences(docs, windows, 1)[0].mapInArrow(_digest, schema)
-    # a row's hits from all blocks meet again under its key, so several blocks number the rows first
+    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    blocks = matchers(docs, benchmark, window, block_windows)
+    if len(blocks) == 1:
+        return docs.mapInArrow(functools.partial(_hits, blocks[0]), HITS).mapInArrow(_digest, schema)
+    # a row's hits from all blocks meet again under its number
     numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
     keyed = numbered.select(F.col("row").alias("doc_id"), "text")
-    parts = functools.reduce(DataFrame.unionByName, occurrences(keyed, windows, blocks))
+    parts = functools.reduce(DataFrame.unionByName, [keyed.mapInArrow(functools.partial(_hits, m), HITS) for m in blocks])
     both = parts.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    found = both.join(numbered.select(F.col("row").alias("doc_id"), F.col("doc_id").cast("long").alias("_id")), "doc_id").select(F.col("_id").alias("doc_id"), "n_words", "spans", "items")
+    found = both.withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_words", "spans", "items")
     return found.mapInArrow(_digest, schema)
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs; block after block, without a shuffle."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for m in matchers(docs, benchmark, window, block_windows):
+        docs = docs.mapInArrow(functools.partial(_clean, m), schema)
+    return docs
+
+
+def _clean(shared, batches):
+    matcher = shared.value
+    for b in batches_of(batches, "text"):
+        doc, _, _ = matcher.batch(*_flat(b)) if matcher else (np.zeros(0, np.int64),) * 3
+        keep = np.ones(b.num_rows, dtype=bool)
+        keep[doc] = False
+        if keep.any():
+            yield b.filter(pa.array(keep))

@@ -36,8 +36,8 @@ GROUP_ROWS = 20_000
 FAN = 16
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (signed long) of each document; bit k is set if it is set in over half of the shingles' hashes."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key: bool = False) -> DataFrame:
+    """doc_id and fp (signed long) of each document, and a hash of its text as tk if asked for; bit k is set if it is set in over half of the shingles' hashes."""
     bound_arrow(docs.sparkSession)
 
     def run(b: pa.RecordBatch) -> dict:
@@ -62,9 +62,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             for k in range(64):
                 ones = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(1), starts)
                 fp[full] |= (ones * np.uint64(2) > n[full].astype(np.uint64)).astype(np.uint64) << np.uint64(k)
-        return {"doc_id": b.column("doc_id"), "fp": pa.array(signed(fp))}
+        return {n: b.column(n) for n in kept} | {"fp": pa.array(signed(fp))}
 
-    return map_arrow(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id bigint, fp bigint", "text", 4 << 20)
+    kept = ["doc_id", "tk"] if key else ["doc_id"]
+    rows = only(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "tk": F.xxhash64("text")})
+    return map_arrow(rows.select(*kept, "text"), run, ", ".join(f"{n} bigint" for n in [*kept, "fp"]), "text", 4 << 20)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -310,18 +312,40 @@ def components(edges: DataFrame) -> DataFrame:
         now = nxt
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """fp and root, the smallest fingerprint that chains of links reach, of each distinct fingerprint in a written table."""
+    distinct = materialize(fps.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints-distinct").select("fp")
+    roots = components(links(distinct, bits))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that chains of links reach."""
-    fps = materialize(fingerprints(docs), "fingerprints")
-    firsts = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints-first")
-    roots = components(links(firsts.select("fp"), bits))
-    classes = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    fps = materialize(fingerprints(docs, shingle), "fingerprints")
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = firsts.join(classes(fps, bits), "fp")
+    ids = found.groupBy("root").agg(F.min("first").alias("component_id"))
     # one row a fingerprint; a fingerprint that many documents have is a hot key, which adaptive skew joins split
-    of = materialize(classes.join(ids, "root").select("fp", "component_id"), "simhash-classes")
+    of = materialize(found.join(ids, "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_of_each_group(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with all their columns, of which no other row of their group comes before: smallest doc_id, nulls last, then smallest text hash."""
+    keyed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
+    fps = materialize(fingerprints(docs, shingle, key=True), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk"))
+    by_fp = fps.groupBy("fp").agg(first.alias("k"))
+    chosen = by_fp.join(classes(fps, bits), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.doc_id", "k.tk")
+    rows = fps.groupBy("doc_id", "tk").agg(F.count("*").alias("n"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tk"] == b["tk"])
+    kept = materialize(chosen.join(rows, same(chosen, rows)).select(chosen["doc_id"].alias("_id"), chosen["tk"].alias("_k"), "n"), "simhash-kept")
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_k")))
+    once = found.where("n = 1").select(*docs.columns)
+    repeated = found.where("n > 1").groupBy("_id", "_k").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+    return once.unionByName(repeated)
+
+
 def hex_of(fp: str):
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -197,37 +197,60 @@ def _kept(b: pa.RecordBatch, window: int) -> tuple[Words, np.ndarray]:
     return words, np.cumsum(edge[:-1]) == 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the kept words joined by one space)."""
+def decide(docs: DataFrame, window: int, anchor: int, batches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: a row per document (KEY, n_words, sha); KEY of those whose whole word sequence a smaller document has; and KEY with removed spans."""
     profiles = materialize(profile(docs, window, anchor), "profiles")
     heads = profiles.select(*KEY, "n_words", "sha")
-    # copies of a smaller document's whole word sequence: all words go, if it has a window
-    firsts = heads.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    sized = heads.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
+    firsts = sized.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    copies = materialize(sized.select(*KEY, "sha").join(firsts, ["doc_id", "sha"], "left_anti").select(*KEY).distinct(), "copies")
     own = profiles.join(firsts, ["doc_id", "sha"], "left_semi")
     spans = materialize(removed_spans(docs, own, window, anchor, batches), "spans")
-    state = heads.join(firsts.withColumn("is_first", F.lit(True)), ["doc_id", "sha"], "left").join(spans.select(*KEY, F.lit(True).alias("cut")), KEY, "left")
-    state = state.withColumn("copy", (F.col("n_words") >= window) & F.col("doc_id").isNotNull() & F.col("is_first").isNull())
-    texts = _keyed(docs)
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
+    return heads, copies, spans
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space)."""
+    heads, copies, spans = decide(docs, window, anchor, batches)
 
     def cut(b: pa.RecordBatch) -> dict:
         words, keep = _kept(b, window)
-        vocab, shas, texts_, removed = words.vocab, [], [], []
-        for a, e in itertools.pairwise(words.offsets.tolist()):
-            k = keep[a:e]
-            joined = b" ".join([vocab[c] for c in words.codes[a:e][k].tolist()])
+        shas, removed = [], []
+        for joined, n in _joined(words, keep):
             shas.append(hashlib.sha256(joined).hexdigest())
-            texts_.append(joined)
-            removed.append(e - a - int(k.sum()))
-        out = {"doc_id": b.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas)}
-        return out | ({"kept_text": pa.array(texts_, pa.binary()).cast(pa.string())} if with_text else {})
-
-    changed = map_arrow(texts.join(spans, KEY), cut, schema, "text")
-    rest = state.where(F.col("cut").isNull())
-    if with_text:
-        rest = rest.join(texts.dropDuplicates(KEY).withColumnRenamed("text", "_text"), [rest.doc_id.eqNullSafe(texts.doc_id), rest.tk == texts.tk], "left").drop(texts.doc_id).drop(texts.tk)
-    rest = rest.select(
-        "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"),
-        *([F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("_text", F.lit(""))).alias("kept_text")] if with_text else []),
-    )
+            removed.append(n)
+        return {"doc_id": b.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+
+    changed = map_arrow(_keyed(docs).join(spans, KEY), cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", "text")
+    rest = heads.join(spans.select(*KEY), KEY, "left_anti").join(copies.withColumn("copy", F.lit(True)), KEY, "left")
+    copy = F.col("copy").isNotNull()
+    rest = rest.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
     return changed.unionByName(rest)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
+    """The rows of docs, of doc_id, text and any other columns, without repeated passages. Rows that lose none keep their text as it is; the others' words are joined by
+    one space, and n_chars, if there is one, counts them anew. Rows of which nothing is left go."""
+    _, copies, spans = decide(docs, window, anchor, batches)
+    names = docs.columns
+    keyed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "tk": F.xxhash64("text")})
+    rest = keyed.join(copies.unionByName(spans.select(*KEY)), KEY, "left_anti").select(*names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+
+    def cut(b: pa.RecordBatch) -> dict:
+        words, keep = _kept(b, window)
+        texts = pa.array([joined for joined, _ in _joined(words, keep)], pa.binary()).cast(pa.string())
+        return {n: texts if n == "text" else b.column(n) for n in names}
+
+    changed = map_arrow(keyed.join(spans, KEY), cut, schema, "text").where("text <> ''")
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.length("text").cast(rest.schema["n_chars"].dataType))
+    return rest.unionByName(changed)
+
+
+def _joined(words: Words, keep: np.ndarray):
+    """Each text's kept words, one space apart, and how many it lost."""
+    vocab = words.vocab
+    for a, e in itertools.pairwise(words.offsets.tolist()):
+        k = keep[a:e]
+        yield b" ".join([vocab[c] for c in words.codes[a:e][k].tolist()]), e - a - int(k.sum())
