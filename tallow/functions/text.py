@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -63,20 +63,21 @@ def _fold(text: Column) -> Column:
     return _unmarked(F.coalesce(text, F.lit("")))
 
 
-def detect_language(text: Column, words: dict[str, list[str]] = LANGUAGE_WORDS, strong: dict[str, list[str]] = STRONG_WORDS) -> Column:
-    """el or ru by script; else the language with most distinct function words, a strong word counting three more. 'unknown' for fewer than three
-    words, no hit, or a tie at the top."""
-    low = _fold(text)
-    count = lambda pattern: F.length(F.regexp_replace(low, pattern, ""))
-    greek, cyrillic, latin = count(r"[^\p{IsGreek}]"), count(r"[^\p{IsCyrillic}]"), count(r"[^\p{IsLatin}]")
-    tokens = F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))
-    distinct = F.array_distinct(tokens)
-    hits = lambda of: F.size(F.array_intersect(distinct, F.array(*map(F.lit, of)))) if of else F.lit(0)
+def with_language(rows: DataFrame, text: str = "text", name: str = "language", words: dict[str, list[str]] = LANGUAGE_WORDS, strong: dict[str, list[str]] = STRONG_WORDS) -> DataFrame:
+    """Adds the language: el or ru by script; else the one with most distinct function words, a strong word counting three more. 'unknown' for fewer than
+    three words, no hit, or a tie at the top. Each step is a column of its own, so that none is computed twice."""
+    foreign = F.col("_low").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")
+    count = lambda pattern: F.when(foreign, F.regexp_count("_low", F.lit(pattern))).otherwise(0)
+    hits = lambda of: F.size(F.array_intersect("_distinct", F.array(*map(F.lit, of)))) if of else F.lit(0)
     scores = F.array(*[F.struct((hits(w) + 3 * hits(strong.get(k, []))).alias("n"), F.lit(k).alias("lang")) for k, w in words.items()])
-    best = F.array_max(F.transform(scores, lambda s: s["n"]))
-    top = F.filter(scores, lambda s: s["n"] == best)
-    by_words = F.when((F.size(tokens) < 3) | (best == 0) | (F.size(top) > 1), "unknown").otherwise(top[0]["lang"])
-    return F.when((greek > cyrillic) & (greek > latin), "el").when((cyrillic > greek) & (cyrillic > latin), "ru").otherwise(by_words)
+    top, second = F.col("_ranked")[0], F.col("_ranked")[1]
+    by_words = F.when((F.col("_n") < 3) | (top["n"] == 0) | (top["n"] == second["n"]), "unknown").otherwise(top["lang"])
+    out = rows.withColumn("_low", _fold(F.col(text)))
+    out = out.withColumns({"_tokens": F.regexp_extract_all("_low", F.lit("[a-z]+"), F.lit(0)), "_greek": count(r"\p{IsGreek}"), "_cyrillic": count(r"\p{IsCyrillic}"), "_latin": count(r"\p{IsLatin}")})
+    out = out.withColumns({"_n": F.size("_tokens"), "_distinct": F.array_distinct("_tokens")})
+    out = out.withColumn("_ranked", F.sort_array(scores, asc=False))
+    script = F.when((F.col("_greek") > F.col("_cyrillic")) & (F.col("_greek") > F.col("_latin")), "el").when((F.col("_cyrillic") > F.col("_greek")) & (F.col("_cyrillic") > F.col("_latin")), "ru")
+    return out.withColumn(name, script.otherwise(by_words)).select(*[F.col(f"`{c}`") for c in rows.columns if c != name], name)
 
 
 def any_of(*conditions: Column) -> Column:

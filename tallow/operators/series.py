@@ -34,12 +34,17 @@ def select_series(rows: DataFrame, preferences: list[str], most: int, study: str
     inside = Window.partitionBy(study, "plane", "contrast").orderBy(uid)
     few = rows.select(study, uid, "plane", "contrast").distinct().withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= need)
     grouped = few.groupBy(study).agg(F.array_sort(F.collect_list(F.struct(F.col(uid).alias("uid"), "plane", "contrast"))).alias("s"))
-    taken = F.array().cast("array<string>")
+    grouped = grouped.withColumn("_t", F.array().cast("array<string>"))
     for p in preferences:
-        fit = F.filter("s", lambda x, p=p, t=taken: matches(p, x["plane"], x["contrast"]) & ~F.array_contains(t, x["uid"].cast("string")))
-        taken = F.concat(taken, F.slice(F.transform(fit, lambda x: x["uid"].cast("string")), 1, 1))
+        grouped = grouped.withColumn("_t", _take_one(p, F.col("s"), F.col("_t")))
     every = F.transform("s", lambda x: x["uid"].cast("string"))
-    return grouped.select(study, F.slice(F.concat(taken, F.array_except(every, taken)), 1, most).alias("uids"))
+    return grouped.select(study, F.slice(F.concat("_t", F.array_except(every, F.col("_t"))), 1, most).alias("uids"))
+
+
+def _take_one(preference: str, found: Column, taken: Column) -> Column:
+    """The taken uids and the first unseen one that fits."""
+    fit = F.filter(found, lambda x: matches(preference, x["plane"], x["contrast"]) & ~F.array_contains(taken, x["uid"].cast("string")))
+    return F.concat(taken, F.slice(F.transform(fit, lambda x: x["uid"].cast("string")), 1, 1))
 
 
 def slots(selected: DataFrame, most: int, study: str = "study") -> DataFrame:

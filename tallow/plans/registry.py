@@ -1,6 +1,282 @@
-"""All queries of the engine's own operators, and the SQL for each."""
+"""All queries of the engine's own operators, each a function of (spark, sf_dir) over whole tables, and the SQL for each."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import normalize, with_language
+from ..operators import evaluate, labels, ranks, replies, series, vectors, votes
+from ..sources.store import config_key, shard_key
+from . import views as V
+from .oracles import ORACLES as ORACLES
+from .weights import GW, UW, VW
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+PREFERENCES = ["N_O", "R_any", "any_F"]
+WINDOWS = (0.0, 0.5)
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _detected(s: SparkSession, d: str) -> DataFrame:
+    return with_language(V.documents(s, d).select("doc_id", "lang", "text"), name="detected")
+
+
+@query
+def language_agreement(s, d):
+    rows = _detected(s, d)
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("detected")).alias("agreed"), F.count_if(F.col("detected") == "unknown").alias("unknown"))
+
+
+@query
+def language_histogram(s, d):
+    return _detected(s, d).groupBy("detected").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "detected").limit(12)
+
+
+@query
+def normalized_text(s, d):
+    return V.documents(s, d).select("doc_id", F.md5(normalize(F.col("text"))).alias("plain_md5"))
+
+
+@query
+def clause_votes(s, d):
+    clauses = votes.clause_table(V.documents(s, d), V.DEMO_CUES)
+    cast = [votes.vote(f).alias(f.column) for f in V.DEMO_FINDINGS]
+    rows = clauses.select(F.explode(F.array(*[F.struct(F.lit(f.column).alias("column"), c.alias("vote")) for f, c in zip(V.DEMO_FINDINGS, cast, strict=True)])).alias("x"), "negated", "hedged").select("x.*", "negated", "hedged")
+    return rows.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("vote") == "pos").alias("pos"), F.count_if(F.col("vote") == "neg").alias("neg"), F.count_if("negated").alias("negated"), F.count_if("hedged").alias("hedged"))
+
+
+@query
+def report_labels(s, d):
+    return votes.label_findings(V.documents(s, d), V.DEMO_FINDINGS, V.DEMO_CUES)
+
+
+@query
+def section_scope(s, d):
+    rows = votes.scoped_lines(V.documents(s, d), V.DEMO_SECTIONS)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_header").alias("headers"), F.count_if(F.col("section") == "first").alias("first_lines"), F.count_if(F.col("section") == "second").alias("second_lines"))
+
+
+@query
+def mention_ceiling(s, d):
+    probe = F.lower("text").rlike("idiot|moron|scum|clown")
+    return votes.mention_table(V.judged(s, d).withColumn("mentioned", probe))
+
+
+@query
+def error_triage(s, d):
+    return votes.error_triage(V.judged(s, d).where(F.col("column") == "toxic"), r"\bidiot\b|\bscum\b|\bmoron\b").select("kind", "doc_id", "rank")
+
+
+@query
+def label_coverage(s, d):
+    return evaluate.coverage(V.rule_a(s, d))
+
+
+@query
+def labeler_scores(s, d):
+    return evaluate.scores(V.judged(s, d))
+
+
+@query
+def scores_by_language(s, d):
+    return evaluate.scores_by_language(V.judged(s, d))
+
+
+def _targets(s, d):
+    cells = V.rule_a(s, d).select("doc_id", "column")
+    weights = s.createDataFrame([("quality", 0.8), ("toxic", 0.7)], "column string, weight double")
+    return labels.build_targets(cells, V.rule_a(s, d), V.gold(s, d), weights)
+
+
+@query
+def build_targets(s, d):
+    return _targets(s, d)
+
+
+@query
+def trainable_documents(s, d):
+    return labels.trainable(labels.gold_only(_targets(s, d)))
+
+
+@query
+def label_weights(s, d):
+    precision = s.createDataFrame([("quality", 0.94), ("toxic", 0.67)], "column string, precision double")
+    return labels.column_weights(V.rule_a(s, d), precision).select("column", F.round("weight", 9).alias("weight"))
+
+
+@query
+def combine_labels(s, d):
+    return labels.combine(V.rule_a(s, d), V.rule_b(s, d))
+
+
+@query
+def provenance_counts(s, d):
+    return labels.provenance_summary(labels.combine(V.rule_a(s, d), V.rule_b(s, d)))
+
+
+@query
+def provenance_accuracy(s, d):
+    out = labels.accuracy_by_provenance(labels.combine(V.rule_a(s, d), V.rule_b(s, d)), V.gold(s, d))
+    return out.withColumn("accuracy", F.round("accuracy", 9))
+
+
+def _auc_cells(s, d):
+    return V.scored(s, d).join(V.gold(s, d).select("doc_id", "column", F.col("label").alias("y")), ["doc_id", "column"])
+
+
+@query
+def masked_auc(s, d):
+    return evaluate.auc(_auc_cells(s, d), "model", "column").withColumn("auc", F.round("auc", 9))
+
+
+@query
+def macro_auc(s, d):
+    return evaluate.auc(_auc_cells(s, d), "model", "column").groupBy("model").agg(F.round(F.avg("auc"), 9).alias("auc"))
+
+
+@query
+def kfold_assign(s, d):
+    return ranks.kfold(V.documents(s, d), 5)
+
+
+@query
+def holdout_split(s, d):
+    return ranks.holdout(V.documents(s, d), 0.2)
+
+
+@query
+def oof_auc(s, d):
+    folds = ranks.kfold(V.documents(s, d), 5)
+    cells = _auc_cells(s, d).where("model = 'm1'").join(folds, "doc_id")
+    return evaluate.auc(cells, "fold", "column").withColumn("auc", F.round("auc", 9))
+
+
+@query
+def rank_average(s, d):
+    return ranks.rank_average(V.scored(s, d), {"m1": 2.0, "m2": 1.0}).withColumn("p", F.round("p", 9))
+
+
+@query
+def probability_average(s, d):
+    return ranks.probability_average(V.scored(s, d)).withColumn("p", F.round("p", 9))
+
+
+@query
+def submission_fill(s, d):
+    return ranks.complete(V.documents(s, d), V.gold(s, d).withColumnRenamed("label", "p"), V.COLUMNS)
+
+
+@query
+def series_select_top1(s, d):
+    return series.select_first(V.series(s, d), PREFERENCES)
+
+
+@query
+def series_select_multi(s, d):
+    return series.select_series(V.series(s, d), PREFERENCES, 3).select("study", F.array_join("uids", ",").alias("uids"))
+
+
+@query
+def slot_stack(s, d):
+    return series.slots(series.select_series(V.series(s, d), PREFERENCES, 3), 3)
+
+
+@query
+def series_coverage(s, d):
+    orders = V.table(s, d, "orders").select(F.col("o_orderkey").alias("study"))
+    return series.series_coverage(orders, V.series(s, d), PREFERENCES)
+
+
+def _counts(s, d):
+    return V.slices(s, d).groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query
+def slice_linspace(s, d):
+    return _counts(s, d).select("user_id", F.posexplode(series.sample_indices(F.col("n"), 16)).alias("position", "at"))
+
+
+@query
+def slice_tta_windows(s, d):
+    both = F.array(*[F.struct(F.lit(w).alias("offset"), series.window_indices(F.col("n"), 8, w).alias("at")) for w in WINDOWS])
+    return _counts(s, d).select("user_id", F.explode(both).alias("x")).select("user_id", "x.offset", F.posexplode("x.at").alias("position", "at"))
+
+
+@query
+def percentile_clip(s, d):
+    return series.percentile_clip(V.slices(s, d), "user_id", "value").select("event_id", "scaled")
+
+
+@query
+def neighbor_stack(s, d):
+    return series.neighbour_stack(V.slices(s, d), "user_id", ["ts", "event_id"], "value").select("event_id", "before", "value", "after")
+
+
+@query
+def canonical_flip(s, d):
+    plane = F.element_at(F.array(F.lit("sagittal"), F.lit("coronal"), F.lit("axial"), F.lit("unknown")), (F.col("label") % 4 + 1).cast("int"))
+    rows = V.table(s, d, "embeddings").select("vec_id", plane.alias("plane"), F.when(F.col("label") < 5, "L").otherwise("R").alias("side"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.get("embedding", k * 4 + j)))).alias("x"))
+    flipped = F.flatten(F.flatten(series.canonical_flip(F.col("x"), F.col("plane"), F.col("side"))))
+    return rows.select("vec_id", *[F.round(F.get(flipped, F.lit(k)).cast("double"), 6).alias(f"x{k}") for k in (0, 3, 12, 15)])
+
+
+@query
+def slice_count_profile(s, d):
+    return series.slice_count_profile(_counts(s, d))
+
+
+@query
+def intensity_augment(s, d):
+    rows = V.slices(s, d).withColumn("unit", F.col("value") / 1000.0)
+    return series.bias_adjust(rows, "user_id", "unit", 1.2, 0.9, 0.05).select("event_id", "augmented")
+
+
+@query
+def coverage_semi_anti(s, d):
+    docs, known = V.documents(s, d).select("doc_id", "lang"), V.table(s, d, "labels").select("doc_id")
+    done = docs.join(known, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("resolved"))
+    todo = docs.join(known, "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("missing"))
+    return done.join(todo, "lang", "full_outer").select("lang", F.coalesce("resolved", F.lit(0)).alias("resolved"), F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+@query
+def attention_pool(s, d):
+    rows = V.table(s, d, "embeddings")
+    return vectors.attention_pool(rows, "label", "embedding", vectors.gate(F.col("embedding"), VW, UW, GW)).select("label", "dim", F.round("value", 6).alias("value"))
+
+
+@query
+def weighted_bce(s, d):
+    cells = _targets(s, d).join(V.scored(s, d).where("model = 'm1'"), ["doc_id", "column"])
+    cells = cells.select("column", (F.col("p") * 4 - 2).alias("x"), F.col("label").alias("y"), F.col("weight").alias("w"))
+    return evaluate.masked_bce(cells, "column").select("column", F.round("loss_sum", 6).alias("loss_sum"), F.round("loss_mean", 9).alias("loss_mean"))
+
+
+@query
+def prediction_spread(s, d):
+    return evaluate.spread(V.scored(s, d).where("model = 'm1'")).withColumn("std", F.round("std", 9))
+
+
+@query
+def json_reply_parse(s, d):
+    return V.table(s, d, "events").select("event_id", replies.parse_reply(F.col("props"), ["K"])["K"].alias("k"))
+
+
+@query
+def prompt_render(s, d):
+    return V.documents(s, d).select("doc_id", F.md5(replies.build_prompt(F.col("text"), V.COLUMNS)).alias("prompt_md5"))
+
+
+@query
+def shard_histogram(s, d):
+    return V.documents(s, d).groupBy(shard_key(F.col("doc_id")).alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query
+def config_keys(s, d):
+    return s.createDataFrame([(config_key({"n_slices": 16, "size": 224}),)], "key string")

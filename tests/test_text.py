@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tallow.functions.text import detect_language, normalize, normalize_exact
+from tallow.functions.text import normalize, normalize_exact, with_language
 from tallow.operators.votes import label_reports
 
 CASES = [
@@ -97,5 +97,5 @@ def test_plain_form(spark):
 
 def test_language(spark):
     rows = [("the dog and the cat are in the house", "en"), ("der Hund und die Katze ist nicht da", "de"), ("Η εικόνα είναι καλή", "el"), ("Снимок сделан хорошо", "ru"), ("a b", "unknown"), (None, "unknown"), ("het is geen hond van mij", "nl")]
-    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(detect_language(F.col("t")).alias("l")).collect()
+    got = with_language(spark.createDataFrame([(t,) for t, _ in rows], "t string"), "t", "l").collect()
     assert [r.l for r in got] == [y for _, y in rows]
