@@ -1,0 +1,168 @@
+"""The operators against plain versions, on the smallest tables with hostile rows added."""
+
+from __future__ import annotations
+
+import math
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallow.llm import oracles, packing, queries, substring_dedup, warc
+from tallow.llm import media as media_module
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def hostile(spark, sf, tmp_path_factory):
+    """The tables with nulls, empty and repeated rows, ties, a long text and an extra column that clashes."""
+    out = f"file://{tmp_path_factory.mktemp('hostile')}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()
+    rows = [tuple(r) for r in docs]
+    long_text = " ".join(docs[k].text for k in range(40)) * 3
+    passage = " ".join(f"Word{k}" for k in range(80))
+    extra = [(None, "null id " + passage), (9001, None), (9002, ""), (9003, "  \n\t "), (9004, long_text), (9005, "x " + passage + " y"), (9006, "z " + passage), (9006, "other " + passage), (9007, passage), (9007, passage), (9008, "   a b İΣ")]
+    rows += [(i, t, None, None, None) for i, t in extra]
+    spark.createDataFrame(rows, SCHEMA).withColumn("_tk", F.lit(1)).withColumn("component_id", F.lit("c")).withColumn("row", F.lit(0)).write.parquet(f"{out}/documents.parquet")
+    for name in ("labels", "benchmark", "pages"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{out}/{name}.parquet")
+    return out
+
+
+@pytest.fixture(scope="module")
+def empty(spark, sf, tmp_path_factory):
+    out = f"file://{tmp_path_factory.mktemp('empty')}"
+    for name in ("documents", "labels", "benchmark", "pages"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{out}/{name}.parquet")
+    return out
+
+
+def texts(spark, folder):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+
+
+def ordered(rows):
+    return sorted([tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows], key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+@pytest.mark.parametrize("name,plain", [("op2_substring_dedup", brute.substring_dedup), ("op4_media", brute.media), ("op5_lm_score", brute.base_scores), ("op6_simhash", brute.simhash)])
+def test_against_brute_force(spark, hostile, name, plain):
+    want = plain(texts(spark, hostile))
+    got = [tuple(r)[: len(want[0])] for r in queries.QUERIES[name](spark, hostile).collect()]
+    assert ordered(got) == ordered(want)
+
+
+def test_decontamination(spark, hostile):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{hostile}/benchmark.parquet").collect()]
+    got = queries.op8_decontamination(spark, hostile).collect()
+    assert ordered(map(tuple, got)) == ordered(brute.decontaminate(texts(spark, hostile), items))
+    from tallow.llm.decontamination import decontaminate
+
+    docs, bench = (spark.read.parquet(f"{hostile}/{n}.parquet") for n in ("documents", "benchmark"))
+    assert ordered(map(tuple, decontaminate(docs, bench, block_windows=300).collect())) == ordered(map(tuple, got))
+
+
+def test_packing(spark, hostile):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    rows = queries.op1_packing(spark, hostile).collect()
+    want = []
+    for i, t in texts(spark, hostile):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want += [(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    assert ordered((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == ordered(want)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for v in by.values():
+        at = 0
+        for offset, n in sorted(v):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(by) <= math.ceil(sum(r.length for r in rows) / 2048 * 1.1) + 1
+
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "http://a/ b", "same"), (2, None, "same"), (3, "x", None), (4, "y", ""), (None, "z", "same"), (5, "u\nv", "<p>\x1f\x8b\x08</p>" * 50000), (6, "ü", "é" * 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/archives"
+    manifest = warc.write_archives(warc.with_revisits(pages), folder)
+    for size in (1000, 4 << 20):
+        back = warc.read_archives(manifest, size, with_payload=True).collect()
+        got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back]
+        assert ordered(got) == ordered(brute.warc([(i, h) for i, _, h in rows]))
+    assert {r.page_id: r.payload for r in back if r.record_type == "response" and r.page_id}[5] == rows[5][2].encode()
+
+
+def test_sniffing():
+    import gzip
+
+    wav, gz = media_module.to_wav(b"\0" * 64), gzip.compress(b"inside" * 20)
+    assert media_module.sniff(wav) == [("audio/wav", 0, len(wav))]
+    assert media_module.sniff(b"junk" + gz + b"BM" + b"%PDF-" + wav) == [("application/gzip", 4, len(gz)), ("audio/wav", 4 + len(gz) + 7, len(wav))]
+    assert media_module.sniff(b"RIFF\xff\xff\xff\xffWAVE") == [] and media_module.sniff(b"") == []
+
+
+def test_language_model_beats_base(spark, sf):
+    rows = queries.op5_lm_score(spark, sf).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_token_counts(spark, hostile):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    lens = [len(tok.encode(t or "", add_special_tokens=False).ids) for _, t in texts(spark, hostile)]
+    for r in queries.op9_token_counts(spark, hostile).collect():
+        assert (r.n_docs, r.docs_ge) == (lens.count(r.n_tokens), sum(n >= r.n_tokens for n in lens))
+        assert r.kept_tokens == sum(min(n, r.n_tokens) for n in lens)
+        assert r.quantile == pytest.approx(sum(n <= r.n_tokens for n in lens) / len(lens))
+
+
+@pytest.mark.parametrize("name,label", [("op7_quality", "quality"), ("op10_toxicity", "toxic")])
+def test_held_out_ranking(spark, name, label):
+    sf = "/root/testdata/sf0.01"
+    y = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, y[r.doc_id]) for r in queries.QUERIES[name](spark, sf).where("held_out").collect() if r.doc_id in y]
+    pos, neg = [s for s, t in rows if t], [s for s, t in rows if not t]
+    assert sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) > 0.75
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_empty_tables(spark, empty, name):
+    assert queries.QUERIES[name](spark, empty).count() == 0
+
+
+def test_pipeline(spark, hostile, empty):
+    docs = spark.read.parquet(f"{hostile}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        path = f"{hostile}/after-{name}.parquet"
+        stage(spark, docs, hostile).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == corpus_pipeline.COLUMNS
+        after = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "simhash_near_dedup":
+            fps = [brute.fingerprint(t, corpus_pipeline.SHINGLE) for _, t in before]
+            assert len(after) == len(set(brute.components(fps)))
+        elif name == "substring_dedup":
+            lost = [n for _, _, n, _ in brute.substring_dedup(before)]
+            size = lambda rows: sum(len(brute.words(t)) for _, t in rows)
+            assert size(after) == size(before) - sum(lost)
+        elif name == "decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{hostile}/benchmark.parquet").collect()]
+            assert len(after) == sum(not r[-1] for r in brute.decontaminate(before, items))
+        else:
+            assert set(after) <= set(before)
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_sql_names():
+    assert set(oracles.ORACLES) <= set(queries.QUERIES)
+    assert substring_dedup.WINDOW == 50
