@@ -109,8 +109,8 @@ def test_sniffing():
     assert media_module.sniff(b"RIFF\xff\xff\xff\xffWAVE") == [] and media_module.sniff(b"") == []
 
 
-def test_language_model_beats_base(spark, sf):
-    rows = queries.op5_lm_score(spark, sf).where("held_out").collect()
+def test_language_model_beats_base(spark):
+    rows = queries.op5_lm_score(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
