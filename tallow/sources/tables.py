@@ -20,7 +20,7 @@ class Split:
 def load_split(spark: SparkSession, folder: str, split: str, key: str = "StudyInstanceUID", text: str = "Report") -> Split:
     """<split>_series.csv (all strings), and <split>.csv if it is there: its text column apart, labels only if columns besides the key remain."""
     series = spark.read.csv(f"{folder}/{split}_series.csv", header=True)
-    studies = series.groupBy(key).agg(F.min(F.monotonically_increasing_id()).alias("first_row"))
+    studies = series.withColumn("_row", F.monotonically_increasing_id()).groupBy(key).agg(F.min("_row").alias("first_row"))
     try:
         table = spark.read.csv(f"{folder}/{split}.csv", header=True, multiLine=True, escape='"')
     except AnalysisException:
