@@ -10,6 +10,11 @@ answers with a star to each local component's smallest member, so links out of a
 for one task is split into ranges of Gray rank, and the pairs of ranges that the masks don't cut off become tasks.
 Stars then shrink to components by alternating large-star and small-star rounds, each written to the shared folder.
 
+Links by similarity (first_of_each_group) use the same index on wide fingerprints of several words over the distinct shingles. At a similarity of
+0.8 two texts differ in about 15 % of the bits, too many for the pigeonhole rule, so masks of MASK_BITS random bits route instead: one mask agrees
+for 4 % of such pairs, one of all MASKS for 99 %. The first word travels along; groups answer with a spanning forest of pairs within
+CANDIDATE_BITS of it, nearest pairs first, and each such pair is then verified by its texts' exact Jaccard similarity.
+
 Nulls: a null text has no words: fingerprint zero, which links like any other. A null doc_id keeps its fingerprint and can be no
 component's id unless the whole component is null. Repeated rows count once in components. Empty tables give no rows. Other columns are ignored.
 """
@@ -30,43 +35,82 @@ BITS = 4
 AGREE = 2
 SHINGLE = 4
 SEED = 42
+#: Words of a wide fingerprint; bits of a mask over them; masks; differing bits of the first word that a candidate may have (99.5 % of pairs of 0.8).
+WIDE = 4
+MASK_BITS = 20
+MASKS = 120
+CANDIDATE_BITS = 17
+SIMILARITY = 0.8
+#: Rows of a group of candidates that one task compares, where all its linked pairs are held at once.
+FOREST_ROWS = 1_500
 #: Rows of a group that one task compares; larger groups are split by Gray rank.
 GROUP_ROWS = 20_000
 #: Members of a lowest node, and nodes of an upper node.
 FAN = 16
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key: bool = False) -> DataFrame:
-    """doc_id and fp (signed long) of each document, and a hash of its text as tk if asked for; bit k is set if it is set in over half of the shingles' hashes."""
+def _shingles(words: Words, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles in text order, and how many each text has."""
+    counts, offsets = words.counts, words.offsets
+    # the batch's words, one space apart, hold every shingle as a slice
+    lens = np.fromiter(map(len, words.vocab), dtype=np.int64, count=len(words.vocab))[words.codes] if words.vocab else np.zeros(0, dtype=np.int64)
+    vocab = words.vocab
+    whole = b" ".join([vocab[c] for c in words.codes.tolist()])
+    begins = np.cumsum(lens + 1) - (lens + 1)
+    n = np.where(counts == 0, 0, np.maximum(counts - shingle + 1, 1))
+    doc = np.repeat(np.arange(len(counts)), n)
+    first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + offsets[doc]
+    last = np.minimum(first + shingle, offsets[doc + 1]) - 1
+    digest = xxhash.xxh64_intdigest
+    ends = (begins[last] + lens[last]).tolist() if len(doc) else []
+    return np.array([digest(whole[a:e], seed) for a, e in zip(begins[first].tolist() if len(doc) else [], ends, strict=True)], dtype=np.uint64), n
+
+
+def _distinct(words: Words, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's shingles, in order, and how many each text has."""
+    hashes, n = _shingles(words, shingle, seed)
+    sets = [np.unique(part) for part in np.split(hashes, np.cumsum(n)[:-1])]
+    return (np.concatenate(sets) if sets else hashes), np.array([len(x) for x in sets], dtype=np.int64)
+
+
+def _majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each text's n hashes."""
+    fp = np.zeros(len(n), dtype=np.uint64)
+    full = n > 0
+    if full.any():
+        starts = (np.cumsum(n) - n)[full]
+        for k in range(64):
+            ones = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(1), starts)
+            fp[full] |= (ones * np.uint64(2) > n[full].astype(np.uint64)).astype(np.uint64) << np.uint64(k)
+    return fp
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and fp (signed long) of each document; bit k is set if it is set in over half of the shingles' hashes."""
     bound_arrow(docs.sparkSession)
 
     def run(b: pa.RecordBatch) -> dict:
-        words = Words(b.column("text"), lower=True)
-        counts, offsets = words.counts, words.offsets
-        # the batch's words, one space apart, hold every shingle as a slice
-        lens = np.fromiter(map(len, words.vocab), dtype=np.int64, count=len(words.vocab))[words.codes] if words.vocab else np.zeros(0, dtype=np.int64)
-        vocab = words.vocab
-        whole = b" ".join([vocab[c] for c in words.codes.tolist()])
-        begins = np.cumsum(lens + 1) - (lens + 1)
-        n = np.where(counts == 0, 0, np.maximum(counts - shingle + 1, 1))
-        doc = np.repeat(np.arange(len(counts)), n)
-        first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + offsets[doc]
-        last = np.minimum(first + shingle, offsets[doc + 1]) - 1
-        digest = xxhash.xxh64_intdigest
-        ends = (begins[last] + lens[last]).tolist() if len(doc) else []
-        hashes = np.array([digest(whole[a:e], seed) for a, e in zip(begins[first].tolist() if len(doc) else [], ends, strict=True)], dtype=np.uint64)
-        fp = np.zeros(len(counts), dtype=np.uint64)
-        full = n > 0
-        if full.any():
-            starts = (np.cumsum(n) - n)[full]
-            for k in range(64):
-                ones = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(1), starts)
-                fp[full] |= (ones * np.uint64(2) > n[full].astype(np.uint64)).astype(np.uint64) << np.uint64(k)
-        return {n: b.column(n) for n in kept} | {"fp": pa.array(signed(fp))}
-
-    kept = ["doc_id", "tk"] if key else ["doc_id"]
-    rows = only(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "tk": F.xxhash64("text")})
-    return map_arrow(rows.select(*kept, "text"), run, ", ".join(f"{n} bigint" for n in [*kept, "fp"]), "text", 4 << 20)
+        hashes, n = _shingles(Words(b.column("text"), lower=True), shingle, seed)
+        return {"doc_id": b.column("doc_id"), "fp": pa.array(signed(_majority(hashes, n)))}
+
+    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_arrow(rows, run, "doc_id bigint, fp bigint", "text", 4 << 20)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, seed: int = SEED) -> DataFrame:
+    """doc_id, tk (hash of the text), c (hash of its set of shingles) and the words w0, w1, ... of its wide fingerprint over distinct shingles."""
+    bound_arrow(docs.sparkSession)
+
+    def run(b: pa.RecordBatch) -> dict:
+        hashes, n = _distinct(Words(b.column("text"), lower=True), shingle, seed)
+        c = [xxhash.xxh64_intdigest(x.tobytes()) for x in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
+        out = {"doc_id": b.column("doc_id"), "tk": b.column("tk"), "c": pa.array(signed(np.array(c, dtype=np.uint64)))}
+        for k in range(WIDE):
+            out[f"w{k}"] = pa.array(signed(_majority(mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), n)))
+        return out
+
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
+    return map_arrow(rows, run, ", ".join(f"{n} bigint" for n in ["doc_id", "tk", "c", *[f"w{k}" for k in range(WIDE)]]), "text", 4 << 20)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -177,8 +221,8 @@ def _small_groups(keys: np.ndarray, fps: np.ndarray, bits: int):
 SMALL = 32
 
 
-def _stars(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, smallest linked member's fingerprint) inside each key's rows."""
+def _stars(keys: np.ndarray, fps: np.ndarray, bits: int, real: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, smallest linked member's fingerprint) inside each key's rows; if real, linked pairs that make up a spanning forest."""
     order = np.lexsort((gray_rank(fps), keys))
     keys, fps = keys[order], fps[order]
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -190,8 +234,35 @@ def _stars(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np
     for c, n in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         tree = GrayTree(fps[c : c + n])
         i, j = tree.linked(tree, bits)
+        if real:
+            i, j = _forest(i, j, fps[c : c + n])
         pairs.append((i + c, j + c))
-    return _joined(sets, pairs, fps)
+    if not real:
+        return _joined(sets, pairs, fps)
+    if not pairs:
+        return fps[:0], fps[:0]
+    i, j = _forest(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), fps)
+    differ = fps[i] != fps[j]
+    return fps[i[differ]], fps[j[differ]]
+
+
+def _forest(i: np.ndarray, j: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), a spanning forest: each part is joined to a part before it by its nearest pair."""
+    order = np.argsort(np.bitwise_count(fps[i] ^ fps[j]), kind="stable")
+    i, j = i[order], j[order]
+    up = np.arange(len(fps))
+    left, right = [i[:0]], [j[:0]]
+    while len(i):
+        a, b = up[i], up[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        late, at = np.unique(np.maximum(a, b), return_index=True)
+        left.append(i[at])
+        right.append(j[at])
+        up[late] = np.minimum(a, b)[at]
+        while (up[up] != up).any():
+            up = up[up]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _joined(sets: _Sets, pairs, fps) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +293,6 @@ def blocks_of(bits: int) -> list[int]:
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b) of fingerprints whose closure links all pairs of `distinct.fp` with at most `bits` different bits."""
-    spark = distinct.sparkSession
     masks = [sum(c) for c in itertools.combinations(blocks_of(bits), AGREE)]
 
     def route(batches):
@@ -232,19 +302,47 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
                 key = mix64((fp & np.uint64(m)) ^ np.uint64((k * 0xA24BAED4963EE407 + 1) & (1 << 64) - 1))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(signed(key)), "fp": b.column("fp")})
 
-    routed = distinct.mapInArrow(route, "key bigint, fp bigint")
+    return _links_in_groups(distinct.mapInArrow(route, "key bigint, fp bigint"), bits, GROUP_ROWS)
+
+
+def candidates(wide: DataFrame, bits: int = CANDIDATE_BITS) -> DataFrame:
+    """Pairs (a, b) of first words that agree under some mask and differ in at most `bits` bits: of each mask's group, a spanning forest."""
+    rng = np.random.default_rng(20)
+    masks = np.zeros((MASKS, WIDE), dtype=np.uint64)
+    for m in masks:
+        for bit in rng.choice(64 * WIDE, MASK_BITS, replace=False).tolist():
+            m[bit // 64] |= np.uint64(1 << bit % 64)
+
+    def route(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = [b.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WIDE)]
+            keys = []
+            for n, mask in enumerate(masks):
+                key = np.full(b.num_rows, n + 1, dtype=np.uint64)
+                for w, m in zip(words, mask, strict=True):
+                    key = mix64(key) ^ (w & m)
+                keys.append(mix64(key))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(np.concatenate(keys))), "fp": pa.array(signed(np.tile(words[0], len(masks))))})
+
+    return _links_in_groups(wide.mapInArrow(route, "key bigint, fp bigint"), bits, FOREST_ROWS, real=True)
+
+
+def _links_in_groups(routed: DataFrame, bits: int, group_rows: int, real: bool = False) -> DataFrame:
+    spark = routed.sparkSession
     # groups that one task shouldn't hold: found by counts that are added up before the shuffle
-    large = materialize(routed.groupBy("key").count().where(F.col("count") > GROUP_ROWS), "simhash-large")
+    large = materialize(routed.groupBy("key").count().where(F.col("count") > group_rows), "simhash-large")
     any_large = bool(large.take(1))
     plain = routed.join(large.select("key"), "key", "left_anti") if any_large else routed
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = plain.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, bits), "a bigint, b bigint")
+    edges = plain.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, bits, real), "a bigint, b bigint")
     if any_large:
-        edges = edges.unionByName(_large_links(routed.join(large, "key"), bits))
+        edges = edges.unionByName(_large_links(routed.join(large, "key"), bits, group_rows, real))
     return edges.distinct()
 
 
-def _compare(batches, bits: int):
+def _compare(batches, bits: int, real: bool):
     """Rows come in order of keys; whole groups are compared once their last row is in."""
     keys, fps, held = [], [], 0
     for b in batches:
@@ -258,22 +356,22 @@ def _compare(batches, bits: int):
         k, f = np.concatenate(keys), np.concatenate(fps)
         cut = int(np.searchsorted(k, k[-1], side="left"))
         if cut:
-            yield _edges(*_stars(k[:cut], f[:cut], bits))
+            yield _edges(*_stars(k[:cut], f[:cut], bits, real))
         keys, fps, held = [k[cut:]], [f[cut:]], len(k) - cut
     if held:
-        yield _edges(*_stars(np.concatenate(keys), np.concatenate(fps), bits))
+        yield _edges(*_stars(np.concatenate(keys), np.concatenate(fps), bits, real))
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(signed(a)), "b": pa.array(signed(b))})
 
 
-def _large_links(rows: DataFrame, bits: int) -> DataFrame:
+def _large_links(rows: DataFrame, bits: int, group_rows: int, real: bool) -> DataFrame:
     """A large group's ranges of Gray rank; pairs of ranges that their shared bits don't keep apart are compared in a task each."""
     spark = rows.sparkSession
     ranked = rows.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"key": b.column("key"), "fp": b.column("fp"), "rank": pa.array(signed(gray_rank(b.column("fp").to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)))}) for b in it), "key bigint, fp bigint, rank bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = materialize(ranked.repartitionByRange(parts, "key", "rank").sortWithinPartitions("key", "rank").withColumn("at", F.monotonically_increasing_id()).withColumn("chunk", F.floor(F.col("at") / GROUP_ROWS)).drop("at", "rank"), "simhash-chunks")
+    cut = materialize(ranked.repartitionByRange(parts, "key", "rank").sortWithinPartitions("key", "rank").withColumn("at", F.monotonically_increasing_id()).withColumn("chunk", F.floor(F.col("at") / group_rows)).drop("at", "rank"), "simhash-chunks")
     chunks = cut.groupBy("key", "chunk").agg(F.bit_and("fp").alias("both"), F.bit_or("fp").alias("some"))
     x, y = chunks.alias("x"), chunks.alias("y")
     differ = F.bit_count((F.col("x.both").bitwiseAND(F.bitwise_not("y.some"))).bitwiseOR(F.col("y.both").bitwiseAND(F.bitwise_not("x.some"))))
@@ -284,7 +382,7 @@ def _large_links(rows: DataFrame, bits: int) -> DataFrame:
         chunk = t.column("chunk").to_numpy()
         fps = t.column("fp").to_numpy().view(np.uint64)
         own = np.zeros(len(fps), dtype=np.uint64)  # one group; pairs inside a chunk recur, which does no harm
-        a, b = _stars(own, np.unique(fps), bits) if len(chunk) else (fps[:0], fps[:0])
+        a, b = _stars(own[: len(np.unique(fps))], np.unique(fps), bits, real) if len(chunk) else (fps[:0], fps[:0])
         return pa.table({"a": pa.array(signed(a)), "b": pa.array(signed(b))})
 
     return tasks.join(cut, ["key", "chunk"]).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
@@ -330,19 +428,47 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each_group(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all their columns, of which no other row of their group comes before: smallest doc_id, nulls last, then smallest text hash."""
+def shingle_sets(docs: DataFrame, shingle: int, seed: int = SEED) -> DataFrame:
+    """c and shingles (the distinct hashes) of each row of docs (c, text)."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        hashes, n = _distinct(Words(b.column("text"), lower=True), shingle, seed)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return {"c": b.column("c"), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(hashes)))}
+
+    return map_arrow(docs.select("c", "text"), run, "c bigint, shingles array<bigint>", "text", 4 << 20)
+
+
+def first_of_each_group(docs: DataFrame, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all their columns, of which no other row of their group comes before: smallest doc_id, nulls last, then smallest
+    text hash. Groups are chains of pairs whose sets of shingles have the Jaccard similarity or more; texts without words are alike."""
     keyed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
-    fps = materialize(fingerprints(docs, shingle, key=True), "fingerprints")
+    fps = materialize(wide_fingerprints(docs, shingle), "fingerprints")
+    words = [f"w{k}" for k in range(WIDE)]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk"))
-    by_fp = fps.groupBy("fp").agg(first.alias("k"))
-    chosen = by_fp.join(classes(fps, bits), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.doc_id", "k.tk")
-    rows = fps.groupBy("doc_id", "tk").agg(F.count("*").alias("n"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tk"] == b["tk"])
-    kept = materialize(chosen.join(rows, same(chosen, rows)).select(chosen["doc_id"].alias("_id"), chosen["tk"].alias("_k"), "n"), "simhash-kept")
-    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_k")))
-    once = found.where("n = 1").select(*docs.columns)
-    repeated = found.where("n > 1").groupBy("_id", "_k").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+    sets = materialize(fps.groupBy("c", *words).agg(first.alias("k")), "simhash-sets")
+    # pairs of first words stand for the smallest set with each; other sets with the same first word are candidates of that one
+    heads = sets.groupBy(F.col("w0").alias("fp")).agg(F.min("c").alias("head"))
+    a, b = heads.toDF("a", "x"), heads.toDF("b", "y")
+    across = candidates(sets.select(*words).distinct()).join(a, "a").join(b, "b").select("x", "y")
+    inside = sets.join(heads, sets["w0"] == heads["fp"]).where("c <> head").select(F.col("c").alias("x"), F.col("head").alias("y"))
+    pairs = materialize(across.unionByName(inside).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "simhash-pairs")
+    # exact similarity, on the sets of one text each
+    held = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(sets, "c").select("c", F.col("k.doc_id").alias("_id"), F.col("k.tk").alias("_k"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_k"))
+    texts = only(keyed, "doc_id", "_tk", "text").join(held, same).select("c", "text")
+    found = materialize(shingle_sets(texts, shingle).dropDuplicates(["c"]), "simhash-shingles")
+    n = found.select("c", F.size("shingles").alias("n"))
+    close = pairs.join(n.toDF("x", "n"), "x").join(n.toDF("y", "m"), "y").where(F.least("n", "m") >= F.greatest("n", "m") * similarity)
+    both = close.join(found.toDF("x", "s"), "x").join(found.toDF("y", "t"), "y").withColumn("common", F.size(F.array_intersect("s", "t")))
+    linked = both.where(F.col("common") >= (F.col("n") + F.col("m") - F.col("common")) * similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(linked).withColumnRenamed("node", "c")
+    chosen = sets.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tk").alias("_k"))
+    rows = fps.groupBy(F.col("doc_id").alias("_i"), F.col("tk").alias("_t")).agg(F.count("*").alias("_n"))
+    kept = materialize(chosen.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_t"))).select("_id", "_k", "_n"), "simhash-kept")
+    found = keyed.join(kept, same)
+    once = found.where("_n = 1").select(*docs.columns)
+    repeated = found.where("_n > 1").groupBy("_id", "_k").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
     return once.unionByName(repeated)
 
 
