@@ -73,6 +73,20 @@ def simhash(rows, bits=4):
     return [(i, f"{f:016x}", low.get(g)) for (i, _), f, g in zip(rows, fps, group, strict=True)]
 
 
+def similar(rows, shingle=5, similarity=0.8):
+    """A component number for each row, by the Jaccard similarity of sets of shingles; texts without words are alike."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + shingle]) for k in range(max(len(w) - shingle + 1, 1))} if w else set())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and (a == b or len(a & b) >= similarity * len(a | b)):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
 def decontaminate(rows, items, window=10):
     own = {}
     for i, t in items:
