@@ -10,10 +10,11 @@ answers with a star to each local component's smallest member, so links out of a
 for one task is split into ranges of Gray rank, and the pairs of ranges that the masks don't cut off become tasks.
 Stars then shrink to components by alternating large-star and small-star rounds, each written to the shared folder.
 
-Links by similarity (first_of_each_group) use the same index on wide fingerprints of several words over the distinct shingles. At a similarity of
-0.8 two texts differ in about 15 % of the bits, too many for the pigeonhole rule, so masks of MASK_BITS random bits route instead: one mask agrees
-for 4 % of such pairs, one of all MASKS for 99 %. The first word travels along; groups answer with a spanning forest of pairs within
-CANDIDATE_BITS of it, nearest pairs first, and each such pair is then verified by its texts' exact Jaccard similarity.
+Links by similarity (first_of_each_group) are found exactly, by prefixes. Distinct shingles are counted over the distinct sets; each set's shingles
+stand in order of (sets that have it, hash). Of a pair at the similarity or more, both sets hold a common shingle among their first n - ceil(similarity n) + 1.
+A shingle that one set alone has can't be shared, so only sets whose first ones reach into repeated shingles go on, with their repeated
+shingles, which also suffice to verify. Neighbours by size under a shared first shingle are verified first and linked; then all pairs of different
+components under one, in chunk pairs where many sets share it. Pairs are verified by blocks of sets that share their most frequent shingle.
 
 Nulls: a null text has no words: fingerprint zero, which links like any other. A null doc_id keeps its fingerprint and can be no
 component's id unless the whole component is null. Repeated rows count once in components. Empty tables give no rows. Other columns are ignored.
@@ -25,24 +26,24 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_arrow, map_arrow, materialize, mix64, only, signed
+from .common import Rolling, Words, bound_arrow, map_arrow, materialize, mix64, only, ragged, signed
 
 BITS = 4
 AGREE = 2
 SHINGLE = 4
 SEED = 42
-#: Words of a wide fingerprint; bits of a mask over them; masks; differing bits of the first word that a candidate may have (99.5 % of pairs of 0.8).
-WIDE = 4
-MASK_BITS = 20
-MASKS = 120
-CANDIDATE_BITS = 17
 SIMILARITY = 0.8
-#: Rows of a group of candidates that one task compares, where all its linked pairs are held at once.
-FOREST_ROWS = 1_500
+#: Shingles that one task counts at once; sets with one shingle that are compared at once; sets and shingles of a block of sets.
+PART_SHINGLES = 8_000_000
+PREFIX_ROWS = 1_000
+BLOCK_ROWS = 1_000
+BLOCK_SHINGLES = 300_000
 #: Rows of a group that one task compares; larger groups are split by Gray rank.
 GROUP_ROWS = 20_000
 #: Members of a lowest node, and nodes of an upper node.
@@ -66,11 +67,21 @@ def _shingles(words: Words, shingle: int, seed: int) -> tuple[np.ndarray, np.nda
     return np.array([digest(whole[a:e], seed) for a, e in zip(begins[first].tolist() if len(doc) else [], ends, strict=True)], dtype=np.uint64), n
 
 
-def _distinct(words: Words, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each text's shingles, in order, and how many each text has."""
-    hashes, n = _shingles(words, shingle, seed)
-    sets = [np.unique(part) for part in np.split(hashes, np.cumsum(n)[:-1])]
-    return (np.concatenate(sets) if sets else hashes), np.array([len(x) for x in sets], dtype=np.int64)
+def _distinct(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's shingles, in order, how many each text has, and a hash of each text's set."""
+    words = Words(texts, lower=True)
+    n = np.where(words.counts == 0, 0, np.maximum(words.counts - shingle + 1, 1))
+    doc = np.repeat(np.arange(len(n)), n)
+    first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + words.offsets[doc]
+    hashes = Rolling(words.mapped(lambda w: xxhash.xxh64_intdigest(w, SEED))).spans(first, np.minimum(shingle, words.counts[doc]))
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    hashes, n = hashes[new], np.bincount(doc[new], minlength=len(n))
+    ends = np.cumsum(n).tolist()
+    c = [xxhash.xxh64_intdigest(hashes[e - k : e].tobytes()) for e, k in zip(ends, n.tolist(), strict=True)]
+    return hashes, n, np.array(c, dtype=np.uint64)
 
 
 def _majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -97,20 +108,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return map_arrow(rows, run, "doc_id bigint, fp bigint", "text", 4 << 20)
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, seed: int = SEED) -> DataFrame:
-    """doc_id, tk (hash of the text), c (hash of its set of shingles) and the words w0, w1, ... of its wide fingerprint over distinct shingles."""
+def set_hashes(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, tk (hash of the text), c (hash of its set of shingles) and n, the set's size."""
     bound_arrow(docs.sparkSession)
 
     def run(b: pa.RecordBatch) -> dict:
-        hashes, n = _distinct(Words(b.column("text"), lower=True), shingle, seed)
-        c = [xxhash.xxh64_intdigest(x.tobytes()) for x in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
-        out = {"doc_id": b.column("doc_id"), "tk": b.column("tk"), "c": pa.array(signed(np.array(c, dtype=np.uint64)))}
-        for k in range(WIDE):
-            out[f"w{k}"] = pa.array(signed(_majority(mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), n)))
-        return out
+        _, n, c = _distinct(b.column("text"), shingle)
+        return {"doc_id": b.column("doc_id"), "tk": b.column("tk"), "c": pa.array(signed(c)), "n": pa.array(n.astype(np.int64))}
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    return map_arrow(rows, run, ", ".join(f"{n} bigint" for n in ["doc_id", "tk", "c", *[f"w{k}" for k in range(WIDE)]]), "text", 4 << 20)
+    return map_arrow(rows, run, "doc_id bigint, tk bigint, c bigint, n bigint", "text", 4 << 20)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -221,8 +228,8 @@ def _small_groups(keys: np.ndarray, fps: np.ndarray, bits: int):
 SMALL = 32
 
 
-def _stars(keys: np.ndarray, fps: np.ndarray, bits: int, real: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, smallest linked member's fingerprint) inside each key's rows; if real, linked pairs that make up a spanning forest."""
+def _stars(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, smallest linked member's fingerprint) inside each key's rows."""
     order = np.lexsort((gray_rank(fps), keys))
     keys, fps = keys[order], fps[order]
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -234,35 +241,8 @@ def _stars(keys: np.ndarray, fps: np.ndarray, bits: int, real: bool = False) ->
     for c, n in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         tree = GrayTree(fps[c : c + n])
         i, j = tree.linked(tree, bits)
-        if real:
-            i, j = _forest(i, j, fps[c : c + n])
         pairs.append((i + c, j + c))
-    if not real:
-        return _joined(sets, pairs, fps)
-    if not pairs:
-        return fps[:0], fps[:0]
-    i, j = _forest(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), fps)
-    differ = fps[i] != fps[j]
-    return fps[i[differ]], fps[j[differ]]
-
-
-def _forest(i: np.ndarray, j: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, j), a spanning forest: each part is joined to a part before it by its nearest pair."""
-    order = np.argsort(np.bitwise_count(fps[i] ^ fps[j]), kind="stable")
-    i, j = i[order], j[order]
-    up = np.arange(len(fps))
-    left, right = [i[:0]], [j[:0]]
-    while len(i):
-        a, b = up[i], up[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        late, at = np.unique(np.maximum(a, b), return_index=True)
-        left.append(i[at])
-        right.append(j[at])
-        up[late] = np.minimum(a, b)[at]
-        while (up[up] != up).any():
-            up = up[up]
-    return np.concatenate(left), np.concatenate(right)
+    return _joined(sets, pairs, fps)
 
 
 def _joined(sets: _Sets, pairs, fps) -> tuple[np.ndarray, np.ndarray]:
@@ -305,44 +285,20 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return _links_in_groups(distinct.mapInArrow(route, "key bigint, fp bigint"), bits, GROUP_ROWS)
 
 
-def candidates(wide: DataFrame, bits: int = CANDIDATE_BITS) -> DataFrame:
-    """Pairs (a, b) of first words that agree under some mask and differ in at most `bits` bits: of each mask's group, a spanning forest."""
-    rng = np.random.default_rng(20)
-    masks = np.zeros((MASKS, WIDE), dtype=np.uint64)
-    for m in masks:
-        for bit in rng.choice(64 * WIDE, MASK_BITS, replace=False).tolist():
-            m[bit // 64] |= np.uint64(1 << bit % 64)
-
-    def route(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words = [b.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WIDE)]
-            keys = []
-            for n, mask in enumerate(masks):
-                key = np.full(b.num_rows, n + 1, dtype=np.uint64)
-                for w, m in zip(words, mask, strict=True):
-                    key = mix64(key) ^ (w & m)
-                keys.append(mix64(key))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(np.concatenate(keys))), "fp": pa.array(signed(np.tile(words[0], len(masks))))})
-
-    return _links_in_groups(wide.mapInArrow(route, "key bigint, fp bigint"), bits, FOREST_ROWS, real=True)
-
-
-def _links_in_groups(routed: DataFrame, bits: int, group_rows: int, real: bool = False) -> DataFrame:
+def _links_in_groups(routed: DataFrame, bits: int, group_rows: int) -> DataFrame:
     spark = routed.sparkSession
     # groups that one task shouldn't hold: found by counts that are added up before the shuffle
     large = materialize(routed.groupBy("key").count().where(F.col("count") > group_rows), "simhash-large")
     any_large = bool(large.take(1))
     plain = routed.join(large.select("key"), "key", "left_anti") if any_large else routed
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = plain.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, bits, real), "a bigint, b bigint")
+    edges = plain.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, bits), "a bigint, b bigint")
     if any_large:
-        edges = edges.unionByName(_large_links(routed.join(large, "key"), bits, group_rows, real))
+        edges = edges.unionByName(_large_links(routed.join(large, "key"), bits, group_rows))
     return edges.distinct()
 
 
-def _compare(batches, bits: int, real: bool):
+def _compare(batches, bits: int):
     """Rows come in order of keys; whole groups are compared once their last row is in."""
     keys, fps, held = [], [], 0
     for b in batches:
@@ -356,17 +312,17 @@ def _compare(batches, bits: int, real: bool):
         k, f = np.concatenate(keys), np.concatenate(fps)
         cut = int(np.searchsorted(k, k[-1], side="left"))
         if cut:
-            yield _edges(*_stars(k[:cut], f[:cut], bits, real))
+            yield _edges(*_stars(k[:cut], f[:cut], bits))
         keys, fps, held = [k[cut:]], [f[cut:]], len(k) - cut
     if held:
-        yield _edges(*_stars(np.concatenate(keys), np.concatenate(fps), bits, real))
+        yield _edges(*_stars(np.concatenate(keys), np.concatenate(fps), bits))
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(signed(a)), "b": pa.array(signed(b))})
 
 
-def _large_links(rows: DataFrame, bits: int, group_rows: int, real: bool) -> DataFrame:
+def _large_links(rows: DataFrame, bits: int, group_rows: int) -> DataFrame:
     """A large group's ranges of Gray rank; pairs of ranges that their shared bits don't keep apart are compared in a task each."""
     spark = rows.sparkSession
     ranked = rows.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"key": b.column("key"), "fp": b.column("fp"), "rank": pa.array(signed(gray_rank(b.column("fp").to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)))}) for b in it), "key bigint, fp bigint, rank bigint")
@@ -382,7 +338,7 @@ def _large_links(rows: DataFrame, bits: int, group_rows: int, real: bool) -> Dat
         chunk = t.column("chunk").to_numpy()
         fps = t.column("fp").to_numpy().view(np.uint64)
         own = np.zeros(len(fps), dtype=np.uint64)  # one group; pairs inside a chunk recur, which does no harm
-        a, b = _stars(own[: len(np.unique(fps))], np.unique(fps), bits, real) if len(chunk) else (fps[:0], fps[:0])
+        a, b = _stars(own[: len(np.unique(fps))], np.unique(fps), bits) if len(chunk) else (fps[:0], fps[:0])
         return pa.table({"a": pa.array(signed(a)), "b": pa.array(signed(b))})
 
     return tasks.join(cut, ["key", "chunk"]).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
@@ -428,45 +384,250 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, seed: int = SEED) -> DataFrame:
-    """c and shingles (the distinct hashes) of each row of docs (c, text)."""
+def repeated_shingles(docs: DataFrame, shingle: int, total: int) -> DataFrame:
+    """c, and lists of ids (64-bit) and counts (32-bit) of the shingles of set c that other sets have too; several rows a set."""
+    parts = 1 << max(6, (total // PART_SHINGLES).bit_length())
+
+    def deal(b: pa.RecordBatch) -> dict:
+        hashes, n, c = _distinct(b.column("text"), shingle)
+        doc = np.repeat(np.arange(len(n)), n)
+        part = (hashes & np.uint64(parts - 1)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, doc = part[order], doc[order]
+        tops = (hashes[order] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        runs = _starts(part, doc)
+        many = np.diff(np.append(runs, len(part))).astype("<u4").tobytes()
+        sets = c[doc[runs]].tobytes()
+        own, at = np.unique(part, return_index=True)
+        at, of = np.append(at, len(part)).tolist(), np.append(np.searchsorted(part[runs], own), len(runs)).tolist()
+        cut = lambda data, edges, width: pa.array([data[width * i : width * j] for i, j in itertools.pairwise(edges)], pa.binary())
+        return {"part": pa.array(own.astype(np.int32)), "c": cut(sets, of, 8), "many": cut(many, of, 4), "tops": cut(tops, at, 5)}
+
+    def count(t: pa.Table) -> pa.Table:
+        whole = lambda name: b"".join(t.column(name).to_pylist())
+        raw = np.frombuffer(whole("tops"), np.uint8).reshape(-1, 5)
+        h = np.zeros((len(raw), 8), dtype=np.uint8)
+        h[:, :5] = raw
+        h = h.view("<u8").ravel()
+        c = np.repeat(np.frombuffer(whole("c"), np.int64), np.frombuffer(whole("many"), "<u4"))
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        again = np.zeros(len(h), dtype=bool)
+        again[1:] = h[1:] == h[:-1]
+        again[:-1] |= again[1:]
+        h, c = h[again], c[again]
+        # a text that occurs twice counts once
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        once = _starts(h, c)
+        h, c = h[once], c[once]
+        n = np.diff(np.append(_starts(h), len(h)))
+        n = np.repeat(n, n)
+        order = np.flatnonzero(n > 1)
+        order = order[np.argsort(c[order], kind="stable")]
+        part = t.column("part")[0].as_py()
+        c, ids, n = c[order], (h[order] << np.uint64(16) | np.uint64(part)).tobytes(), n[order].astype("<u4").tobytes()
+        edges = np.append(_starts(c), len(c)).tolist()
+        cut = lambda data, width: pa.array([data[width * i : width * j] for i, j in itertools.pairwise(edges)], pa.binary())
+        return pa.table({"c": pa.array(c[edges[:-1]]), "ids": cut(ids, 8), "counts": cut(n, 4)})
+
+    dealt = map_arrow(only(docs, "text"), deal, "part int, c binary, many binary, tops binary", "text", 4 << 20)
+    return dealt.groupBy("part").applyInArrow(count, "c bigint, ids binary, counts binary")
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new)
+
+
+def possible_sets(repeated: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """c, n, ids (repeated shingles, rarest first), first (how many of them may link the set) and block, of the sets that can be in a link at all."""
+    spark = repeated.sparkSession
+
+    def order(b: pa.RecordBatch) -> dict:
+        rows = []
+        for c, n, lists in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("lists").to_pylist(), strict=True):
+            ids = np.frombuffer(b"".join([x["ids"] for x in lists]), np.uint64)
+            first = len(ids) - int(np.ceil(similarity * n - 1e-9)) + 1
+            if first > 0:
+                ids = ids[np.lexsort((ids, np.frombuffer(b"".join([x["counts"] for x in lists]), "<u4")))]
+                rows.append((c, n, ids.tobytes(), first, int(ids[-1].view(np.int64))))
+        return {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("c", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("first", pa.int64()), ("last", pa.int64())))}
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict(order(b))
 
-    def run(b: pa.RecordBatch) -> dict:
-        hashes, n = _distinct(Words(b.column("text"), lower=True), shingle, seed)
-        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        return {"c": b.column("c"), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(hashes)))}
+    def block(batches):
+        at, rows, size = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            blocks = []
+            for n in pc.binary_length(b.column("ids")).to_pylist():
+                if rows and (rows == BLOCK_ROWS or size + n // 8 > BLOCK_SHINGLES):
+                    at, rows, size = at + 1, 0, 0
+                rows, size = rows + 1, size + n // 8
+                blocks.append(at)
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ("c", "n", "ids", "first")} | {"block": pa.array(blocks, pa.int64())})
+
+    lists = repeated.groupBy("c").agg(F.collect_list(F.struct("ids", "counts")).alias("lists")).join(sizes, "c").select("c", "n", "lists")
+    found = materialize(lists.mapInArrow(run, "c bigint, n bigint, ids binary, first bigint, last bigint"), "simhash-possible")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartitionByRange(parts, "last", "c").sortWithinPartitions("last", "c")
+    return materialize(dealt.mapInArrow(block, "c bigint, n bigint, ids binary, first bigint, block bigint"), "simhash-blocks")
 
-    return map_arrow(docs.select("c", "text"), run, "c bigint, shingles array<bigint>", "text", 4 << 20)
+
+def first_shingles(possible: DataFrame) -> DataFrame:
+    """h, c and n: a row for each shingle that may link a set."""
+
+    def run(batches):
+        for b in batches:
+            first = b.column("first").to_numpy()
+            ids = b"".join([x[: 8 * k] for x, k in zip(b.column("ids").to_pylist(), first.tolist(), strict=True)])
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.frombuffer(ids, np.int64)), "c": pa.array(np.repeat(b.column("c").to_numpy(), first)), "n": pa.array(np.repeat(b.column("n").to_numpy(), first))})
+
+    return possible.mapInArrow(run, "h bigint, c bigint, n bigint")
+
+
+PAIRS = "x bigint, y bigint"
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """The distinct pairs, the smaller member first."""
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    keep = _starts(x, y)
+    return pa.RecordBatch.from_pydict({"x": pa.array(x[keep]), "y": pa.array(y[keep])})
+
+
+def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that follow each other by size among the sets with one shingle."""
+
+    def run(batches):
+        last = np.zeros((3, 0), dtype=np.int64)
+        for b in batches:
+            h, c, n = np.concatenate([last, np.stack([b.column(k).to_numpy() for k in ("h", "c", "n")])], axis=1)
+            at = np.flatnonzero((h[1:] == h[:-1]) & (n[:-1] >= n[1:] * similarity - 1e-9))
+            yield _pairs(c[at], c[at + 1])
+            last = np.stack([x[-1:] for x in (h, c, n)])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "h").sortWithinPartitions("h", "n", "c").mapInArrow(run, PAIRS).distinct()
+
+
+def pairs_across(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of sets with a common shingle in rows (h, c, n) whose sizes allow a link and whose components, by roots, differ."""
+    rooted = rows.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    shared = rooted.groupBy("h").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    chunks = F.ceil(F.col("many") / PREFIX_ROWS)
+    rooted = rooted.join(shared.select("h", chunks.alias("chunks")), "h").withColumn("own", F.pmod(F.xxhash64("c"), "chunks"))
+    # every two chunks of a shingle's sets meet in one group
+    dealt = rooted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root")
+    columns = ("h", "i", "j", "own", "c", "n", "root")
+
+    def meet(h, i, j, own, c, n, root):
+        cuts = _starts(h, i, j)
+        sizes = np.diff(np.append(cuts, len(h)))
+        left, right = [c[:0]], [c[:0]]
+
+        def keep(a, b):
+            ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * similarity - 1e-9) & ((own[a] != own[b]) | (i[a] == j[a]))
+            left.append(c[a[ok]])
+            right.append(c[b[ok]])
+
+        small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+        group = np.repeat(np.arange(len(sizes)), sizes)[small]
+        for d in range(1, SMALL):
+            at = np.flatnonzero(group[d:] == group[:-d])
+            if not len(at):
+                break
+            keep(small[at], small[at + d])
+        held = 0
+        for at, size in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            for k in range(at, at + size - 1):
+                keep(np.full(at + size - 1 - k, k), np.arange(k + 1, at + size))
+                held += len(left[-1])
+                if held > 1_000_000:
+                    yield _pairs(np.concatenate(left), np.concatenate(right))
+                    left[:], right[:], held = [], [], 0
+        if left:
+            yield _pairs(np.concatenate(left), np.concatenate(right))
+
+    def run(batches):
+        held, many = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(np.stack([b.column(k).to_numpy() for k in columns]))
+            many += b.num_rows
+            if many < 100_000:
+                continue
+            rows = np.concatenate(held, axis=1)
+            cut = int(_starts(*rows[:3])[-1])
+            if cut:
+                yield from meet(*rows[:, :cut])
+            held, many = [rows[:, cut:]], rows.shape[1] - cut
+        if held:
+            yield from meet(*np.concatenate(held, axis=1))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, PAIRS).distinct()
+
+
+def verified(pairs: DataFrame, possible: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of pairs (x, y) whose sets have the similarity or more."""
+    of = possible.select("c", "block")
+    pairs = materialize(pairs.join(of.toDF("x", "i"), "x").join(of.toDF("y", "j"), "y"), "simhash-pairs")
+    members = pairs.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("x", "y")).alias("c")).distinct().join(possible.select("c", "n", "ids"), "c")
+
+    def test(p: pa.Table, s: pa.Table) -> pa.Table:
+        c, n = s.column("c").to_numpy(), s.column("n").to_numpy()
+        ids = s.column("ids").to_pylist()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 8
+        start = np.cumsum(size) - size
+        own, code = np.unique(np.frombuffer(b"".join(ids), np.uint64), return_inverse=True)
+        order = np.argsort(c)
+        x, y = (order[np.searchsorted(c[order], p.column(k).to_numpy())] for k in ("x", "y"))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        has = np.zeros(len(own), dtype=np.int64)
+        common = np.zeros(len(x), dtype=np.int64)
+        for lo, hi in itertools.pairwise(np.append(_starts(x), len(x)).tolist()):
+            mine = code[start[x[lo]] : start[x[lo]] + size[x[lo]]]
+            has[mine] = 1
+            others = y[lo:hi]
+            common[lo:hi] = np.add.reduceat(has[code[ragged(start[others], size[others])]], np.cumsum(size[others]) - size[others])
+            has[mine] = 0
+        ok = common >= similarity * (n[x] + n[y] - common)
+        return pa.table({"a": pa.array(c[x[ok]]), "b": pa.array(c[y[ok]])})
+
+    return materialize(pairs.groupBy("i", "j").cogroup(members.groupBy("k", "l")).applyInArrow(test, "a bigint, b bigint"), "simhash-links")
+
+
+def similar_sets(docs: DataFrame, sizes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of every set of shingles that has a smaller one in its group; sizes holds c and n of all distinct sets."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    possible = possible_sets(repeated_shingles(docs, shingle, total), sizes, similarity)
+    rows = first_shingles(possible)
+    near = verified(neighbours(rows, similarity), possible, similarity)
+    return components(near.unionByName(verified(pairs_across(rows, components(near), similarity), possible, similarity)))
 
 
 def first_of_each_group(docs: DataFrame, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, of which no other row of their group comes before: smallest doc_id, nulls last, then smallest
     text hash. Groups are chains of pairs whose sets of shingles have the Jaccard similarity or more; texts without words are alike."""
     keyed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
-    fps = materialize(wide_fingerprints(docs, shingle), "fingerprints")
-    words = [f"w{k}" for k in range(WIDE)]
+    fps = materialize(set_hashes(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk"))
-    sets = materialize(fps.groupBy("c", *words).agg(first.alias("k")), "simhash-sets")
-    # pairs of first words stand for the smallest set with each; other sets with the same first word are candidates of that one
-    heads = sets.groupBy(F.col("w0").alias("fp")).agg(F.min("c").alias("head"))
-    a, b = heads.toDF("a", "x"), heads.toDF("b", "y")
-    across = candidates(sets.select(*words).distinct()).join(a, "a").join(b, "b").select("x", "y")
-    inside = sets.join(heads, sets["w0"] == heads["fp"]).where("c <> head").select(F.col("c").alias("x"), F.col("head").alias("y"))
-    pairs = materialize(across.unionByName(inside).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "simhash-pairs")
-    # exact similarity, on the sets of one text each
-    held = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(sets, "c").select("c", F.col("k.doc_id").alias("_id"), F.col("k.tk").alias("_k"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_k"))
-    texts = only(keyed, "doc_id", "_tk", "text").join(held, same).select("c", "text")
-    found = materialize(shingle_sets(texts, shingle).dropDuplicates(["c"]), "simhash-shingles")
-    n = found.select("c", F.size("shingles").alias("n"))
-    close = pairs.join(n.toDF("x", "n"), "x").join(n.toDF("y", "m"), "y").where(F.least("n", "m") >= F.greatest("n", "m") * similarity)
-    both = close.join(found.toDF("x", "s"), "x").join(found.toDF("y", "t"), "y").withColumn("common", F.size(F.array_intersect("s", "t")))
-    linked = both.where(F.col("common") >= (F.col("n") + F.col("m") - F.col("common")) * similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(linked).withColumnRenamed("node", "c")
+    sets = materialize(fps.groupBy("c").agg(first.alias("k"), F.first("n").alias("n")), "simhash-sets")
+    roots = similar_sets(docs, sets.select("c", "n"), shingle, similarity).withColumnRenamed("node", "c")
     chosen = sets.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tk").alias("_k"))
     rows = fps.groupBy(F.col("doc_id").alias("_i"), F.col("tk").alias("_t")).agg(F.count("*").alias("_n"))
     kept = materialize(chosen.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_t"))).select("_id", "_k", "_n"), "simhash-kept")
-    found = keyed.join(kept, same)
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_k")))
     once = found.where("_n = 1").select(*docs.columns)
     repeated = found.where("_n > 1").groupBy("_id", "_k").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
     return once.unionByName(repeated)
