@@ -204,6 +204,12 @@ def test_near_copies_inside_a_family(spark, sf):
     assert kept(spark, sf, [[changed.get(at, f"w{at}") for at in range(404)] for _, changed in texts]) == list(range(1000))
 
 
+def test_short_near_copies(spark, sf):
+    """Pairs of 8 and 9 words, four shingles of five in common: a similarity of exactly 0.8."""
+    texts = [[f"w{k}x{at}" for at in range(8 + copy)] for copy in (0, 1) for k in range(400)]
+    assert kept(spark, sf, texts) == list(range(400))
+
+
 def test_sql_names():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
     assert substring_dedup.WINDOW == 50
