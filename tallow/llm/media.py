@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_arrow, map_arrow, only
+from .common import as_bytes, bound_arrow, map_arrow, materialize, only
 
 #: Bytes of a block of samples.
 UNIT = 64
@@ -269,4 +269,4 @@ def feature(kind: str, payload: bytes, inner: list) -> str:
 
 def media_column(docs: DataFrame) -> DataFrame:
     """Stores the texts of documents as media, reads the stored bytes back and describes them."""
-    return sniff_column(store_texts(docs), digest=True)
+    return sniff_column(materialize(store_texts(docs), "media"), digest=True)

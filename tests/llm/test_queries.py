@@ -109,6 +109,15 @@ def test_sniffing():
     assert media_module.sniff(b"RIFF\xff\xff\xff\xffWAVE") == [] and media_module.sniff(b"") == []
 
 
+def test_media_is_stored(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    out = media_module.media_column(docs)
+    (path,) = {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+    stored = {r.doc_id: bytes(r.media) for r in spark.read.parquet(path).collect()}
+    assert stored == {1: media_module.to_wav(media_module.pad(b"some text")), 2: media_module.to_wav(media_module.pad(b""))}
+    assert {r.doc_id: r.media_bytes for r in out.collect()} == {k: len(v) for k, v in stored.items()}
+
+
 def test_language_model_beats_base(spark):
     rows = queries.op5_lm_score(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
