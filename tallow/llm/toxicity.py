@@ -2,19 +2,21 @@
 
 The kernel of two words sums, over all sequences of four letters, the products of their gap-weighted counts: letters may stand apart, up to
 MAX_GAP letters in all, and each letter between them costs a factor DECAY. So an insult keeps most of its
-weight when letters are inserted, and signs inserted between its letters don't count at all. A sentence's score is that of its most
-suspicious word, a text's that of its most suspicious sentence, so length doesn't dilute a finding.
+weight when letters are inserted, and signs inserted between its letters don't count at all. Letters that stand alone, LETTERS or more in a row,
+also make a word together. A sentence's score is that of its most suspicious word, a text's that of its most suspicious sentence, so length doesn't
+dilute a finding.
 
-Training takes labelled sentences, each once. Spark counts, for each word and each unbroken sequence of four letters, the toxic and clean sentences
-that hold it, over all labelled rows. Words of toxic sentences with a sequence that is far more frequent there than chance allows are suspects:
+Training takes the sentences of at most about LABELLED labelled documents, chosen by a hash of the doc_id, each sentence once. That bound is also what makes the
+labels fit for a broadcast, so no text is shuffled to find its label. Spark counts, for each word and each unbroken sequence of four letters, the toxic and clean sentences
+that hold it. Words of toxic sentences with a sequence that is far more frequent there than chance allows are suspects:
 a sentence's label says that some word is toxic, not which. Suspects and others, in samples of documented sizes, train the machine: landmarks from both, the
 kernel against landmarks whitened (Nyström), a squared-hinge linear machine on that by Newton's method. Then the clean words that score highest
 are added and it is trained again. As the machine is linear in the landmarks' kernel values, and these are inner products over letter
-sequences, its score collapses to one weight a sequence, in a table of 2**20 floats. A logistic curve fitted on labelled documents
-turns the highest word score into a probability.
+sequences, its score collapses to one weight a sequence, in a table of 2**20 floats. A logistic curve, fitted on one in CALIBRATION of the
+labelled documents that the machine doesn't train on, turns the highest word score into a probability.
 
 Nulls: a null or empty text has the score of a text without suspects. Labels that are null are ignored; several labels of a
-document count each. Without labelled rows of both kinds the score is the share of toxic rows seen, 0 without any. Other columns are ignored.
+document count once for each kind. Without labelled rows of both kinds the score is the share of toxic rows seen, 0 without any. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,16 @@ from .common import Words, bound_arrow, map_arrow, materialize, only
 LETTERS = 4
 MAX_GAP = 3
 DECAY = 0.6
-LANDMARKS = 512
-#: Words that train the machine: the sample's bounds.
+LANDMARKS = 384
+#: Labelled documents that training takes, about; the bound of its sample.
+LABELLED = 100_000
+#: One in so many labelled documents is kept for the logistic curve.
+CALIBRATION = 4
+#: Words that train the machine: the sample's bounds, and the files that hold the words' counts.
 SUSPECTS = 6_000
-OTHERS = 20_000
-HARD = 5_000
+OTHERS = 16_000
+HARD = 4_000
+FILES = 16
 PENALTY = 1e-4
 #: A letter sequence is suspicious from this log-likelihood ratio on, which chance hardly reaches among a million sequences.
 LEAST_GAIN = 10.0
@@ -127,7 +134,7 @@ class StringKernelMachine:
         values, vectors = np.linalg.eigh(gram)
         good = values > 1e-6 * values[-1]
         whiten = vectors[:, good] / np.sqrt(values[good])
-        x = np.empty((len(words), int(good.sum()) + 1))
+        x = np.empty((len(words), int(good.sum()) + 1), dtype=np.float32)
         for lo in range(0, len(words), 500):
             part = words[lo : lo + 500]
             r, c, v = _features(part)
@@ -158,10 +165,14 @@ class StringKernelMachine:
         ridge = np.full(x.shape[1], penalty)
         ridge[-1] = 1e-9
         for _ in range(steps):
-            margin = y * (x @ beta)
-            on = margin < 1
-            xs = x[on] * w[on, None]
-            step = np.linalg.solve(xs.T @ x[on] + np.diag(ridge), xs.T @ (y[on]) - (xs.T @ (x[on] @ beta)) - ridge * beta)
+            on = np.flatnonzero(y * (x @ beta) < 1)
+            hessian, slope = np.diag(ridge), -ridge * beta
+            for lo in range(0, len(on), 2000):  # blocks, to hold little
+                at = on[lo : lo + 2000]
+                xs = x[at].astype(np.float64)
+                hessian += (xs * w[at, None]).T @ xs
+                slope += xs.T @ (w[at] * (y[at] - xs @ beta))
+            step = np.linalg.solve(hessian, slope)
             beta = beta + step
             if np.abs(step).max() < 1e-6:
                 break
@@ -171,12 +182,33 @@ class StringKernelMachine:
         return word_scores(words, self.weights) + self.bias
 
 
-def labelled_sentences(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None) -> DataFrame:
-    """doc_id, sentence, label: the sentences of labelled documents, each with its document's label."""
-    rows = only(docs, "doc_id", "text").join(only(labels, "doc_id", label).where(F.col(label).isNotNull()), "doc_id")
-    if keep is not None:
-        rows = rows.where(keep)
-    return rows.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+")).alias("sentence"), F.col(label).cast("int").alias("label"))
+def labelled_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, most: int = LABELLED) -> DataFrame:
+    """doc_id, text, label (0 or 1) of about `most` labelled documents at most, or of all if there are no more; each kind of label once a doc_id."""
+    kinds = only(labels, "doc_id", label).where(F.col(label).isNotNull())
+    if training is not None:
+        kinds = kinds.where(training)
+    kinds = materialize(kinds.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label")).distinct(), "toxicity-labels")
+    n = kinds.count()
+    if n > most:
+        kinds = kinds.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int((1 << 32) * most / n))
+    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.join(F.broadcast(kinds), "doc_id").select("doc_id", "text", "label")  # `most` rows of 12 bytes
+
+
+def labelled_sentences(known: DataFrame) -> DataFrame:
+    """sentence, label: the sentences of labelled documents, each with its document's label."""
+    return known.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+")).alias("sentence"), "label")
+
+
+def spelled_out(words: Words) -> tuple[list[bytes], np.ndarray]:
+    """Words made of LETTERS or more one-letter words in a row, and the text that each is of."""
+    lone = np.fromiter((len(w) == 1 for w in words.vocab), bool, len(words.vocab))[words.codes] if words.vocab else np.zeros(0, bool)
+    doc = np.repeat(np.arange(len(words.counts)), words.counts)
+    at = np.flatnonzero(lone)
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(doc[at]) > 0)])) if len(at) else at
+    sizes = np.diff(np.append(cuts, len(at)))
+    runs = [(int(at[c]), int(n)) for c, n in zip(cuts[sizes >= LETTERS], sizes[sizes >= LETTERS], strict=True)]
+    return [b"".join([words.vocab[c] for c in words.codes[a : a + n].tolist()]) for a, n in runs], doc[[a for a, _ in runs]] if runs else doc[:0]
 
 
 def word_statistics(sentences: DataFrame) -> DataFrame:
@@ -190,7 +222,9 @@ def word_statistics(sentences: DataFrame) -> DataFrame:
         s, c = np.divmod(pair, max(len(words.vocab), 1))
         n1 = np.bincount(c, y[s], len(words.vocab)).astype(np.int64)
         n0 = np.bincount(c, ~y[s], len(words.vocab)).astype(np.int64)
-        return {"word": pa.array(words.vocab, pa.binary()), "n1": pa.array(n1), "n0": pa.array(n0)}
+        more, of = spelled_out(words)
+        n1, n0 = (np.concatenate([n, at]) for n, at in ((n1, y[of].astype(np.int64)), (n0, (~y[of]).astype(np.int64))))
+        return {"word": pa.array([*words.vocab, *more], pa.binary()), "n1": pa.array(n1), "n0": pa.array(n0)}
 
     bound_arrow(sentences.sparkSession)
     return map_arrow(sentences, count, "word binary, n1 bigint, n0 bigint", "sentence").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
@@ -235,10 +269,11 @@ def _suspicion(b: pa.RecordBatch, gains: np.ndarray) -> pa.RecordBatch:
 
 
 def train(sentences: DataFrame, suspects: int = SUSPECTS, others: int = OTHERS, hard: int = HARD, rounds: int = ROUNDS) -> StringKernelMachine | None:
-    """A machine from labelled sentences; None if one of the labels is missing. The driver holds suspects + others + rounds * hard words."""
+    """A machine from labelled sentences; None if one of the labels is missing. The driver holds suspects + others + rounds * hard words, and
+    while it looks for the highest, FILES times as many rows of a word and its counts."""
     # copies of a document would make each of its words a suspect, so a sentence counts once
     once = sentences.groupBy("sentence").agg(F.min("label").alias("label"))
-    stats = materialize(word_statistics(once), "word-statistics")
+    stats = materialize(word_statistics(once).coalesce(FILES), "word-statistics")
     total = stats.agg(F.sum("n1"), F.sum("n0")).first()
     if not total[0] or not total[1]:
         return None
@@ -288,7 +323,10 @@ def highest_scores(docs: DataFrame, machine: StringKernelMachine, *keep: str) ->
     def run(b: pa.RecordBatch) -> dict:
         weights, bias = held.value
         words = Words(b.column("text"), lower=True)
-        top = np.maximum(_highest(words, word_scores(words.vocab, weights)), 0) + bias
+        top = np.maximum(_highest(words, word_scores(words.vocab, weights)), 0)
+        more, of = spelled_out(words)
+        np.maximum.at(top, of, word_scores(more, weights))
+        top += bias
         return {n: b.column(n) for n in keep} | {"margin": pa.array(top.astype(np.float64))}
 
     bound_arrow(docs.sparkSession)
@@ -318,14 +356,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column | None =
     """The columns asked for (doc_id) and `score`, 0 to 1, of every document; learns from labelled rows where `training` holds."""
     columns = columns or ["doc_id"]
     bound_arrow(docs.sparkSession)
-    known = only(docs, "doc_id", "text").join(only(labels, "doc_id", label).where(F.col(label).isNotNull()), "doc_id")
-    if training is not None:
-        known = known.where(training)
-    machine = train(labelled_sentences(docs, labels, label, training))
+    known = materialize(labelled_documents(docs, labels, label, training), "toxicity-known")
+    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0
+    machine = train(labelled_sentences(known.where(~own)))
     if machine is None:
-        share = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+        share = known.agg(F.avg("label")).first()[0] or 0.0
         return docs.select(*[F.col(f"`{c}`") for c in columns], F.lit(float(share)).alias("score"))
-    a, b = calibrate(highest_scores(known.select(F.col(label).cast("int").alias("label"), "text"), machine, "label"))
+    a, b = calibrate(highest_scores(known.where(own), machine, "label"))
     need = dict.fromkeys([*columns, "text"])
     out = highest_scores(only(docs, *need), machine, *columns)
     logit = F.greatest(F.least(F.col("margin") * a + b, F.lit(30.0)), F.lit(-30.0))
