@@ -1,6 +1,6 @@
 """Word lists and findings as data. Patterns are matched against plain (lower-case, unmarked) text.
 
-Fixed values: the vocabularies of five report languages, the function words of languages, and the findings with their names.
+The columns' names are fixed values. The vocabularies of five report languages and the function words are this engine's own; other ones can be given to every operator.
 """
 
 from __future__ import annotations
@@ -81,6 +81,8 @@ LANGUAGE_WORDS = {
     "de": "der die das und mit ist nicht ein eine von im den kein".split(),
     "fr": "le la les des et est avec dans pas une sur pour du".split(),
     "es": "el los las del con una por que sin se al como para".split(),
+    "it": "il lo gli della che non per sono nel dal questa anche".split(),
+    "pt": "os da das dos do com nao uma em sem pelo mais".split(),
     "nl": "het een van met geen niet aan voor wordt zijn bij".split(),
     "tr": "ve bir ile bu icin olarak izlenmektedir mevcut normal".split(),
     "pl": "jest nie oraz bez przy jako widoczne".split(),

@@ -59,22 +59,21 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.;:\n])\s+"), lambda s: F.trim(s) != "")
 
 
-def _fold(text: Column) -> Column:
-    return _unmarked(F.coalesce(text, F.lit("")))
-
-
 def with_language(rows: DataFrame, text: str = "text", name: str = "language", words: dict[str, list[str]] = LANGUAGE_WORDS, strong: dict[str, list[str]] = STRONG_WORDS) -> DataFrame:
     """Adds the language: el or ru by script; else the one with most distinct function words, a strong word counting three more. 'unknown' for fewer than
-    three words, no hit, or a tie at the top. Each step is a column of its own, so that none is computed twice."""
-    foreign = F.col("_low").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")
-    count = lambda pattern: F.when(foreign, F.regexp_count("_low", F.lit(pattern))).otherwise(0)
-    hits = lambda of: F.size(F.array_intersect("_distinct", F.array(*map(F.lit, of)))) if of else F.lit(0)
+    three words, no hit, or a tie at the top. A text is cut into words once, and only the few that any language lists are kept for counting. Each step is a
+    column of its own, so that none is computed twice."""
+    listed = sorted({w for of in (*words.values(), *strong.values()) for w in of})
+    foreign = F.col("_plain").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")
+    count = lambda pattern: F.when(foreign, F.regexp_count("_plain", F.lit(pattern))).otherwise(0)
+    hits = lambda of: F.size(F.array_intersect("_listed", F.array(*map(F.lit, of)))) if of else F.lit(0)
     scores = F.array(*[F.struct((hits(w) + 3 * hits(strong.get(k, []))).alias("n"), F.lit(k).alias("lang")) for k, w in words.items()])
     top, second = F.col("_ranked")[0], F.col("_ranked")[1]
     by_words = F.when((F.col("_n") < 3) | (top["n"] == 0) | (top["n"] == second["n"]), "unknown").otherwise(top["lang"])
-    out = rows.withColumn("_low", _fold(F.col(text)))
-    out = out.withColumns({"_tokens": F.regexp_extract_all("_low", F.lit("[a-z]+"), F.lit(0)), "_greek": count(r"\p{IsGreek}"), "_cyrillic": count(r"\p{IsCyrillic}"), "_latin": count(r"\p{IsLatin}")})
-    out = out.withColumns({"_n": F.size("_tokens"), "_distinct": F.array_distinct("_tokens")})
+    out = rows.withColumn("_plain", _unmarked(F.coalesce(F.col(text), F.lit(""))))
+    out = out.withColumns({"_words": F.split("_plain", "[^a-z]+"), "_greek": count(r"\p{IsGreek}"), "_cyrillic": count(r"\p{IsCyrillic}"), "_latin": count(r"\p{IsLatin}")})
+    # an empty part is first or last, so five parts show whether there are three words
+    out = out.withColumns({"_n": F.size(F.filter(F.slice("_words", 1, 5), lambda w: w != "")), "_listed": F.array_intersect("_words", F.array(*map(F.lit, listed)))})
     out = out.withColumn("_ranked", F.sort_array(scores, asc=False))
     script = F.when((F.col("_greek") > F.col("_cyrillic")) & (F.col("_greek") > F.col("_latin")), "el").when((F.col("_cyrillic") > F.col("_greek")) & (F.col("_cyrillic") > F.col("_latin")), "ru")
     return out.withColumn(name, script.otherwise(by_words)).select(*[F.col(f"`{c}`") for c in rows.columns if c != name], name)

@@ -1,10 +1,12 @@
-"""Coverage, agreement and rank-based scores, all as one aggregation over cells or one window a column."""
+"""Coverage, agreement and rank-based scores, all as aggregations over cells, or over ranges of a column's scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import sums_below
+
 
 def coverage(labels: DataFrame) -> DataFrame:
     y = F.col("label")
@@ -45,13 +47,11 @@ def scores_by_language(cells: DataFrame, key: str = "doc_id") -> DataFrame:
 def auc(cells: DataFrame, *by: str) -> DataFrame:
     """Mann-Whitney area of p for y by column; ties count half. Null unless both classes are there.
 
-    Rows are first counted by (column, p), so ranks run over distinct scores and tied rows never meet in a task."""
+    Rows are first counted by (column, p), so tied rows never meet in a task; sums below a score run over ranges of scores."""
     by = by or ("column",)
     bins = cells.where("y IS NOT NULL AND p IS NOT NULL").groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bins.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2.0))
-    return ranked.groupBy(*by).agg((F.sum("pos") + F.sum("neg")).alias("n"), F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
+    return sums_below(bins, list(by), "p", ["neg"]).groupBy(*by).agg((F.sum("pos") + F.sum("neg")).alias("n"), F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def masked_bce(cells: DataFrame, *by: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +71,18 @@ def accuracy_by_provenance(combined: DataFrame, gold: DataFrame, key: str = "doc
     found = cells.groupBy("provenance").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("_g")).cast("double")).alias("accuracy"))
     kinds = combined.sparkSession.createDataFrame([(p,) for p in PROVENANCES[:4]], "provenance string")
     return kinds.join(found, "provenance", "left").select("provenance", F.coalesce("n", F.lit(0)).alias("n"), "accuracy")
+
+
+def any_label(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a wide table with at least one label."""
+    return wide.where(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in columns]))
+
+
+def labelled_cells(targets: DataFrame) -> DataFrame:
+    """labelled, cells: how many cells of a table of targets have a label to learn from, of how many."""
+    return targets.agg(F.count_if(F.col("weight") > 0).alias("labelled"), F.count("*").alias("cells"))
+
+
+def missing_targets(found: list[str], expected: list[str]) -> list[str]:
+    """The expected target columns that a table lacks, in their order."""
+    return [c for c in expected if c not in set(found)]

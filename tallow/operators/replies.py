@@ -17,13 +17,35 @@ def build_prompt(text: Column, columns: list[str]) -> Column:
     return F.concat(F.lit(head + "".join(f"- {c}\n" for c in columns) + "Report:\n"), F.substring(F.coalesce(text, F.lit("")), 1, MOST_CHARS))
 
 
+#: The words that count as an answer.
+PRESENT, ABSENT = ["1", "yes", "true", "present"], ["0", "no", "false", "absent"]
+BLANKS = " \t\n\r\f\x0b"
+
+
+def _folded(x: Column) -> Column:
+    return F.lower(F.btrim(x, F.lit(BLANKS)))
+
+
+def answer(value: Column) -> Column:
+    """1.0 or 0.0 from a JSON value: the numbers 1 and 0, booleans, or an answer word; null for all else, so "1.0" as a string or 0.5 say nothing."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    word = _folded(F.try_variant_get(value, "$", "string"))
+    from_word = F.when(word.isin(PRESENT), 1.0).when(word.isin(ABSENT), 0.0)
+    is_number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    return F.when(is_number, F.when(number.isin(0.0, 1.0), number)).when(kind.isin("BOOLEAN", "STRING"), from_word)
+
+
 def parse_reply(reply: Column, columns: list[str]) -> dict[str, Column]:
-    """A label column for each name from the outermost braces: 1 and 0 as numbers, booleans or words; all else is null. Keys match whatever their case."""
+    """A label column for each name from the outermost braces, which must hold one JSON object and nothing else. Keys match whatever their case and outer
+    blanks, the last one if several do; values keep their types. No reply is an error: what can't be read is null."""
     body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    cells = F.from_json(F.to_json(F.try_parse_json(body)), "map<string,string>")
-    folded = F.transform_keys(F.map_from_entries(F.array_distinct(F.transform(F.map_entries(cells), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value"))))), lambda k, _: k)
-    value = lambda c: F.lower(F.trim(F.try_element_at(folded, F.lit(c.lower().strip()))))
-    return {c: F.when(value(c).isin("1", "1.0", "true", "yes", "present"), 1.0).when(value(c).isin("0", "0.0", "false", "no", "absent"), 0.0) for c in columns}
+    # in an array, text after the object is malformed and a second object is seen
+    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,variant>>", {"allowSingleQuotes": "false"})
+    cells = F.when(F.size(read) == 1, F.map_entries(F.get(read, F.lit(0))))
+    last = lambda c: F.element_at(F.filter(cells, lambda e: _folded(e["key"]) == c.strip().lower()), F.lit(-1))
+    found = lambda c: F.when(F.exists(cells, lambda e: _folded(e["key"]) == c.strip().lower()), answer(last(c)["value"]))
+    return {c: found(c) for c in columns}
 
 
 def label_by_model(rows: DataFrame, generate: Callable[[list[str]], list[str]], columns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:

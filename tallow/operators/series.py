@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +75,51 @@ def window_indices(n_rows: Column, n: int, offset: float = 0.0, jitter: Column |
     return F.when(n_rows > 1, at).otherwise(F.array_repeat(F.lit(0), n))
 
 
-def percentile_clip(rows: DataFrame, by: str, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Adds scaled: the value clipped to its group's percentiles and mapped to 0..255, half to even; a flat group uses its extremes, then 0."""
-    bounds = rows.groupBy(by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+def uniform(*parts: Column) -> Column:
+    """A number in 0..1, below 1, that depends on the parts alone: the first 32 bits of their MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def normal(*parts: Column) -> Column:
+    """A standard normal number that depends on the parts alone (Box and Muller's transform of two uniform ones)."""
+    u, v = uniform(*parts, F.lit("u")), uniform(*parts, F.lit("v"))
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def slice_dropout(rows: DataFrame, by: list[str], order: str, rate: float, seed: int = 0) -> DataFrame:
+    """Adds kept: false for a share `rate` of slices, drawn by hash. A series of one or two slices keeps all, and none loses its last: of a series whose
+    slices were all drawn the one with the largest number stays."""
+    drawn = rows.withColumn("_u", uniform(F.lit(seed), *[F.col(c) for c in by], F.col(order)))
+    sums = drawn.groupBy(*by).agg(F.count("*").alias("_n"), F.max("_u").alias("_top"))
+    kept = (F.col("_n") <= 2) | (F.col("_u") >= rate) | ((F.col("_top") < rate) & (F.col("_u") == F.col("_top")))
+    return drawn.join(sums, by).withColumn("kept", kept).drop("_u", "_n", "_top")
+
+
+def add_noise(value: Column, sigma: float, *parts: Column) -> Column:
+    return value + sigma * normal(*parts)
+
+
+def percentile_clip(rows: DataFrame, by: str, value: str, low: float = 0.01, high: float = 0.99, slice_no: str | None = None) -> DataFrame:
+    """Adds scaled: the value clipped to its group's percentiles and mapped to 0..255, half to even. An unreadable (null) value counts as 0. If the group's
+    percentiles are equal, each slice's extremes take their place (the group's, without slice_no); what is flat even then becomes 0."""
+    read = rows.withColumn("_v", F.coalesce(value, F.lit(0.0)))
+    bounds = read.groupBy(by).agg(F.percentile("_v", F.array(F.lit(low), F.lit(high))).alias("_q"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    out = read.join(bounds if slice_no is None else bounds.drop("_min", "_max"), by)
+    if slice_no is not None:
+        out = out.join(read.groupBy(by, slice_no).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max")), [by, slice_no])
     flat = F.col("_q")[1] <= F.col("_q")[0]
     lo, hi = F.when(flat, F.col("_min")).otherwise(F.col("_q")[0]), F.when(flat, F.col("_max")).otherwise(F.col("_q")[1])
-    scaled = F.when(hi <= lo, 0).otherwise(F.bround((F.greatest(F.least(F.col(value), hi), lo) - lo) / (hi - lo) * 255).cast("int"))
-    return rows.join(bounds, by).withColumn("scaled", scaled).drop("_q", "_min", "_max")
+    scaled = F.when(hi <= lo, 0).otherwise(F.bround((F.greatest(F.least(F.col("_v"), hi), lo) - lo) / (hi - lo) * 255).cast("int"))
+    return out.withColumn("scaled", scaled).drop("_v", "_q", "_min", "_max")
 
 
-def neighbour_stack(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """Adds before and after: the neighbours' values, the own one at the ends."""
+def neighbour_stack(rows: DataFrame, by: str, order: list[str], value: str, grey: bool = False, scale: float = 1.0) -> DataFrame:
+    """Adds before and after: the neighbours' values, the own one at the ends, or everywhere for grey; divided by `scale` (255 for bytes) along with the value."""
+    v = F.col(value) / F.lit(float(scale)) if scale != 1.0 else F.col(value)
+    if grey:
+        return rows.withColumns({"before": v, "after": v, value: v})
     w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumns({"before": F.coalesce(F.lag(value).over(w), F.col(value)), "after": F.coalesce(F.lead(value).over(w), F.col(value))})
+    return rows.withColumns({"before": F.coalesce(F.lag(v).over(w), v), "after": F.coalesce(F.lead(v).over(w), v), value: v})
 
 
 def canonical_flip(pixels: Column, plane: Column, side: Column, target: str = "R") -> Column:
@@ -105,7 +139,7 @@ def plane_of(iop: Column) -> Column:
     return F.when(length.isNull() | (length == 0) | (top < 0.5), "unknown").when(parts[0] == top, "sagittal").when(parts[1] == top, "coronal").otherwise("axial")
 
 
-#: What descriptions call planes and fluid-sensitive contrasts.
+#: What descriptions call planes and fluid-sensitive contrasts.
 PLANES = [("sagittal", "sag"), ("coronal", "cor"), ("axial", "ax|tra")]
 FLUID = "stir|pd|t2|fs|fat|spair|spir|dp"
 
@@ -120,6 +154,23 @@ def describe(description: Column) -> tuple[Column, Column]:
     return plane, contrast
 
 
+def series_kind(plane: Column, fluid: Column, description: Column, iop: Column) -> tuple[Column, Column]:
+    """(plane, contrast): structured columns win, the description fills in what they don't say, the direction cosines come last for the plane. Unknown values count as
+    nothing said."""
+    told = F.lower(F.trim(plane.cast("string")))
+    said, contrast = describe(description)
+    known = F.when(told.isin(*[name for name, _ in PLANES]), told)
+    wet = truthy(fluid)
+    return F.coalesce(known, said, plane_of(iop)), F.when(wet.isNull(), contrast).when(wet, "fluid").otherwise("other")
+
+
+def laterality_histogram(sides: DataFrame, side: str = "side") -> DataFrame:
+    """side, n, pct_known: rows by side, null included, and the share of all rows whose side is known."""
+    counts = sides.groupBy(side).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("_all"), F.coalesce(F.sum(F.when(F.col(side).isNotNull(), F.col("n"))), F.lit(0)).alias("_known"))
+    return counts.join(F.broadcast(whole)).select(side, "n", (100.0 * F.col("_known") / F.col("_all")).alias("pct_known"))  # three rows at most, and one
+
+
 def laterality(image: Column, tag: Column, body_part: Column, x: Column, least: float = 20.0) -> Column:
     """L or R from the image's tag, the series' tag, the body part's words, or the sign of x far enough from the middle."""
     own = lambda c: F.when(F.upper(F.trim(c)).isin("L", "R"), F.upper(F.trim(c)))

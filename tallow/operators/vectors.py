@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def attention_pool(rows: DataFrame, bag: str, x: str, score: Column, mask: Colum
     return parts
 
 
+def two_level_pool(slices: DataFrame, study: str, series: str, x: str, slice_score: Callable[[Column], Column], series_score: Callable[[Column], Column], plane: str | None = None, embedding: DataFrame | None = None, mask: Column | None = None) -> DataFrame:
+    """study, dim, value: slices are pooled to series, a vector for its plane is added to each series' (embedding: plane, dim, add; a row for each plane and dimension), and
+    series are pooled to studies."""
+    kinds = [plane] if plane and embedding is not None else []
+    kept = (slices.where(mask) if mask is not None else slices).withColumn("_bag", F.struct(study, series, *kinds))
+    rows = attention_pool(kept, "_bag", x, slice_score(F.col(x)))
+    if kinds:
+        # a few planes
+        rows = rows.withColumn("plane", F.col(f"_bag.{plane}")).join(F.broadcast(embedding), ["plane", "dim"], "left").withColumn("value", F.col("value") + F.coalesce("add", F.lit(0.0)))
+    # a series' vector is some hundred numbers
+    vectors = rows.groupBy("_bag").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v"))
+    vectors = vectors.select(F.col(f"_bag.{study}").alias(study), F.transform("v", lambda e: e["value"]).alias("_x"))
+    return attention_pool(vectors, study, "_x", series_score(F.col("_x")))
+
+
+def linear_head(pooled: DataFrame, key: str, weights: dict[str, list[float]], bias: dict[str, float]) -> DataFrame:
+    """key, column, p: the sigmoid of each column's weighted sum over the pooled vector (key, dim, value)."""
+    w = F.array(*[F.array(*map(F.lit, v)) for v in weights.values()])
+    sums = [F.sum(F.col("value") * F.get(F.get(w, F.lit(k)), F.col("dim"))) + F.lit(float(bias.get(c, 0.0))) for k, c in enumerate(weights)]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_z{k}").alias("z")) for k, c in enumerate(weights)])
+    wide = pooled.groupBy(key).agg(*[z.alias(f"_z{k}") for k, z in enumerate(sums)])
+    return wide.select(key, F.explode(cells).alias("c")).select(key, "c.column", (1 / (1 + F.exp(-F.col("c.z")))).alias("p"))
+
+
 def offset_average(cells: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mean probability over test-time offsets."""
     return cells.groupBy(key, "column").agg((F.sum("p") / F.count_distinct("offset")).alias("p"))

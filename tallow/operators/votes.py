@@ -12,41 +12,71 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import FINDINGS, OSTEOARTHRITIS, Compartments, Cues, Finding
 from ..functions.text import any_of, lines, normalize, sentences, split_clauses
 
-#: Java's Unicode classes, as texts hold Greek and Cyrillic.
+#: Java's Unicode classes, as texts hold Greek and Cyrillic. They are slow, and the same as the plain ones where a text is ASCII.
 U = "(?U)"
 
 
-def negated(clause: Column, cues: Cues) -> Column:
-    return F.regexp_replace(clause, U + cues.exceptions, " ").rlike(U + cues.negation) if cues.exceptions else clause.rlike(U + cues.negation)
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
-def near(clause: Column, structure: str, pattern: str, window: int) -> Column:
-    """Whether the pattern occurs around the first place of the structure: on the left with its context, on the right as if the text ended."""
-    p, m = F.regexp_instr(clause, F.lit(U + structure)), F.regexp_substr(clause, F.lit(U + structure))
-    lo, hi = F.greatest(F.lit(0), p - 1 - window), F.least(F.length(clause), p - 1 + F.length(m) + window)
-    return F.when(lo == 0, F.substring(clause, 1, hi).rlike(U + pattern)).otherwise(F.substring(clause, lo, hi - lo + 1).rlike(f"(?sU)^.(?:.*?)(?:{pattern})"))
+def says(text: Column, pattern: str, ascii_: Column | None = None) -> Column:
+    """Whether the text has the pattern, by Unicode's classes."""
+    return F.when(is_ascii(text) if ascii_ is None else ascii_, text.rlike(pattern)).otherwise(text.rlike(U + pattern))
 
 
-def vote(finding: Finding) -> Column:
-    """'pos', 'neg' or null for a row with clause, negated, hedged, significant."""
-    c, neg, hedged, significant = (F.col(n) for n in ("clause", "negated", "hedged", "significant"))
+def negated(clause: Column, cues: Cues, ascii_: Column | None = None) -> Column:
+    if not cues.exceptions:
+        return says(clause, cues.negation, ascii_)
+    # few clauses have a negation at all, so exceptions are only looked for in those
+    return says(clause, cues.negation, ascii_) & F.regexp_replace(clause, U + cues.exceptions, " ").rlike(U + cues.negation)
+
+
+def with_places(clauses: DataFrame, findings: list[Finding]) -> DataFrame:
+    """Adds what votes need of each finding: `_alone`, whether its terms are there; and the first place of its structure, as `_part`, the text around it, and `_head`, whether
+    that begins the clause. Each is a column, so that no match is computed twice."""
+    c, ascii_ = F.col("clause"), F.col("ascii")
+    at: dict[str, Column] = {}
+    for k, f in enumerate(findings):
+        if f.alone:
+            at[f"_alone{k}"] = says(c, f.alone, ascii_)
+        if f.structure:
+            at[f"_at{k}"] = F.when(ascii_, F.regexp_instr(c, F.lit(f.structure))).otherwise(F.regexp_instr(c, F.lit(U + f.structure)))
+    part: dict[str, Column] = {}
+    for k, f in enumerate(findings):
+        if f.structure:
+            p = F.col(f"_at{k}")
+            lo = F.greatest(F.lit(0), p - 1 - f.window)
+            hi = F.least(F.length(c), p - 1 + F.length(F.regexp_substr(c, F.lit(U + f.structure))) + f.window)
+            part[f"_part{k}"] = F.when(p > 0, F.substring(c, F.greatest(lo, F.lit(1)), F.when(lo == 0, hi).otherwise(hi - lo + 1)))
+            part[f"_head{k}"] = p <= 1 + f.window
+    return clauses.withColumns(at).withColumns(part) if part else clauses.withColumns(at)
+
+
+def vote(finding: Finding, k: int) -> Column:
+    """'pos', 'neg' or null for a row of with_places, of the finding numbered k."""
+    neg, hedged, significant = (F.col(n) for n in ("negated", "hedged", "significant"))
     plain = F.when(hedged | (neg & significant), F.lit(None)).when(neg, "neg").otherwise("pos")
-    out = F.when(c.rlike(U + finding.alone), plain) if finding.alone else F.when(F.lit(False), F.lit(None).cast("string"))
+    out = F.when(F.col(f"_alone{k}"), plain) if finding.alone else F.when(F.lit(False), F.lit(None).cast("string"))
     if finding.structure:
-        there = c.rlike(U + finding.structure)
+        part, head = F.col(f"_part{k}"), F.col(f"_head{k}")
+        there = part.isNotNull()
+        # a part inside the clause keeps the letter before it as context, and ends as if the clause did
+        near = lambda pattern: F.when(head, says(part, pattern)).otherwise(part.rlike(f"(?sU)^.(?:.*?)(?:{pattern})"))
         intact = F.when(hedged, F.lit(None)).when(neg, "pos").otherwise("neg")
-        out = out.when(there & near(c, finding.structure, finding.pathology, finding.window), plain)
-        out = out.when(there & near(c, finding.structure, finding.integrity, finding.window), intact)
+        out = out.when(there & near(finding.pathology), plain)
+        out = out.when(there & near(finding.integrity), intact)
         if finding.mention_is_negative:
             out = out.when(there & ~hedged, "neg")
     return out
 
 
 def clause_table(docs: DataFrame, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, clause_no, clause and the shared flags."""
+    """key, clause_no, clause, ascii and the shared flags."""
     rows = docs.select(key, F.posexplode(split_clauses(normalize(F.col(text)), U + cues.clause_ends)).alias("clause_no", "clause"))
-    c = F.col("clause")
-    return rows.withColumns({"negated": negated(c, cues), "hedged": c.rlike(U + cues.hedges), "significant": c.rlike(U + cues.significance)})
+    c, ascii_ = F.col("clause"), F.col("ascii")
+    rows = rows.withColumn("ascii", is_ascii(c))
+    return rows.withColumns({"negated": negated(c, cues, ascii_), "hedged": says(c, cues.hedges, ascii_), "significant": says(c, cues.significance, ascii_)})
 
 
 def verdict(positive: Column, negative: Column) -> Column:
@@ -64,14 +94,14 @@ def long_labels(votes: DataFrame, columns: list[str], key: str = "doc_id") -> Da
 
 def label_findings(docs: DataFrame, findings: list[Finding] = FINDINGS, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, column, label of texts with at least one clause."""
-    clauses = clause_table(docs, cues, key, text)
-    return long_labels(clauses.select(key, *[vote(f).alias(f"v{k}") for k, f in enumerate(findings)]), [f.column for f in findings], key)
+    clauses = with_places(clause_table(docs, cues, key, text), findings)
+    return long_labels(clauses.select(key, *[vote(f, k).alias(f"v{k}") for k, f in enumerate(findings)]), [f.column for f in findings], key)
 
 
 def compartment(text: Column, spec: Compartments) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in spec.patterns:
-        out = out.when(text.rlike(U + pattern), name)
+        out = out.when(says(text, pattern), name)
     return out
 
 
@@ -92,9 +122,9 @@ def label_compartments(docs: DataFrame, spec: Compartments = OSTEOARTHRITIS, cue
     rows = body.select(key, "section", F.explode(split_clauses(F.replace(F.col("line"), F.lit(":"), F.lit(" ")), U + cues.clause_ends)).alias("clause"))
     c = F.col("clause")
     neg = negated(c, cues)
-    cartilage = c.rlike(U + spec.cartilage)
-    harmed = c.rlike(U + spec.explicit) | (cartilage & c.rlike(U + spec.damage))
-    kind = F.when(c.rlike(U + spec.uncertainty) | (neg & c.rlike(U + cues.significance)), F.lit(None)).when(harmed, F.when(neg, "neg").otherwise("pos")).when(cartilage & c.rlike(U + spec.intact), "neg")
+    cartilage = says(c, spec.cartilage)
+    harmed = says(c, spec.explicit) | (cartilage & says(c, spec.damage))
+    kind = F.when(says(c, spec.uncertainty) | (neg & says(c, cues.significance)), F.lit(None)).when(harmed, F.when(neg, "neg").otherwise("pos")).when(cartilage & says(c, spec.intact), "neg")
     where = F.coalesce(compartment(c, spec), "section")
     names = list(spec.columns)
     votes = rows.select(key, kind.alias("kind"), where.alias("at"))
@@ -113,7 +143,7 @@ def label_reports(docs: DataFrame, key: str = "doc_id", text: str = "text", colu
 def mentions(text: Column, finding: Finding, extra: str = "") -> Column:
     """Whether the text names the finding at all; a finding without terms is never named."""
     parts = [p for p in (extra, finding.alone, finding.structure) if p]
-    return any_of(*[normalize(text).rlike(U + p) for p in parts])
+    return any_of(*[says(normalize(text), p) for p in parts])
 
 
 def mention_table(cells: DataFrame) -> DataFrame:
@@ -135,6 +165,18 @@ def mention_table(cells: DataFrame) -> DataFrame:
     )
 
 
+def mention_rate(table: DataFrame) -> DataFrame:
+    """From mention_table: the share of gold positives that their texts mention, over all columns, and how many are never mentioned."""
+    pos = F.sum("n_pos")
+    mentioned = F.sum(F.coalesce(F.col("mention_rate_pos") * F.col("n_pos"), F.lit(0.0)))
+    return table.agg((mentioned / F.greatest(pos, F.lit(1))).alias("mention_rate"), F.sum("missed_unmentionable").alias("unmentioned"), pos.alias("positives"))
+
+
+def with_texts(cells: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds the text of each cell's key, "" where there is none."""
+    return cells.join(texts.select(key, text), key, "left").withColumn(text, F.coalesce(text, F.lit("")))
+
+
 def error_triage(cells: DataFrame, probe: str, keep: int = 6, key: str = "doc_id") -> DataFrame:
     """Up to `keep` examples of each kind of error, by key, with up to three sentences that match the probe."""
     g, p = F.col("gold"), F.col("label")

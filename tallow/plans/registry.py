@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import FINDINGS
 from ..functions.text import normalize, with_language
-from ..operators import evaluate, labels, ranks, replies, series, vectors, votes
+from ..operators import evaluate, labels, learn, ranks, replies, series, vectors, votes
 from ..sources.store import config_key, shard_key
 from . import views as V
 from .oracles import ORACLES as ORACLES
-from .weights import GW, UW, VW
+from .weights import BIAS, GW, HEADS, PLANES, UW, VW
 
 QUERIES: dict = {}
 PREFERENCES = ["N_O", "R_any", "any_F"]
@@ -44,8 +47,8 @@ def normalized_text(s, d):
 
 @query
 def clause_votes(s, d):
-    clauses = votes.clause_table(V.documents(s, d), V.DEMO_CUES)
-    cast = [votes.vote(f).alias(f.column) for f in V.DEMO_FINDINGS]
+    clauses = votes.with_places(votes.clause_table(V.documents(s, d), V.DEMO_CUES), V.DEMO_FINDINGS)
+    cast = [votes.vote(f, k).alias(f.column) for k, f in enumerate(V.DEMO_FINDINGS)]
     rows = clauses.select(F.explode(F.array(*[F.struct(F.lit(f.column).alias("column"), c.alias("vote")) for f, c in zip(V.DEMO_FINDINGS, cast, strict=True)])).alias("x"), "negated", "hedged").select("x.*", "negated", "hedged")
     return rows.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("vote") == "pos").alias("pos"), F.count_if(F.col("vote") == "neg").alias("neg"), F.count_if("negated").alias("negated"), F.count_if("hedged").alias("hedged"))
 
@@ -61,15 +64,56 @@ def section_scope(s, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_header").alias("headers"), F.count_if(F.col("section") == "first").alias("first_lines"), F.count_if(F.col("section") == "second").alias("second_lines"))
 
 
+@query
+def finding_labels(s, d):
+    return votes.label_reports(V.reports(s, d))
+
+
+@query
+def compartment_labels(s, d):
+    return votes.label_compartments(V.reports(s, d))
+
+
+@query
+def finding_mentions(s, d):
+    named = V.reports(s, d).select(*[F.count_if(votes.mentions(F.col("text"), f)).alias(f"n{k}") for k, f in enumerate(FINDINGS)])
+    return named.select(F.explode(F.array(*[F.struct(F.lit(f.column).alias("column"), F.col(f"n{k}").alias("n")) for k, f in enumerate(FINDINGS)])).alias("x")).select("x.*")
+
+
+def _mentioned(s, d):
+    return V.judged(s, d).withColumn("mentioned", votes.mentions(F.col("text"), V.DEMO_FINDINGS[0], extra="trash"))
+
+
 @query
 def mention_ceiling(s, d):
-    probe = F.lower("text").rlike("idiot|moron|scum|clown")
-    return votes.mention_table(V.judged(s, d).withColumn("mentioned", probe))
+    return votes.mention_table(_mentioned(s, d))
+
+
+@query
+def mention_rate(s, d):
+    return votes.mention_rate(votes.mention_table(_mentioned(s, d))).withColumn("mention_rate", F.round("mention_rate", 9))
 
 
 @query
 def error_triage(s, d):
-    return votes.error_triage(V.judged(s, d).where(F.col("column") == "toxic"), r"\bidiot\b|\bscum\b|\bmoron\b").select("kind", "doc_id", "rank")
+    return votes.error_triage(V.judged(s, d).where(F.col("column") == "toxic"), r"\bidiot\b|\bscum\b|\bmoron\b")
+
+
+@query
+def cells_with_text(s, d):
+    english = V.documents(s, d).where("lang = 'en'")
+    return votes.with_texts(V.gold(s, d), english).select("doc_id", "column", F.length("text").alias("n_chars"))
+
+
+@query
+def labelled_documents(s, d):
+    wide = V.documents(s, d).select("doc_id").join(V.table(s, d, "labels"), "doc_id", "left")
+    return labels.any_label(wide, V.COLUMNS).select("doc_id")
+
+
+@query
+def labelled_cells(s, d):
+    return labels.labelled_cells(_targets(s, d))
 
 
 @query
@@ -87,10 +131,14 @@ def scores_by_language(s, d):
     return evaluate.scores_by_language(V.judged(s, d))
 
 
+def _precision(s):
+    return s.createDataFrame([("quality", 0.94), ("toxic", 0.67)], "column string, precision double")
+
+
 def _targets(s, d):
     cells = V.rule_a(s, d).select("doc_id", "column")
-    weights = s.createDataFrame([("quality", 0.8), ("toxic", 0.7)], "column string, weight double")
-    return labels.build_targets(cells, V.rule_a(s, d), V.gold(s, d), weights)
+    out = labels.build_targets(cells, V.rule_a(s, d), V.gold(s, d), labels.column_weights(V.rule_a(s, d), _precision(s)))
+    return out.withColumn("weight", F.round("weight", 9))
 
 
 @query
@@ -105,8 +153,7 @@ def trainable_documents(s, d):
 
 @query
 def label_weights(s, d):
-    precision = s.createDataFrame([("quality", 0.94), ("toxic", 0.67)], "column string, precision double")
-    return labels.column_weights(V.rule_a(s, d), precision).select("column", F.round("weight", 9).alias("weight"))
+    return labels.column_weights(V.rule_a(s, d), _precision(s)).select("column", F.round("weight", 9).alias("weight"))
 
 
 @query
@@ -139,6 +186,12 @@ def macro_auc(s, d):
     return evaluate.auc(_auc_cells(s, d), "model", "column").groupBy("model").agg(F.round(F.avg("auc"), 9).alias("auc"))
 
 
+@query
+def continuous_auc(s, d):
+    cells = V.continuous(s, d).join(V.gold(s, d).select("doc_id", "column", F.col("label").alias("y")), ["doc_id", "column"])
+    return evaluate.auc(cells, "model", "column").withColumn("auc", F.round("auc", 9))
+
+
 @query
 def kfold_assign(s, d):
     return ranks.kfold(V.documents(s, d), 5)
@@ -161,14 +214,51 @@ def rank_average(s, d):
     return ranks.rank_average(V.scored(s, d), {"m1": 2.0, "m2": 1.0}).withColumn("p", F.round("p", 9))
 
 
+@query
+def continuous_rank_average(s, d):
+    """The first model has no rows, so it neither sets the keys nor weighs."""
+    return ranks.rank_average(V.continuous(s, d), {"m0": 5.0, "m1": 2.0, "m2": 1.0}).withColumn("p", F.round("p", 9))
+
+
 @query
 def probability_average(s, d):
     return ranks.probability_average(V.scored(s, d)).withColumn("p", F.round("p", 9))
 
 
+@query
+def offset_average(s, d):
+    cells = V.scored(s, d).withColumn("offset", F.when(F.col("model") == "m1", 0.0).otherwise(0.5))
+    return vectors.offset_average(cells).withColumn("p", F.round("p", 9))
+
+
 @query
 def submission_fill(s, d):
-    return ranks.complete(V.documents(s, d), V.gold(s, d).withColumnRenamed("label", "p"), V.COLUMNS)
+    docs = V.documents(s, d)
+    return ranks.check_complete(ranks.complete(docs, V.gold(s, d).withColumnRenamed("label", "p"), V.COLUMNS), docs, V.COLUMNS)
+
+
+@query
+def fold_union(s, d):
+    """Predictions of five folds' models, one after the other; each document comes once."""
+    rows = V.scored(s, d).where("model = 'm1'").join(ranks.kfold(V.documents(s, d), 5), "doc_id")
+    parts = [rows.where(F.col("fold") == k).select("doc_id", "column", F.round("p", 9).alias("p")) for k in range(5)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def fold_overlap(s, d):
+    """Documents that both labelers and the gold labels know."""
+    known = [rows.where("label IS NOT NULL").select("doc_id") for rows in (V.rule_a(s, d), V.rule_b(s, d), V.gold(s, d))]
+    return reduce(DataFrame.intersect, known)
+
+
+@query
+def fold_models(s, d):
+    """Out-of-fold scores of vectors' labels: whether a vector's label is even, and whether it is below 3, by models on the other folds."""
+    rows = V.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
+    y = F.array(F.struct(F.lit("even").alias("column"), (F.col("label") % 2 == 0).cast("double").alias("label")), F.struct(F.lit("low").alias("column"), (F.col("label") < 3).cast("double").alias("label")))
+    targets = rows.select("doc_id", F.explode(y).alias("y")).select("doc_id", "y.*", F.lit(1.0).alias("weight"))
+    return learn.out_of_fold(rows.select("doc_id", "x"), targets, ranks.kfold(rows, 3), ["even", "low"], 3)
 
 
 @query
@@ -207,9 +297,54 @@ def slice_tta_windows(s, d):
     return _counts(s, d).select("user_id", F.explode(both).alias("x")).select("user_id", "x.offset", F.posexplode("x.at").alias("position", "at"))
 
 
+@query
+def slice_jitter(s, d):
+    jitter = (series.uniform(F.lit("jitter"), F.col("user_id")) - 0.5) * 0.6
+    return _counts(s, d).select("user_id", F.posexplode(series.window_indices(F.col("n"), 8, 0.25, jitter)).alias("position", "at"))
+
+
+@query
+def slice_positions(s, d):
+    """Slices in order: by place along the normal, by number, or by file, as far as they are known."""
+    e = F.col("event_id")
+    place = F.when(e % 3 == 0, F.array(F.col("value"), F.lit(1.0), F.lit(2.0)))
+    key = series.slice_order(place, F.array(F.lit(0.5), F.lit(0.0), F.lit(-1.0)), F.when(e % 3 == 1, e % 17), e)
+    return V.slices(s, d).select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(key, "event_id")).alias("position"))
+
+
+@query
+def slice_dropout(s, d):
+    return series.slice_dropout(V.slices(s, d), ["user_id"], "event_id", 0.3, seed=4).select("event_id", "kept")
+
+
+@query
+def slice_noise(s, d):
+    return V.slices(s, d).select("event_id", F.round(series.add_noise(F.col("value") / 1000.0, 0.025, F.lit(9), F.col("event_id")), 6).alias("noisy"))
+
+
+@query
+def truthy_flags(s, d):
+    rows = V.raw_series(s, d).select(F.coalesce("fluid", F.lit("none")).alias("raw"), series.truthy(F.col("fluid")).alias("flag"))
+    return rows.groupBy("raw", "flag").agg(F.count("*").alias("n"))
+
+
+@query
+def series_metadata(s, d):
+    plane, contrast = series.series_kind(F.col("plane"), F.col("fluid"), F.col("description"), F.col("iop"))
+    return V.raw_series(s, d).select(plane.alias("plane"), contrast.alias("contrast")).groupBy("plane", "contrast").agg(F.count("*").alias("n"))
+
+
+@query
+def laterality_histogram(s, d):
+    sides = V.raw_series(s, d).select(series.laterality(F.col("image"), F.col("tag"), F.col("part"), F.col("x")).alias("side"))
+    return series.laterality_histogram(sides).withColumn("pct_known", F.round("pct_known", 9))
+
+
 @query
 def percentile_clip(s, d):
-    return series.percentile_clip(V.slices(s, d), "user_id", "value").select("event_id", "scaled")
+    """One in ten slices is unreadable; the series of one user in five hold one value a slice only."""
+    rows = V.slices(s, d).withColumn("value", F.when(F.col("event_id") % 10 == 3, F.lit(None)).when(F.col("user_id") % 5 == 2, F.lit(7.0)).otherwise(F.col("value")))
+    return series.percentile_clip(rows, "user_id", "value", slice_no="event_id").select("event_id", "scaled")
 
 
 @query
@@ -250,6 +385,16 @@ def attention_pool(s, d):
     return vectors.attention_pool(rows, "label", "embedding", vectors.gate(F.col("embedding"), VW, UW, GW)).select("label", "dim", F.round("value", 6).alias("value"))
 
 
+@query
+def two_level_pool(s, d):
+    """Vectors as slices, a study a label, four series each, with planes by series."""
+    rows = V.table(s, d, "embeddings").select("label", (F.col("vec_id") % 4).alias("series"), (F.col("vec_id") % 4 % 3).cast("int").alias("plane"), "embedding")
+    planes = s.createDataFrame([(p, k, v) for p, of in PLANES.items() for k, v in enumerate(of)], "plane int, dim int, add double")
+    score = lambda x: vectors.gate(x, VW, UW, GW)
+    pooled = vectors.two_level_pool(rows, "label", "series", "embedding", score, score, "plane", planes)
+    return vectors.linear_head(pooled, "label", HEADS, BIAS).select("label", "column", F.round("p", 6).alias("p"))
+
+
 @query
 def weighted_bce(s, d):
     cells = _targets(s, d).join(V.scored(s, d).where("model = 'm1'"), ["doc_id", "column"])
@@ -267,6 +412,12 @@ def json_reply_parse(s, d):
     return V.table(s, d, "events").select("event_id", replies.parse_reply(F.col("props"), ["K"])["K"].alias("k"))
 
 
+@query
+def reply_labels(s, d):
+    reply = V.in_turn([r for r, _ in V.REPLIES], F.col("doc_id"))
+    return V.documents(s, d).select("doc_id", replies.parse_reply(reply, ["quality", "toxic"])["toxic"].alias("toxic"))
+
+
 @query
 def prompt_render(s, d):
     return V.documents(s, d).select("doc_id", F.md5(replies.build_prompt(F.col("text"), V.COLUMNS)).alias("prompt_md5"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Compartments, Cues, Finding
+from ..operators.series import uniform
 from ..sources.tables import to_long
 
 COLUMNS = ["quality", "toxic"]
@@ -71,3 +72,72 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+
+
+#: Own report sentences that documents are given in turn, so that the shipped findings have something to read.
+REPORT_LINES = [
+    "A large effusion distends the joint.",
+    "Sin fractura visible.",
+    "LATERAL SIDE:\nCartilage thinning.\nPATELLA:\nCartilage normal.",
+    "The ACL is disrupted, medial meniscus preserved.",
+    "Efuzyon yok. Kirik hatti goruldu.",
+    "Suspected fracture of the patella.",
+    "VKB durchtrennt. Kein relevanter Erguss.",
+    "Popliteal cyst of 3 cm and florid synovitis.",
+    "Voorste kruisband intact, botbreuk van de patella.",
+    "Marrow edema after a direct impact.",
+    "Medial cartilage: preserved. Osteophytes along the lateral joint line.",
+    "Desgarro del menisco externo.",
+    "An effusion was drained. Later without effusion.",
+]
+
+
+def in_turn(values: list, key: Column) -> Column:
+    """The value numbered key modulo their number."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.concat_ws("\n", "text", in_turn(REPORT_LINES, F.col("doc_id"))).alias("text"))
+
+
+#: Replies of a language model, and what each says of the column "toxic".
+REPLIES = [
+    ('{"toxic": 1}', 1.0),
+    ('Sure: {"Toxic ": "absent", "quality": 1} done', 0.0),
+    ('{"toxic": "1.0"}', None),
+    ('{"toxic": 1.0}', 1.0),
+    ('{"toxic": true} and more }', None),
+    ('{"toxic": 1, "TOXIC": 0}', 0.0),
+    ('{"toxic": 0.5}', None),
+    ('{"toxic": null}', None),
+    ("{'toxic': 1}", None),
+    ('{"toxic": false}', 0.0),
+    ('{"toxic": " YES "}', 1.0),
+    ('[{"quality": 0}]', None),
+    ('{"toxic": [1]}', None),
+    ("", None),
+    ('{"toxic": 1, "toxic": 0}', 0.0),
+    ("no braces", None),
+]
+#: Raw series metadata, and what it means: planes, fluid flags, descriptions with (plane, contrast).
+RAW_PLANES = [("Sagittal ", "sagittal"), (None, None), ("oblique", None), ("AXIAL", "axial"), ("coronal", "coronal")]
+RAW_FLUID = [("1", "fluid"), ("No", "other"), (None, None), ("maybe", None), ("TRUE", "fluid"), (" n ", "other"), ("0.0", "other")]
+RAW_DESCRIPTIONS = [("SAG PD FS", "sagittal", "fluid"), ("cor t1", "coronal", "other"), ("Ax T2", "axial", "fluid"), ("localizer", None, "other"), (None, None, "other"), ("T1 fat sat COR", "coronal", "fluid"), ("tra STIR", "axial", "fluid")]
+RAW_IOP = [([0.0, 1.0, 0.0, 0.0, 0.0, -1.0], "sagittal"), ([1.0, 0.0, 0.0, 0.0, 0.0, -1.0], "coronal"), ([1.0, 0.0, 0.0, 0.0, 1.0, 0.0], "axial"), ([1.0, 0.0, 0.0, 1.0, 0.0, 0.0], "unknown")]
+RAW_SIDES = [("l", None, None), (None, "R", None), (None, None, "LEFT KNEE"), (None, "x", "right"), (None, None, None), ("", "", "KNEE")]
+
+
+def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with raw metadata of series in turn."""
+    pick = lambda rows, k, key: in_turn([r[k] for r in rows], F.col(key))
+    iop = F.element_at(F.array(*[F.array(*map(F.lit, v)) for v, _ in RAW_IOP]), (F.pmod("l_orderkey", F.lit(len(RAW_IOP))) + 1).cast("int"))
+    sides = [in_turn([r[k] for r in RAW_SIDES], F.col("l_suppkey")).alias(n) for k, n in enumerate(("image", "tag", "part"))]
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", pick(RAW_PLANES, 0, "l_linenumber").alias("plane"), pick(RAW_FLUID, 0, "l_suppkey").alias("fluid"), pick(RAW_DESCRIPTIONS, 0, "l_partkey").alias("description"), iop.alias("iop"), *sides, (F.col("l_quantity") - 25).cast("double").alias("x"))
+
+
+def continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' scores of each cell that hardly ever tie."""
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("column")) for m in ("m1", "m2") for c in COLUMNS])).alias("x")).select("doc_id", "x.*")
+    return rows.withColumn("p", uniform(F.col("model"), F.col("column"), F.col("doc_id")))

@@ -23,14 +23,17 @@ def shard_key(key: Column) -> Column:
 class Store:
     """Parquet below root/<config key>, partitioned by shard. Writes append whole files, so a lost task leaves nothing half done."""
 
-    def __init__(self, spark: SparkSession, root: str, config: dict, key: str = "doc_id"):
-        self.spark, self.key, self.path = spark, key, f"{root.rstrip('/')}/{config_key(config)}"
+    def __init__(self, spark: SparkSession, root: str, config: dict, key: str = "doc_id", right: Column | None = None):
+        """right: what a stored row must satisfy, such as a vector's size; rows that don't are misses and are computed again."""
+        self.spark, self.key, self.right, self.path = spark, key, right, f"{root.rstrip('/')}/{config_key(config)}"
 
     def read(self) -> DataFrame | None:
+        """The stored rows, None before anything is stored. A corrupt file is an error, as what it held would be lost unseen."""
         try:
-            return self.spark.read.option("ignoreCorruptFiles", True).parquet(self.path)
+            rows = self.spark.read.parquet(self.path)
         except AnalysisException:
             return None
+        return rows if self.right is None else rows.where(self.right)
 
     def missing(self, rows: DataFrame) -> DataFrame:
         have = self.read()

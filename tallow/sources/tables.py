@@ -45,9 +45,27 @@ def with_paths(series: DataFrame, root: str, study: str = "StudyInstanceUID", ui
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length of the files below a folder, hidden ones left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    return files.where(~F.substring_index("path", "/", -1).startswith("."))
+    """path, length of the files in a folder by path, hidden ones and folders left out; none if there is no such folder."""
+    try:
+        files = spark.read.format("binaryFile").load(folder.rstrip("/") + "/*").select("path", "length")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, length bigint")
+    own = F.substring_index("path", "/", -1)
+    return files.where(~own.startswith(".")).orderBy("path")
+
+
+def image_root(spark: SparkSession, folder: str, split: str) -> str:
+    """<folder>/<split>_series, or <split>_images if only that is there."""
+    usual, other = (f"{folder.rstrip('/')}/{split}_{kind}" for kind in ("series", "images"))
+    return other if not _exists(spark, usual) and _exists(spark, other) else usual
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -23,11 +23,15 @@ def db(sf):
     return con
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+#: Fitted by iteration; tested in test_operators.
+WITHOUT_SQL = {"fold_models"}
 
 
-@pytest.mark.parametrize("name", QUERIES)
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, sf, db, name):
     df = QUERIES[name](spark, sf)
     columns = ", ".join(f'"{c}"' for c in df.columns)
