@@ -45,9 +45,9 @@ def with_paths(series: DataFrame, root: str, study: str = "StudyInstanceUID", ui
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length of the files in a folder by path, hidden ones and folders left out; none if there is no such folder."""
+    """path, length of the files in a folder by path, hidden ones and folders left out (as those that begin with an underscore); none if there is no such folder."""
     try:
-        files = spark.read.format("binaryFile").load(folder.rstrip("/") + "/*").select("path", "length")
+        files = spark.read.format("binaryFile").load(folder).select("path", "length")
     except AnalysisException:
         return spark.createDataFrame([], "path string, length bigint")
     own = F.substring_index("path", "/", -1)

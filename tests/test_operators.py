@@ -96,6 +96,13 @@ def test_replies(spark):
     assert [(r.ACL, r.MCL) for r in got] == [(1.0, 0.0), (None, None), (None, None), (None, 1.0), (None, None)]
 
 
+def test_no_reply_is_an_error(spark):
+    texts = ['{"ACL": 1, "acl": 0}', '{"ACL": "1.0"}', '{"ACL": 1.0}', '{"ACL": 1} trailing }', '{"ACL": 1}, {"ACL": 0}', '{"ACL": {"a": 1, "a": 2}}', "{'ACL': 1}", '{"ACL": NaN}', '{"ACL": "\\tPresent "}', "{", ""]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    got = [r.y for r in rows.orderBy("k").select(replies.parse_reply(F.col("t"), ["ACL"])["ACL"].alias("y")).collect()]
+    assert got == [0.0, None, 1.0, None, None, None, None, None, 1.0, None, None]
+
+
 def test_store_computes_once(spark, tmp_path):
     calls = []
 
@@ -120,3 +127,96 @@ def test_split(spark, tmp_path):
     assert {r.StudyInstanceUID: r.ACL for r in split.gold.collect()} == {"s1": 0.0, "s2": None}
     test = tables.load_split(spark, str(tmp_path), "test")
     assert test.gold is None and test.reports is None and test.studies.count() == 1
+
+
+def test_image_folders(spark, tmp_path):
+    (tmp_path / "a_images").mkdir()
+    for name in ("b.dcm", ".hidden", "a.dcm"):
+        (tmp_path / "a_images" / name).write_bytes(b"x")
+    assert tables.image_root(spark, str(tmp_path), "a").endswith("/a_images") and tables.image_root(spark, str(tmp_path), "b").endswith("/b_series")
+    (tmp_path / "a_series").mkdir()
+    assert tables.image_root(spark, str(tmp_path), "a").endswith("/a_series")
+    files = tables.list_files(spark, str(tmp_path / "a_images")).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in files] == ["a.dcm", "b.dcm"]
+    assert tables.list_files(spark, str(tmp_path / "none")).count() == 0
+    rows = spark.createDataFrame([("s", "u")], "StudyInstanceUID string, SeriesInstanceUID string")
+    assert tables.with_paths(rows, "/root/").first().series_dir == "/root/s/u"
+
+
+def test_targets_and_sinks(spark, tmp_path):
+    (tmp_path / "sample.csv").write_text("StudyInstanceUID,a,b\ns,0.5,0.5\n")
+    assert tables.target_columns(spark, str(tmp_path / "sample.csv"), expected=2) == ["a", "b"]
+    with pytest.raises(ValueError):
+        tables.target_columns(spark, str(tmp_path / "sample.csv"))
+    assert labels.missing_targets(["a"], ["a", "b"]) == ["b"]
+    tables.write_csv(spark.createDataFrame([(1, 0.5)], "k long, p double"), str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).first().p == "0.5"
+
+
+def test_wrong_shapes_are_misses(spark, tmp_path):
+    rows = spark.range(4).withColumnRenamed("id", "doc_id")
+    short = Store(spark, f"file://{tmp_path}", {"x": 1})
+    short.get(rows, lambda r: r.withColumn("v", F.array(F.lit(1.0))))
+    right = Store(spark, f"file://{tmp_path}", {"x": 1}, right=F.size("v") == 2)
+    assert right.missing(rows).count() == 4
+    assert [list(r.v) for r in right.get(rows, lambda r: r.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))).collect()] == [[1.0, 2.0]] * 4
+
+
+def test_models_without_rows(spark):
+    cells = spark.createDataFrame([(1, "b", "c", 0.2), (2, "b", "c", 0.9), (1, "d", "c", 0.7), (3, "d", "c", 0.1)], "doc_id long, model string, column string, p double")
+    assert {r.doc_id: r.p for r in ranks.rank_average(cells, {"a": 9.0, "b": 1.0}).collect()} == {1: 0.2, 2: 0.9}
+    # the second model's own key is dropped, and its missing one counts as the middle
+    assert {r.doc_id: r.p for r in ranks.rank_average(cells, {"a": 9.0, "b": 1.0, "d": 1.0}).collect()} == {1: 0.0, 2: 0.75}
+    with pytest.raises(ValueError):
+        ranks.rank_average(cells, {"z": 1.0})
+
+
+def test_sums_below_at_any_number_of_ranges(spark):
+    from tallow.operators.order import sums_below
+
+    values = [0.5, -1.0, 3.0, 2.0, 1e300, -1e300, 0.25, 7.0]
+    bins = spark.createDataFrame([("a", v, k + 1) for k, v in enumerate(values)] + [("b", 1.0, 5)], "g string, v double, n long")
+    for ranges in (2, 3, 100):
+        got = {(r.g, r.v): r.n_below for r in sums_below(bins, ["g"], "v", ["n"], ranges).collect()}
+        assert got == {("a", v): sum(k + 1 for k, u in enumerate(values) if u < v) for v in values} | {("b", 1.0): 0}
+
+
+def test_complete_outputs(spark):
+    need = spark.range(3).withColumnRenamed("id", "doc_id")
+    good = need.withColumn("a", F.lit(0.5))
+    assert ranks.check_complete(good, need, ["a"]) is good
+    for bad in (good.where("doc_id > 0"), good.unionByName(good.limit(1)), good.withColumn("a", F.lit(1.5)), good.withColumn("a", F.lit(None).cast("double")), good.withColumn("a", F.lit(float("nan"))), good.withColumnRenamed("a", "b")):
+        with pytest.raises(ValueError):
+            ranks.check_complete(bad, need, ["a"])
+
+
+def test_dropout_keeps_a_slice(spark):
+    rows = spark.createDataFrame([(s, k) for s in range(40) for k in range(s % 4 + 1)], "series long, k long")
+    kept = series.slice_dropout(rows, ["series"], "k", 0.9).groupBy("series").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    assert all(r.kept >= 1 for r in kept) and all(r.kept == r.n for r in kept if r.n <= 2) and any(r.kept < r.n for r in kept)
+
+
+def test_noise_is_normal(spark):
+    x = [r.x for r in spark.range(4000).select(series.normal(F.lit(1), F.col("id")).alias("x")).collect()]
+    assert abs(sum(x) / len(x)) < 0.05 and abs(sum(v * v for v in x) / len(x) - 1) < 0.08
+
+
+def test_fold_models(spark, tmp_path):
+    from tallow.operators import learn
+
+    rng = __import__("numpy").random.default_rng(0)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, x array<double>")
+    targets = spark.createDataFrame([(k, c, v, 1.0) for k in range(300) for c, v in (("a", float(y[k])), ("one", 1.0))], "doc_id long, column string, label double, weight double")
+    out = learn.out_of_fold(rows, targets, ranks.kfold(rows, 3), ["a", "one"], 3)
+    got = {(r.doc_id, r.column): r.p for r in out.collect()}
+    assert len(got) == 600 and {got[k, "one"] for k in range(300)} == {0.5}
+    pos, neg = [got[k, "a"] for k in range(300) if y[k]], [got[k, "a"] for k in range(300) if not y[k]]
+    assert sum(a > b for a in pos for b in neg) / (len(pos) * len(neg)) > 0.9
+    model = learn.fit_column(rows.withColumn("label", (F.get("x", F.lit(0)) > 0).cast("double")).withColumn("weight", F.lit(1.0)))
+    learn.save_model(model, str(tmp_path / "model"))
+    same = learn.load_model(str(tmp_path / "model"))
+    assert [r.p for r in learn.predict(rows, same).orderBy("doc_id").collect()] == [r.p for r in learn.predict(rows, model).orderBy("doc_id").collect()]
+    learn.write_summary(spark, {"auc": 0.5, "folds": [1, 2]}, str(tmp_path / "summary"))
+    assert learn.read_summary(spark, str(tmp_path / "summary")) == {"auc": 0.5, "folds": [1, 2]}
