@@ -3,8 +3,9 @@
 Each record is a gzip member of its own. Writer tasks put their records into archives of their own in the shared folder, under names that no
 other attempt has, and hand back a manifest; only archives of the written manifest are read, so tasks can be lost and run again. The reader
 cuts every archive into byte ranges. A range's task looks for the gzip magic, and takes a candidate for a member only if its header inflates
-to a WARC version line, its check sum and length hold at its end, and the archive ends or goes on with another magic there. A task owns the
-records that start inside its range, and reads past the end to finish the last.
+to a WARC version line and its check sum and length hold at its end. A task owns the
+records that start inside its range, and reads past the end to finish the last. Members follow each other without a break, so a member that begins with a
+WARC version line and then fails, and bytes between members that are none, raise an error; so does an archive with fewer records than its manifest says.
 
 Payload copies: of equal payloads of at least `min_bytes`, the one with the smallest page_id is a response, the rest are revisits of it. Digests are
 counted before the shuffle, and only (page_id, digest) travels in the join, so a payload that a third of the pages share does no harm.
@@ -119,7 +120,7 @@ class RangeReader:
 
     def __init__(self, file, start: int, end: int, size: int):
         self.file, self.end, self.size = file, end, size
-        self.base, self.data = start, b""
+        self.base, self.data = start, bytearray()
 
     def upto(self, at: int) -> bool:
         """Makes the bytes before `at` available, as far as there are any."""
@@ -134,50 +135,78 @@ class RangeReader:
 
     def forget(self, at: int) -> None:
         if at - self.base > 1 << 20:
-            self.data, self.base = self.data[at - self.base :], at
+            del self.data[: at - self.base]
+            self.base = at
 
     def records(self):
         at = self.base
+        whole = at == 0  # whether a member has to begin right here
         while at < self.end:
             self.forget(at)
             self.upto(min(self.end, at + (1 << 20)) + PROBE)
             k = self.data.find(MAGIC, at - self.base)
             if k < 0:
+                if whole:
+                    raise ValueError(f"bytes at {at} belong to no member")
                 at = max(at, self.base + len(self.data) - len(MAGIC) + 1)
                 if self.base + len(self.data) >= self.size:
                     return
                 continue
+            if whole and k != at - self.base:
+                raise ValueError(f"bytes at {at} belong to no member")
             at = self.base + k
             if at >= self.end:
                 return
             got = self.member(at)
             if got is None:
+                if whole:
+                    raise ValueError(f"no record begins at {at}")
                 at += 1
             else:
                 at, content = got
+                whole = True
                 yield content
 
     def member(self, at: int):
-        """(end, content) of the member that begins here, or None if none does."""
+        """(end, content) of the member that begins here, or None if none does; an error if one begins well and doesn't end."""
         self.upto(at + PROBE)
         z = zlib.decompressobj(31)
         try:
             out = z.decompress(self.data[at - self.base : at - self.base + PROBE])
-            if not out.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+        except zlib.error:
+            # a damaged first block, if the version line came out of it; else chance
+            if not self._begins(at):
                 return None
-            parts, fed = [out], at + PROBE
+            raise ValueError(f"the member at {at} is damaged") from None
+        if not out.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+            return None
+        parts, fed = [out], min(at + PROBE, self.base + len(self.data))
+        try:
             while not z.eof:
                 if fed >= self.size:
-                    return None
+                    raise ValueError(f"the archive ends inside the member at {at}")
                 self.upto(fed + (1 << 18))
                 parts.append(z.decompress(self.data[fed - self.base : fed - self.base + (1 << 18)]))
                 fed = min(fed + (1 << 18), self.base + len(self.data))
-        except zlib.error:
-            return None
-        end = min(fed, self.size) - len(z.unused_data)
+        except zlib.error as fault:
+            raise ValueError(f"the member at {at} is damaged: {fault}") from None
+        end = fed - len(z.unused_data)
         self.upto(end + len(MAGIC))
-        follows = self.data[end - self.base : end - self.base + len(MAGIC)]
-        return (end, b"".join(parts)) if end == self.size or follows == MAGIC else None
+        if end < self.size and self.data[end - self.base : end - self.base + len(MAGIC)] != MAGIC:
+            raise ValueError(f"bytes at {end} belong to no member")
+        return end, b"".join(parts)
+
+    def _begins(self, at: int) -> bool:
+        """Whether a version line inflates from the first bytes, fed one by one."""
+        z, out = zlib.decompressobj(31), b""
+        for k in range(at - self.base, min(at - self.base + PROBE, len(self.data))):
+            try:
+                out += z.decompress(self.data[k : k + 1])
+            except zlib.error:
+                break
+            if len(out) >= 10:
+                break
+        return out.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"))
 
 
 def parse(content: bytes) -> dict:
@@ -199,6 +228,11 @@ def parse(content: bytes) -> dict:
     return {"page_id": page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": page(fields["warc-refers-to"]) if revisit else None, "payload_bytes": length, "payload_digest": digest, "payload": None if revisit else payload}
 
 
+def missing_records(manifest: DataFrame, back: DataFrame) -> int:
+    """How many records the manifest counts and the table of read ones lacks."""
+    return (manifest.agg(F.sum("records")).first()[0] or 0) - back.count()
+
+
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool = False) -> DataFrame:
     """The records of the archives in `manifest` (path, bytes)."""
     spark = manifest.sparkSession
@@ -230,4 +264,7 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes the pages as archives and reads them back."""
     spark: SparkSession = pages.sparkSession
     manifest = write_archives(with_revisits(pages, min_bytes), new_path(spark, "warc"))
-    return read_archives(manifest)
+    back = materialize(read_archives(manifest), "warc-records")
+    if lost := missing_records(manifest, back):
+        raise ValueError(f"{lost} records of the manifest were not read back")
+    return back
