@@ -117,16 +117,83 @@ def _riff(d: bytes, at: int) -> int:
     return 8 + n if p == at + 8 + n else 0
 
 
+def crc_table(polynomial: int, width: int) -> list[int]:
+    """What each byte adds to a check sum of `width` bits, most significant bit first."""
+    out, top, full = [], 1 << width - 1, (1 << width) - 1
+    for byte in range(256):
+        c = byte << width - 8
+        for _ in range(8):
+            c = (c << 1 ^ polynomial if c & top else c << 1) & full
+        out.append(c)
+    return out
+
+
+CRC8, CRC16, CRC32 = crc_table(0x07, 8), crc_table(0x8005, 16), crc_table(0x04C11DB7, 32)
+
+
+def crc(data: bytes, table: list[int], width: int) -> int:
+    c, full = 0, (1 << width) - 1
+    for byte in data:
+        c = c << 8 & full ^ table[c >> width - 8 ^ byte]
+    return c
+
+
+def _flac_frame(d: bytes, at: int) -> tuple[int, int]:
+    """(bytes of the frame's header, its samples), (0, 0) if none begins here."""
+    if d[at : at + 1] != b"\xff" or d[at + 1 : at + 2] not in (b"\xf8", b"\xf9") or at + 6 > len(d):
+        return 0, 0
+    size, rate = d[at + 2] >> 4, d[at + 2] & 15
+    lead = d[at + 4]
+    number = 1 if lead < 0x80 else next((k for k in range(2, 8) if lead >> 7 - k == (1 << k + 1) - 2), 0)
+    if not size or not number:
+        return 0, 0
+    p = at + 4 + number
+    if size in (6, 7):
+        samples = int.from_bytes(d[p : p + size - 5], "big") + 1
+        p += size - 5
+    else:
+        samples = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    return (p + 1 - at, samples) if p < len(d) and crc(d[at:p], CRC8, 8) == d[p] else (0, 0)
+
+
 def _flac(d: bytes, at: int) -> int:
-    return len(d) - at if d[at + 4 : at + 8] in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") and at + 42 <= len(d) else 0
+    """Metadata blocks, then frames whose check sums hold, up to the stream's number of samples (or, if that is unknown, as far as frames follow)."""
+    p, last, total = at + 4, False, 0
+    while not last:
+        if p + 4 > len(d):
+            return 0
+        last, kind, n = bool(d[p] & 0x80), d[p] & 0x7F, int.from_bytes(d[p + 1 : p + 4], "big")
+        if (kind == 0) != (p == at + 4) or (kind == 0 and n != 34) or p + 4 + n > len(d):
+            return 0
+        if kind == 0:
+            total = int.from_bytes(d[p + 17 : p + 22], "big") & (1 << 36) - 1
+        p += 4 + n
+    seen = 0
+    while not total or seen < total:
+        head, samples = _flac_frame(d, p)
+        if not head:
+            break
+        seen += samples
+        c, end = crc(d[p : p + head], CRC16, 16), 0
+        for q in range(p + head, len(d) - 1):  # the frame ends where its check sum stands, at the stream's end or before another frame
+            if c == d[q] << 8 | d[q + 1] and ((total and seen >= total) or _flac_frame(d, q + 2)[0] or (not total and q + 2 == len(d))):
+                end = q + 2
+                break
+            c = c << 8 & 0xFFFF ^ CRC16[c >> 8 ^ d[q]]
+        if not end:
+            return 0
+        p = end
+    return p - at if seen and seen >= total else 0
 
 
 def _ogg(d: bytes, at: int) -> int:
+    """Pages whose check sums hold, up to one that ends the stream."""
     p = at
     while d[p : p + 4] == b"OggS" and p + 27 <= len(d) and d[p + 4] == 0:
         n = d[p + 26]
         q = p + 27 + n + sum(d[p + 27 : p + 27 + n])
-        if q > len(d):
+        if q > len(d) or crc(d[p : p + 22] + bytes(4) + d[p + 26 : q], CRC32, 32) != _u32(d, p + 22):
             return 0
         p, last = q, d[p + 5] & 4
         if last:
@@ -135,10 +202,12 @@ def _ogg(d: bytes, at: int) -> int:
 
 
 def _mp4(d: bytes, at: int) -> int:
+    """Top-level boxes; a size of 1 stands for 64 bits behind the kind, one of 0 for all the rest."""
     p, kinds = at, []
     while p + 8 <= len(d):
         n, kind = _u32(d, p, ">"), d[p + 4 : p + 8]
-        if n < 8 or p + n > len(d) or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"udta", b"moof", b"sidx", b"uuid"):
+        n, least = (int.from_bytes(d[p + 8 : p + 16], "big"), 16) if n == 1 else (n or len(d) - p, 8)
+        if n < least or p + n > len(d) or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"udta", b"moof", b"sidx", b"uuid"):
             break
         kinds.append(kind)
         p += n
@@ -146,8 +215,13 @@ def _mp4(d: bytes, at: int) -> int:
 
 
 def _pdf(d: bytes, at: int) -> int:
-    e = d.find(b"%%EOF", at)
-    return e + 5 - at if e > 0 and d.find(b"startxref", at, e) > 0 else 0
+    """Up to the last end mark before another PDF begins; each part that an update added has its startxref."""
+    nxt = d.find(b"%PDF-", at + 1)
+    nxt = len(d) if nxt < 0 else nxt
+    p = end = at
+    while (e := d.find(b"%%EOF", p, nxt)) >= 0 and d.find(b"startxref", p, e) >= 0:
+        p = end = e + 5
+    return end - at
 
 
 def _gzip(d: bytes, at: int) -> int:
