@@ -27,6 +27,8 @@ from .common import as_bytes, batches_of, bound_arrow, materialize, only, ragged
 WINDOW = 10
 #: Windows of the benchmark that a task holds at once, with some 100 bytes each.
 BLOCK_WINDOWS = 200_000
+#: Candidate windows that a task verifies at once.
+CANDIDATES = 1_000_000
 
 #: A-Z to lower case; the other ASCII signs but digits and letters part words.
 CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -109,6 +111,12 @@ class Matcher:
         prefix = np.diff(self.begin)
         at = np.flatnonzero(codes >= 0)
         at = at[prefix[codes[at]] > 0]
+        # occurrences times the windows under their word, in parts of about CANDIDATES
+        cuts = np.searchsorted(np.cumsum(prefix[codes[at]]), np.arange(0, int(prefix[codes[at]].sum()), CANDIDATES), side="left") if len(at) else [0]
+        parts = [self._verified(at[a:e], codes, offsets, prefix) for a, e in itertools.pairwise([*dict.fromkeys([0, *[int(c) for c in cuts], len(at)])])]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in range(3))
+
+    def _verified(self, at: np.ndarray, codes: np.ndarray, offsets: np.ndarray, prefix: np.ndarray):
         n = prefix[codes[at]]
         window = self.of[ragged(self.begin[:-1][codes[at]], n)]
         at = np.repeat(at, n)
