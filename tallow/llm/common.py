@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,11 +47,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: The tables that materialize has written inside the innermost `scratch` of this thread.
+_written = threading.local()
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (tables := getattr(_written, "tables", None)) is not None:
+        tables.append((path, out))
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes what materialize writes inside, at its end, but for the tables that the function it gives was called on; those belong to the scratch around it."""
+    outer, mine, kept = getattr(_written, "tables", None), [], []
+    _written.tables = mine
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _written.tables = outer
+        for path, table in mine:
+            if not any(table is k for k in kept):
+                remove_path(spark, path)
+            elif outer is not None:
+                outer.append((path, table))
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

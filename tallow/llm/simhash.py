@@ -13,8 +13,11 @@ Stars then shrink to components by alternating large-star and small-star rounds,
 Links by similarity (first_of_each_group) are found exactly, by prefixes. Distinct shingles are counted over the distinct sets; each set's shingles
 stand in order of (sets that have it, hash). Of a pair at the similarity or more, both sets hold a common shingle among their first n - ceil(similarity n) + 1.
 A shingle that one set alone has can't be shared, so only sets whose first ones reach into repeated shingles go on, with their repeated
-shingles, which also suffice to verify. Neighbours by size under a shared first shingle are verified first and linked; then all pairs of different
-components under one, in chunk pairs where many sets share it. Pairs are verified by blocks of sets that share their most frequent shingle.
+shingles, which also suffice to verify. In linking rounds each set meets, under each of its first shingles, the set with the largest share of repeated shingles and
+its neighbours in an order by hash, a number of pairs that is linear in the sets; what these link is one component. Then sets of different components under a
+shingle are compared where they are, in chunk pairs if many share it, by parity sketches: bit k is the parity of the shingles that hash to k, so the bits in which two
+sketches differ never outnumber the shingles in which the sets differ. Only pairs that this leaves possible come out, and are verified by blocks of sets that
+share their most frequent shingle.
 
 Nulls: a null text has no words: fingerprint zero, which links like any other. A null doc_id keeps its fingerprint and can be no
 component's id unless the whole component is null. Repeated rows count once in components. Empty tables give no rows. Other columns are ignored.
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, bound_arrow, map_arrow, materialize, mix64, only, ragged, signed
+from .common import Rolling, Words, bound_arrow, map_arrow, materialize, mix64, only, ragged, scratch, signed
 
 BITS = 4
 AGREE = 2
@@ -44,6 +47,11 @@ PART_SHINGLES = 8_000_000
 PREFIX_ROWS = 1_000
 BLOCK_ROWS = 1_000
 BLOCK_SHINGLES = 300_000
+#: Rounds of linking, and orders by hash in each.
+LINKING = 2
+ORDERS = 4
+#: Bits of the smallest and the largest parity sketch.
+SKETCH_BITS = (256, 16_384)
 #: Rows of a group that one task compares; larger groups are split by Gray rank.
 GROUP_ROWS = 20_000
 #: Members of a lowest node, and nodes of an upper node.
@@ -349,13 +357,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # written, so that the joins' sides are plain shuffles, which adaptive execution splits at a star's centre
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "stars-low")
         # large star: each larger neighbour links to the smallest
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         large = materialize(large, "stars")
         # small star: each node and its smaller neighbours link to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "stars-low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         nxt = materialize(small, "stars")
         # done when each node has one link, to a node that has none
@@ -375,12 +384,13 @@ def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that chains of links reach."""
-    fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = firsts.join(classes(fps, bits), "fp")
-    ids = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    # one row a fingerprint; a fingerprint that many documents have is a hot key, which adaptive skew joins split
-    of = materialize(found.join(ids, "root").select("fp", "component_id"), "simhash-classes")
+    with scratch(docs.sparkSession) as keep:
+        fps = keep(materialize(fingerprints(docs, shingle), "fingerprints"))
+        firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        found = materialize(firsts.join(classes(fps, bits), "fp"), "simhash-found")
+        ids = materialize(found.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
+        # one row a fingerprint; a fingerprint that many documents have is a hot key, which adaptive skew joins split
+        of = keep(materialize(found.join(ids, "root").select("fp", "component_id"), "simhash-classes"))
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -443,7 +453,8 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def possible_sets(repeated: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """c, n, ids (repeated shingles, rarest first), first (how many of them may link the set) and block, of the sets that can be in a link at all."""
+    """c, n, ids (repeated shingles, rarest first), first (how many of them may link the set), alone (how many of its shingles no other set has), sketch and block, of
+    the sets that can be in a link at all."""
     spark = repeated.sparkSession
 
     def order(b: pa.RecordBatch) -> dict:
@@ -469,25 +480,64 @@ def possible_sets(repeated: DataFrame, sizes: DataFrame, similarity: float) -> D
                     at, rows, size = at + 1, 0, 0
                 rows, size = rows + 1, size + n // 8
                 blocks.append(at)
-            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ("c", "n", "ids", "first")} | {"block": pa.array(blocks, pa.int64())})
+            ids = b.column("ids").to_pylist()
+            sketches = [parity_sketch(np.frombuffer(x, np.uint64), sketch_bits(n)) for x, n in zip(ids, b.column("n").to_pylist(), strict=True)]
+            more = {"alone": pc.subtract(b.column("n"), pa.array([len(x) // 8 for x in ids], pa.int64())), "sketch": pa.array(sketches, pa.binary()), "block": pa.array(blocks, pa.int64())}
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ("c", "n", "ids", "first")} | more)
 
     lists = repeated.groupBy("c").agg(F.collect_list(F.struct("ids", "counts")).alias("lists")).join(sizes, "c").select("c", "n", "lists")
     found = materialize(lists.mapInArrow(run, "c bigint, n bigint, ids binary, first bigint, last bigint"), "simhash-possible")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.repartitionByRange(parts, "last", "c").sortWithinPartitions("last", "c")
-    return materialize(dealt.mapInArrow(block, "c bigint, n bigint, ids binary, first bigint, block bigint"), "simhash-blocks")
+    return materialize(dealt.mapInArrow(block, "c bigint, n bigint, ids binary, first bigint, alone bigint, sketch binary, block bigint"), "simhash-blocks")
+
+
+def sketch_bits(n: int) -> int:
+    """A power of two, at least twice the set's size within SKETCH_BITS."""
+    return min(max(SKETCH_BITS[0], 1 << (2 * n - 1).bit_length()), SKETCH_BITS[1])
+
+
+def parity_sketch(ids: np.ndarray, bits: int) -> bytes:
+    """Bit k is the parity of the ids whose mixed value is k modulo `bits`; the two halves' difference is the sketch of half the bits."""
+    at = mix64(ids) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """The sketches of a group's sets, of one or two neighbouring sizes at a time."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.sketches = sketches
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def differ(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """The bits in which the sketches of ys, folded to the size of x's, differ from it; no y is smaller."""
+        size = len(self.sketches[x])
+        if size not in self.tables:
+            rows, of = [], np.full(len(self.sketches), -1)
+            for k, b in enumerate(self.sketches):
+                v = np.frombuffer(b, np.uint64)
+                while len(v) * 8 > size:
+                    v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+                if len(v) * 8 == size:
+                    of[k] = len(rows)
+                    rows.append(v)
+            self.tables[size] = (np.stack(rows), of)
+        table, of = self.tables[size]
+        return np.bitwise_count(table[of[ys]] ^ table[of[x]]).sum(1, dtype=np.int64)
 
 
 def first_shingles(possible: DataFrame) -> DataFrame:
-    """h, c and n: a row for each shingle that may link a set."""
+    """h, c, n and share (of repeated shingles in the set, in millionths): a row for each shingle that may link a set."""
 
     def run(batches):
         for b in batches:
-            first = b.column("first").to_numpy()
+            first, n = b.column("first").to_numpy(), b.column("n").to_numpy()
             ids = b"".join([x[: 8 * k] for x, k in zip(b.column("ids").to_pylist(), first.tolist(), strict=True)])
-            yield pa.RecordBatch.from_pydict({"h": pa.array(np.frombuffer(ids, np.int64)), "c": pa.array(np.repeat(b.column("c").to_numpy(), first)), "n": pa.array(np.repeat(b.column("n").to_numpy(), first))})
+            share = 1_000_000 - b.column("alone").to_numpy() * 1_000_000 // n
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.frombuffer(ids, np.int64)), "c": pa.array(np.repeat(b.column("c").to_numpy(), first)), "n": pa.array(np.repeat(n, first)), "share": pa.array(np.repeat(share, first))})
 
-    return possible.mapInArrow(run, "h bigint, c bigint, n bigint")
+    return possible.select("c", "n", "ids", "first", "alone").mapInArrow(run, "h bigint, c bigint, n bigint, share bigint")
 
 
 PAIRS = "x bigint, y bigint"
@@ -502,78 +552,94 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"x": pa.array(x[keep]), "y": pa.array(y[keep])})
 
 
-def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that follow each other by size among the sets with one shingle."""
+def linking_pairs(rooted: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """Pairs of sets of different components under a shingle: each with the one that has the largest share of repeated shingles, and with the next one in an order by hash (one of ORDERS orders, by
+    the shingle, so that a family's sets meet a few others each). rooted: h, c, n, share, root."""
 
     def run(batches):
-        last = np.zeros((3, 0), dtype=np.int64)
+        last = np.zeros((4, 0), dtype=np.int64)
         for b in batches:
-            h, c, n = np.concatenate([last, np.stack([b.column(k).to_numpy() for k in ("h", "c", "n")])], axis=1)
-            at = np.flatnonzero((h[1:] == h[:-1]) & (n[:-1] >= n[1:] * similarity - 1e-9))
+            h, c, n, root = np.concatenate([last, np.stack([b.column(k).to_numpy() for k in ("h", "c", "n", "root")])], axis=1)
+            at = np.flatnonzero((h[1:] == h[:-1]) & (root[1:] != root[:-1]) & (np.minimum(n[1:], n[:-1]) >= np.maximum(n[1:], n[:-1]) * similarity - 1e-9))
             yield _pairs(c[at], c[at + 1])
-            last = np.stack([x[-1:] for x in (h, c, n)])
+            last = np.stack([x[-1:] for x in (h, c, n, root)])
+
+    parts = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # in ranges, so that a very common shingle fills several tasks; a pair lost between two ranges is found later
+    order = F.xxhash64("c", F.pmod("h", F.lit(ORDERS)), F.lit(seed))
+    ranged = rooted.withColumn("at", order).repartitionByRange(parts, "h", "at", "c").sortWithinPartitions("h", "at", "c")
+    near = ranged.select("h", "c", "n", "root").mapInArrow(run, PAIRS)
+    pivots = materialize(rooted.groupBy("h").agg(F.max(F.struct("share", "c", "n", "root")).alias("p"), F.count("*").alias("many")).where("many > 1").select("h", "p.c", "p.n", "p.root").toDF("h", "pc", "pn", "proot"), "simhash-pivots")
+    sizes = F.least("n", "pn") >= F.greatest("n", "pn") * similarity - 1e-9
+    central = rooted.join(pivots, "h").where((F.col("root") != F.col("proot")) & sizes).select(F.least("c", "pc").alias("x"), F.greatest("c", "pc").alias("y"))
+    return near.unionByName(central).distinct()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").sortWithinPartitions("h", "n", "c").mapInArrow(run, PAIRS).distinct()
 
+def with_roots(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Adds root, the component by the links so far, as a written table."""
+    if links is None:
+        return materialize(rows.withColumn("root", F.col("c")), "simhash-rooted")
+    roots = components(links).toDF("c", "root")
+    return materialize(rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "simhash-rooted")
 
-def pairs_across(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of sets with a common shingle in rows (h, c, n) whose sizes allow a link and whose components, by roots, differ."""
-    rooted = rows.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+def pairs_across(rooted: DataFrame, possible: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of sets with a common shingle in rooted (h, c, n, root) whose components differ, and whose sizes and sketches allow a link."""
     shared = rooted.groupBy("h").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    shared = materialize(shared, "simhash-shared")
     chunks = F.ceil(F.col("many") / PREFIX_ROWS)
     rooted = rooted.join(shared.select("h", chunks.alias("chunks")), "h").withColumn("own", F.pmod(F.xxhash64("c"), "chunks"))
+    rooted = rooted.join(possible.select("c", "alone", "sketch"), "c")
     # every two chunks of a shingle's sets meet in one group
     dealt = rooted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root")
-    columns = ("h", "i", "j", "own", "c", "n", "root")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root", "alone", "sketch")
+    columns = ("h", "i", "j", "own", "c", "n", "root", "alone")
+    apart = (1 - similarity) / (1 + similarity)
 
-    def meet(h, i, j, own, c, n, root):
+    def meet(rows, sketches):
+        h, i, j, own, c, n, root, alone = rows
         cuts = _starts(h, i, j)
-        sizes = np.diff(np.append(cuts, len(h)))
-        left, right = [c[:0]], [c[:0]]
-
-        def keep(a, b):
-            ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * similarity - 1e-9) & ((own[a] != own[b]) | (i[a] == j[a]))
-            left.append(c[a[ok]])
-            right.append(c[b[ok]])
-
-        small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
-        group = np.repeat(np.arange(len(sizes)), sizes)[small]
-        for d in range(1, SMALL):
-            at = np.flatnonzero(group[d:] == group[:-d])
-            if not len(at):
-                break
-            keep(small[at], small[at + d])
-        held = 0
-        for at, size in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            for k in range(at, at + size - 1):
-                keep(np.full(at + size - 1 - k, k), np.arange(k + 1, at + size))
-                held += len(left[-1])
-                if held > 1_000_000:
-                    yield _pairs(np.concatenate(left), np.concatenate(right))
-                    left[:], right[:], held = [], [], 0
-        if left:
-            yield _pairs(np.concatenate(left), np.concatenate(right))
+        left, right, held = [c[:0]], [c[:0]], 0
+        for a, e in itertools.pairwise(np.append(cuts, len(h)).tolist()):
+            if e - a < 2 or (root[a:e] == root[a]).all():
+                continue
+            order = a + np.argsort(n[a:e], kind="stable")
+            group = Sketches([sketches[k] for k in order.tolist()])
+            sizes, roots, mine, lone = n[order], root[order], own[order], alone[order]
+            last = np.searchsorted(sizes, sizes / similarity + 1e-9, side="right")
+            whole = i[a] == j[a]
+            for k in range(len(order) - 1):
+                ys = np.arange(k + 1, last[k])
+                ys = ys[(roots[ys] != roots[k]) & (whole | (mine[ys] != mine[k]))]
+                if not len(ys):
+                    continue
+                ys = ys[group.differ(k, ys) + lone[k] + lone[ys] <= (sizes[k] + sizes[ys]) * apart + 1e-9]
+                left.append(np.full(len(ys), c[order[k]]))
+                right.append(c[order[ys]])
+                held += len(ys)
+            if held > 1_000_000:
+                yield _pairs(np.concatenate(left), np.concatenate(right))
+                left, right, held = [c[:0]], [c[:0]], 0
+        yield _pairs(np.concatenate(left), np.concatenate(right))
 
     def run(batches):
-        held, many = [], 0
+        held, sketches = [], []
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(np.stack([b.column(k).to_numpy() for k in columns]))
-            many += b.num_rows
-            if many < 100_000:
+            sketches += b.column("sketch").to_pylist()
+            if len(sketches) < 20_000:
                 continue
             rows = np.concatenate(held, axis=1)
             cut = int(_starts(*rows[:3])[-1])
             if cut:
-                yield from meet(*rows[:, :cut])
-            held, many = [rows[:, cut:]], rows.shape[1] - cut
+                yield from meet(rows[:, :cut], sketches[:cut])
+            held, sketches = [rows[:, cut:]], sketches[cut:]
         if held:
-            yield from meet(*np.concatenate(held, axis=1))
+            yield from meet(np.concatenate(held, axis=1), sketches)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, PAIRS).distinct()
 
 
@@ -612,21 +678,25 @@ def similar_sets(docs: DataFrame, sizes: DataFrame, shingle: int, similarity: fl
     total = sizes.agg(F.sum("n")).first()[0] or 0
     possible = possible_sets(repeated_shingles(docs, shingle, total), sizes, similarity)
     rows = first_shingles(possible)
-    near = verified(neighbours(rows, similarity), possible, similarity)
-    return components(near.unionByName(verified(pairs_across(rows, components(near), similarity), possible, similarity)))
+    links = None
+    for k in range(LINKING):
+        found = verified(linking_pairs(with_roots(rows, links), similarity, k), possible, similarity)
+        links = found if links is None else links.unionByName(found)
+    return components(links.unionByName(verified(pairs_across(with_roots(rows, links), possible, similarity), possible, similarity)))
 
 
 def first_of_each_group(docs: DataFrame, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, of which no other row of their group comes before: smallest doc_id, nulls last, then smallest
     text hash. Groups are chains of pairs whose sets of shingles have the Jaccard similarity or more; texts without words are alike."""
     keyed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
-    fps = materialize(set_hashes(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk"))
-    sets = materialize(fps.groupBy("c").agg(first.alias("k"), F.first("n").alias("n")), "simhash-sets")
-    roots = similar_sets(docs, sets.select("c", "n"), shingle, similarity).withColumnRenamed("node", "c")
-    chosen = sets.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tk").alias("_k"))
-    rows = fps.groupBy(F.col("doc_id").alias("_i"), F.col("tk").alias("_t")).agg(F.count("*").alias("_n"))
-    kept = materialize(chosen.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_t"))).select("_id", "_k", "_n"), "simhash-kept")
+    with scratch(docs.sparkSession) as keep:
+        fps = materialize(set_hashes(docs, shingle), "fingerprints")
+        sets = materialize(fps.groupBy("c").agg(first.alias("k"), F.first("n").alias("n")), "simhash-sets")
+        roots = similar_sets(docs, sets.select("c", "n"), shingle, similarity).withColumnRenamed("node", "c")
+        chosen = sets.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tk").alias("_k"))
+        rows = fps.groupBy(F.col("doc_id").alias("_i"), F.col("tk").alias("_t")).agg(F.count("*").alias("_n"))
+        kept = keep(materialize(chosen.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_t"))).select("_id", "_k", "_n"), "simhash-kept"))
     found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_k")))
     once = found.where("_n = 1").select(*docs.columns)
     repeated = found.where("_n > 1").groupBy("_id", "_k").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
