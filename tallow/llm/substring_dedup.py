@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import Rolling, Words, bound_arrow, map_arrow, materialize, new_path, only, ragged, remove_path, signed
+from .common import Rolling, Words, bound_arrow, map_arrow, materialize, new_path, only, ragged, remove_path, scratch, signed
 
 WINDOW = 50
 #: Words of an anchor. Half a window: about one anchor in a dozen words.
@@ -222,10 +222,11 @@ def removed_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW, ba
 def dedup_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of a batch of new documents, whose doc_ids are beyond those of `history`, the documents that the index
     was made of. Afterwards the index knows the batch too."""
-    profiles = materialize(profile(batch, window, anchor), "profiles")
-    whole, unsure = match_batch(index, stretches_of(profiles))
-    known = only(history, "doc_id", "text").unionByName(only(batch, "doc_id", "text"))
-    spans = materialize(_spans(whole.unionByName(verify(known, unsure, window))), "spans")
+    with scratch(batch.sparkSession) as keep:
+        profiles = keep(materialize(profile(batch, window, anchor), "profiles"))
+        whole, unsure = match_batch(index, stretches_of(profiles))
+        known = only(history, "doc_id", "text").unionByName(only(batch, "doc_id", "text"))
+        spans = keep(materialize(_spans(whole.unionByName(verify(known, unsure, window))), "spans"))
     return _cut(batch, profiles.select(*KEY, "n_words", "sha"), None, spans, window)
 
 
@@ -261,13 +262,14 @@ def _kept(b: pa.RecordBatch, window: int) -> tuple[Words, np.ndarray]:
 
 def decide(docs: DataFrame, window: int, anchor: int, batches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables: a row per document (KEY, n_words, sha); KEY of those whose whole word sequence a smaller document has; and KEY with removed spans."""
-    profiles = materialize(profile(docs, window, anchor), "profiles")
-    heads = profiles.select(*KEY, "n_words", "sha")
-    sized = heads.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    firsts = sized.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
-    copies = materialize(sized.select(*KEY, "sha").join(firsts, ["doc_id", "sha"], "left_anti").select(*KEY).distinct(), "copies")
-    own = profiles.join(firsts, ["doc_id", "sha"], "left_semi")
-    return heads, copies, removed_spans(docs, own, window, batches)
+    with scratch(docs.sparkSession) as keep:
+        profiles = keep(materialize(profile(docs, window, anchor), "profiles"))
+        heads = profiles.select(*KEY, "n_words", "sha")
+        sized = heads.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
+        firsts = sized.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+        copies = keep(materialize(sized.select(*KEY, "sha").join(firsts, ["doc_id", "sha"], "left_anti").select(*KEY).distinct(), "copies"))
+        own = profiles.join(firsts, ["doc_id", "sha"], "left_semi")
+        return heads, copies, keep(removed_spans(docs, own, window, batches))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_arrow, map_arrow, materialize, only
+from .common import Words, bound_arrow, map_arrow, materialize, only, scratch
 
 LETTERS = 4
 MAX_GAP = 3
@@ -352,17 +352,23 @@ def calibrate(margins: DataFrame, label: str = "label") -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+def fitted(docs: DataFrame, labels: DataFrame, training: Column | None, label: str) -> tuple[StringKernelMachine | None, float, float, float]:
+    """The machine (None if a kind of label is missing), the share of toxic labelled documents, and the logistic curve's slope and offset."""
+    with scratch(docs.sparkSession):
+        known = materialize(labelled_documents(docs, labels, label, training), "toxicity-known")
+        own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0
+        machine = train(labelled_sentences(known.where(~own)))
+        share = float(known.agg(F.avg("label")).first()[0] or 0.0)
+        return machine, share, *(calibrate(highest_scores(known.where(own), machine, "label")) if machine else (0.0, 0.0))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column | None = None, label: str = "toxic", columns: list[str] | None = None) -> DataFrame:
     """The columns asked for (doc_id) and `score`, 0 to 1, of every document; learns from labelled rows where `training` holds."""
     columns = columns or ["doc_id"]
     bound_arrow(docs.sparkSession)
-    known = materialize(labelled_documents(docs, labels, label, training), "toxicity-known")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0
-    machine = train(labelled_sentences(known.where(~own)))
+    machine, share, a, b = fitted(docs, labels, training, label)
     if machine is None:
-        share = known.agg(F.avg("label")).first()[0] or 0.0
-        return docs.select(*[F.col(f"`{c}`") for c in columns], F.lit(float(share)).alias("score"))
-    a, b = calibrate(highest_scores(known.where(own), machine, "label"))
+        return docs.select(*[F.col(f"`{c}`") for c in columns], F.lit(share).alias("score"))
     need = dict.fromkeys([*columns, "text"])
     out = highest_scores(only(docs, *need), machine, *columns)
     logit = F.greatest(F.least(F.col("margin") * a + b, F.lit(30.0)), F.lit(-30.0))
