@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -147,3 +149,39 @@ def base_scores(rows):
         w = tokens(t)
         out.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)))
     return out
+
+
+def best_fit_decreasing(lengths, size):
+    """How many sequences best fit needs, one piece after the other, longest first."""
+    gaps, made = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        if k == len(gaps):
+            gap, made = size, made + 1
+        else:
+            gap = gaps.pop(k)
+        bisect.insort(gaps, gap - n)
+    return made
+
+
+def kernel_score(word, weights, letters=4, most=3, decay=0.6):
+    """The normed sum over gapped sequences of letters, a sequence's weight being decay for each letter between its own; edges are letters."""
+    stands_for = dict(zip("013457@$!", "oieastasi", strict=True))
+    symbols = [27]
+    for b in word:
+        c = ord(stands_for.get(chr(b), chr(b)))
+        if chr(c).isascii() and chr(c).isalpha():
+            symbols.append((c | 32) - 96)
+        elif 0x80 <= b < 0xC0:
+            symbols.append(28 + (b & 3))
+    symbols.append(27)
+    total = norm = 0.0
+    for first in range(len(symbols)):
+        for rest in itertools.combinations(range(first + 1, min(first + letters + most, len(symbols))), letters - 1):
+            code = 0
+            for k in (first, *rest):
+                code = code << 5 | symbols[k]
+            w = decay ** (rest[-1] - first - letters + 1)
+            total += float(weights[code]) * w
+            norm += w * w
+    return total / math.sqrt(norm) if norm else 0.0

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallow.llm import oracles, packing, queries, substring_dedup, warc
+from tallow.llm import oracles, packing, queries, substring_dedup, toxicity, warc
 from tallow.llm import media as media_module
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,7 +85,24 @@ def test_packing(spark, hostile):
             assert offset == at
             at += n
         assert at <= 2048
-    assert len(by) <= math.ceil(sum(r.length for r in rows) / 2048 * 1.1) + 1
+    assert len(by) <= brute.best_fit_decreasing([r.length for r in rows], 2048) * 1.005 + 1
+
+
+@pytest.mark.parametrize("kind", ["uniform", "middle", "short", "third", "mixed"])
+def test_packing_rounds(spark, kind):
+    """As few sequences as best-fit decreasing one piece after the other, within a half per cent, gapless, every piece once."""
+    rng = np.random.default_rng(3)
+    lengths = {"uniform": rng.integers(1, 2049, 3000), "middle": rng.integers(500, 900, 3000), "short": rng.integers(1, 60, 4000), "third": np.r_[np.full(1500, 700), rng.integers(1, 2049, 1500)], "mixed": np.minimum(rng.exponential(500, 3000).astype(int) + 1, 2048)}[kind]
+    table = spark.createDataFrame([(i, 0, int(n), "x") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, _rank string")
+    by, seen = {}, set()
+    for r in packing.pack(table).collect():
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        seen.add((r.doc_id, r.length))
+    assert seen == {(i, int(n)) for i, n in enumerate(lengths)}
+    for v in by.values():
+        ends = np.cumsum([n for _, n in sorted(v)])
+        assert [o for o, _ in sorted(v)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(by) <= brute.best_fit_decreasing(lengths.tolist(), 2048) * 1.005 + 1
 
 
 def test_warc(spark, tmp_path):
@@ -100,6 +117,30 @@ def test_warc(spark, tmp_path):
     assert {r.page_id: r.payload for r in back if r.record_type == "response" and r.page_id}[5] == rows[5][2].encode()
 
 
+def test_damaged_archives(spark, tmp_path):
+    """A member that is cut off or changed, junk between members, and an archive with fewer records than its manifest are errors, whatever the ranges."""
+    pages = spark.createDataFrame([(i, f"http://p/{i}", f"<p>{i}</p>" * 2000) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(warc.with_revisits(pages).coalesce(1), f"file://{tmp_path}/whole").first()
+    whole = open(manifest.path.removeprefix("file://"), "rb").read()
+    starts = [k for k in range(len(whole)) if whole[k : k + 3] == warc.MAGIC]
+    cases = {"cut": whole[:-40], "changed": whole[: starts[4] + 300] + bytes([whole[starts[4] + 300] ^ 255]) + whole[starts[4] + 301 :], "junk": whole[: starts[3]] + b"junk" + whole[starts[3] :]}
+    for name, data in cases.items():
+        path = tmp_path / f"{name}.warc.gz"
+        path.write_bytes(data)
+        for size in (500, 1 << 20):
+            with pytest.raises(Exception, match="member|no record|EOF"):
+                warc.read_archives(spark.createDataFrame([(f"file://{path}", len(data), 9)], "path string, bytes long, records long"), size).collect()
+    fewer = spark.createDataFrame([(manifest.path, manifest.bytes, 10)], "path string, bytes long, records long")
+    assert warc.missing_records(fewer, warc.read_archives(fewer)) == 1
+
+
+def test_warc_on_hostile_pages(spark, tmp_path_factory):
+    out = f"file://{tmp_path_factory.mktemp('pages')}"
+    rows = [(1, None, None, "c"), (None, "u", "x", "c"), (2, "u", "", "c"), (2, "u", "", "d"), (3, "v", "é" * 200_000, "c"), (4, "w", "é" * 200_000, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, d string").write.parquet(f"{out}/pages.parquet")
+    assert ordered(map(tuple, queries.op3_warc(spark, out).collect())) == ordered(brute.warc([(i, h) for i, _, h, _ in rows]))
+
+
 def test_sniffing():
     import gzip
 
@@ -109,6 +150,55 @@ def test_sniffing():
     assert media_module.sniff(b"RIFF\xff\xff\xff\xffWAVE") == [] and media_module.sniff(b"") == []
 
 
+PNG = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", bytes([0, 0, 0, 1, 0, 0, 0, 1, 8, 0, 0, 0, 0])), (b"IDAT", zlib.compress(b"\0\0")), (b"IEND", b"")))
+BMP = b"BM" + (58).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + b"\x01\0\x18\0" + bytes(24) + bytes(4)
+GIF = b"GIF89a" + b"\x01\0\x01\0\x80\0\0" + bytes(6) + b"\x2c" + bytes(4) + b"\x01\0\x01\0\0" + b"\x02\x02\x44\x01\0" + b"\x3b"
+
+
+def _flac():
+    head = b"\xff\xf8\x19\x08\x00"
+    frame = head + bytes([media_module.crc(head, media_module.CRC8, 8)]) + b"\0\1\2"
+    frame += media_module.crc(frame, media_module.CRC16, 16).to_bytes(2, "big")
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + (44100 << 44 | 15 << 36 | 192).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\x80\0\0\x22" + info + frame
+
+
+def _ogg():
+    pages = b""
+    for k in (0, 1):
+        page = b"OggS\0" + bytes([2 if k == 0 else 4]) + bytes(8) + b"\1\0\0\0" + k.to_bytes(4, "little") + bytes(4) + b"\1\5" + b"hello"
+        pages += page[:22] + media_module.crc(page, media_module.CRC32, 32).to_bytes(4, "little") + page[26:]
+    return pages
+
+
+def _riff(kind):
+    return b"RIFF" + (16).to_bytes(4, "little") + kind + b"abcd" + (3).to_bytes(4, "little") + b"xyz\0"
+
+
+def _boxes():
+    return (16).to_bytes(4, "big") + b"ftypisom" + bytes(4) + (1).to_bytes(4, "big") + b"mdat" + (20).to_bytes(8, "big") + b"data" + (8).to_bytes(4, "big") + b"moov"
+
+
+JPEG = b"\xff\xd8\xff\xe0\0\4JF" + b"\xff\xda\0\3\0" + b"\1\2\xff\0\3\xff\xd0\4" + b"\xff\xd9"
+PDF = b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF\nupdate startxref\n20\n%%EOF"
+SOUND = [("image/png", PNG), ("image/bmp", BMP), ("image/gif", GIF), ("image/jpeg", JPEG), ("image/webp", _riff(b"WEBP")), ("video/avi", _riff(b"AVI ")), ("audio/flac", _flac()), ("audio/ogg", _ogg()), ("video/mp4", _boxes()), ("application/pdf", PDF)]
+
+
+def test_check_sums():
+    assert media_module.crc(b"123456789", media_module.CRC8, 8) == 0xF4 and media_module.crc(b"123456789", media_module.CRC16, 16) == 0xFEE8
+
+
+@pytest.mark.parametrize("kind,data", SOUND)
+def test_validators(kind, data):
+    """A sound sample is found with its length among other bytes; one that is cut off isn't found, nor one with a broken check sum."""
+    assert media_module.sniff(b"ab" + data + b"tail") == [(kind, 2, len(data))]
+    whole = media_module.to_wav(bytes(64))
+    assert media_module.sniff(data + whole) == [(kind, 0, len(data)), ("audio/wav", len(data), len(whole))]
+    assert (kind, 0, len(data)) not in media_module.sniff(data[:-1])
+    if kind in ("image/png", "audio/flac", "audio/ogg"):
+        assert not media_module.sniff(data[:-9] + bytes([data[-9] ^ 255]) + data[-8:])
+
+
 def test_media_is_stored(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     out = media_module.media_column(docs)
@@ -123,6 +213,49 @@ def test_language_model_beats_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_unit_probabilities():
+    """After any context all units' probabilities sum to one, whatever the vectors, and equal the plain two-level softmax."""
+    from tallow.llm import language_model as lm
+
+    units = lm.Units(37)
+    model = lm.Model(units, np.arange(units.n, dtype=float))
+    rng = np.random.default_rng(5)
+    for name in ("group_out", "out", "ctx"):
+        getattr(model, name)[:] = rng.normal(0, 1.5, getattr(model, name).shape)
+    every = np.arange(units.n)
+    for one, two in ((0, 5), (36, units.end), (units.end, units.end)):
+        log = model.log_p(every, np.full(units.n, one), np.full(units.n, two))
+        assert np.exp(log).sum() == pytest.approx(1, abs=1e-5)
+        q = model.ctx[one] * model.place[0] + model.ctx[two] * model.place[1]
+        groups = np.exp(model.group_out @ q + model.group_bias)
+        own = np.exp(model.out @ q + model.bias).reshape(units.groups, units.size)
+        want = (groups / groups.sum())[:, None] * own / own.sum(1, keepdims=True)
+        assert np.allclose(np.exp(log), want.ravel()[: units.n], atol=1e-5)
+
+
+def test_scores_of_a_language_sum_to_one(spark):
+    """Over all words of the training texts and an unknown one, the one-word texts' probabilities before their end sum to one."""
+    docs = [(1, "a b a c"), (2, "b a"), (4, "c c d")]
+    words = ["a", "b", "c", "d"]
+    probes = [(100 + k, w) for k, w in enumerate([*words, "zz"])]
+    table = spark.createDataFrame(docs + probes, "doc_id long, text string")
+    rows = {r.doc_id: r for r in queries.language_model.score(table, F.col("doc_id") >= 100).collect()}
+    assert rows[1].train_tokens == 12 and rows[104].n_known == 1 and rows[100].n_known == 2
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows.values())
+
+
+def test_limits_and_quantiles(spark):
+    from tallow.llm import token_counts
+
+    lens = [0, 1, 1, 5, 9, 9, 9, 5000, 9000]
+    sums = token_counts.suffix_sums(token_counts.length_histogram(spark.createDataFrame([(n,) for n in lens], "n_tokens long")))
+    for limit in (0, 1, 2, 9, 10, 4999, 5000, 8999, 9000, 10**6):
+        got = token_counts.kept_at(sums, limit).first()
+        assert (got.docs_ge, got.kept_tokens) == (sum(n >= limit for n in lens) if any(n >= limit for n in lens) else 0, sum(min(n, limit) for n in lens))
+    for q in (0.01, 0.3, 0.5, 0.9, 1.0):
+        assert token_counts.quantile(sums, q).first().n_tokens == sorted(lens)[math.ceil(q * len(lens)) - 1]
+
+
 def test_token_counts(spark, hostile):
     from tokenizers import Tokenizer
 
@@ -134,6 +267,53 @@ def test_token_counts(spark, hostile):
         assert r.quantile == pytest.approx(sum(n <= r.n_tokens for n in lens) / len(lens))
 
 
+@pytest.mark.parametrize("cut", [(7,), (3, 9), (1, 2, 60)])
+def test_batches_against_an_index(spark, hostile, tmp_path, cut):
+    """Batches in order of doc_id against a reopened index give what the whole table gives."""
+    docs = spark.read.parquet(f"{hostile}/documents.parquet").where("doc_id IS NOT NULL")
+    edges = [-1, *cut, 10**9]
+    got = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", fan_in=1)
+        batch = docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
+        got += [tuple(r) for r in substring_dedup.dedup_batch(index, batch, docs.where(F.col("doc_id") < low)).collect()]
+        assert len(index.runs) == 1
+    assert ordered(got) == ordered(brute.substring_dedup([(r.doc_id, r.text) for r in docs.collect()]))
+
+
+def test_string_kernel():
+    """Scores by the table of sequences are the kernel's: inner products over gapped sequences of four letters, weighted by the letters between them."""
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=32**4).astype(np.float32)
+    words = [b"idiot", b"i.d-i_o.t", b"idxiot", b"abc", b"a", "über".encode(), b"moron123", b"ab" * 40]
+    for w, got in zip(words, toxicity.word_scores(words, weights), strict=True):
+        assert got == pytest.approx(brute.kernel_score(w, weights), abs=1e-4)
+
+
+def test_insults_in_disguise(spark):
+    sf = "/root/testdata/sf0.01"
+    plain = "The er of and idiot tion the ing."
+    texts = [plain, *(plain.replace("idiot", x) for x in ("i d i o t", "i.d.i.o.t", "idiiot", "id10t", "IDIOT")), "The er of and tion the ing.", "", None]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    scores = [r.score for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"), queries.fold(4) != 2).where("doc_id >= 1000000").orderBy("doc_id").collect()]
+    assert min(scores[:6]) > 2 * max(scores[6:]) and scores[7] == scores[8]
+
+
+@pytest.mark.parametrize("name", ["op7_quality", "op10_toxicity"])
+def test_every_hostile_row_has_a_score(spark, hostile, sf, name, tmp_path_factory):
+    """Nulls, repeated labels, null labels, a word of 100,000 letters, clashing columns: a score between 0 and 1 a row, equal for equal texts."""
+    out = f"file://{tmp_path_factory.mktemp('labelled')}"
+    more = [(9100, "w" * 100_000), (9101, "a\u00a0b \u3000 c"), (9102, "i d i o t " * 50)]
+    docs = spark.read.parquet(f"{hostile}/documents.parquet").drop("row").withColumn("score", F.lit("s")).withColumn("label", F.lit(1)).withColumn("y", F.lit(2))
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    docs.write.parquet(f"{out}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
+    labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(3, None, None), (None, 1, 1)], labels.schema)).withColumn("text", F.lit("t")).write.parquet(f"{out}/labels.parquet")
+    rows = queries.QUERIES[name](spark, out).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 9007}) == 1
+
+
 @pytest.mark.parametrize("name,label", [("op7_quality", "quality"), ("op10_toxicity", "toxic")])
 def test_held_out_ranking(spark, name, label):
     sf = "/root/testdata/sf0.01"
@@ -191,7 +371,7 @@ def test_near_copies_by_similarity(spark, sf):
     got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()}
     assert 60 < len(want) < 200
     assert set(want.values()) <= got
-    assert len(got - set(want.values())) <= 2  # masks and fingerprints may miss a pair in a hundred at 0.8
+    assert got == set(want.values())
 
 
 def kept(spark, sf, words):
