@@ -6,6 +6,8 @@ one vote column. Labels come from one aggregation by document, which Spark start
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,24 @@ def is_ascii(text: Column) -> Column:
 
 
 def says(text: Column, pattern: str, ascii_: Column | None = None) -> Column:
-    """Whether the text has the pattern, by Unicode's classes."""
-    return F.when(is_ascii(text) if ascii_ is None else ascii_, text.rlike(pattern)).otherwise(text.rlike(U + pattern))
+    """Whether the text has the pattern, by Unicode's classes. Where every alternative has a literal part, only texts with one of those are matched."""
+    found = F.when(is_ascii(text) if ascii_ is None else ascii_, text.rlike(pattern)).otherwise(text.rlike(U + pattern))
+    parts = literal_parts(pattern)
+    return any_of(*[text.contains(x) for x in parts]) & found if parts else found
+
+
+def literal_parts(pattern: str, least: int = 4) -> list[str]:
+    """For each top-level alternative the longest run of letters and blanks that any match holds; none at all if one of them has no run of `least` signs."""
+    depth, alternatives = 0, [""]
+    for token in re.findall(r"\\.|\[[^]]*\]|.", pattern, re.DOTALL):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            alternatives.append("")
+        else:
+            # what stands in groups, classes and escapes isn't sure to be there
+            alternatives[-1] += token if not depth and len(token) == 1 and token != ")" else "\0"
+    runs = [max(re.findall(r"[a-z ]+(?![a-z ?*{])", a), key=len, default="") for a in alternatives]
+    return list(dict.fromkeys(runs)) if all(len(r) >= least for r in runs) else []
 
 
 def negated(clause: Column, cues: Cues, ascii_: Column | None = None) -> Column:
@@ -41,7 +59,9 @@ def with_places(clauses: DataFrame, findings: list[Finding]) -> DataFrame:
         if f.alone:
             at[f"_alone{k}"] = says(c, f.alone, ascii_)
         if f.structure:
-            at[f"_at{k}"] = F.when(ascii_, F.regexp_instr(c, F.lit(f.structure))).otherwise(F.regexp_instr(c, F.lit(U + f.structure)))
+            place = F.when(ascii_, F.regexp_instr(c, F.lit(f.structure))).otherwise(F.regexp_instr(c, F.lit(U + f.structure)))
+            parts = literal_parts(f.structure, 3)
+            at[f"_at{k}"] = F.when(any_of(*[c.contains(x) for x in parts]), place).otherwise(0) if parts else place
     part: dict[str, Column] = {}
     for k, f in enumerate(findings):
         if f.structure:
@@ -71,12 +91,22 @@ def vote(finding: Finding, k: int) -> Column:
     return out
 
 
-def clause_table(docs: DataFrame, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, clause_no, clause, ascii and the shared flags."""
+def clauses_of(docs: DataFrame, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, clause_no, clause, ascii."""
     rows = docs.select(key, F.posexplode(split_clauses(normalize(F.col(text)), U + cues.clause_ends)).alias("clause_no", "clause"))
+    return rows.withColumn("ascii", is_ascii(F.col("clause")))
+
+
+def with_flags(clauses: DataFrame, cues: Cues, where: Column | None = None) -> DataFrame:
+    """Adds the flags that all findings share; null where they don't matter."""
     c, ascii_ = F.col("clause"), F.col("ascii")
-    rows = rows.withColumn("ascii", is_ascii(c))
-    return rows.withColumns({"negated": negated(c, cues, ascii_), "hedged": says(c, cues.hedges, ascii_), "significant": says(c, cues.significance, ascii_)})
+    flags = {"negated": negated(c, cues, ascii_), "hedged": says(c, cues.hedges, ascii_), "significant": says(c, cues.significance, ascii_)}
+    return clauses.withColumns(flags if where is None else {n: F.when(where, f) for n, f in flags.items()})
+
+
+def clause_table(docs: DataFrame, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, clause_no, clause, ascii and the shared flags."""
+    return with_flags(clauses_of(docs, cues, key, text), cues)
 
 
 def verdict(positive: Column, negative: Column) -> Column:
@@ -94,7 +124,9 @@ def long_labels(votes: DataFrame, columns: list[str], key: str = "doc_id") -> Da
 
 def label_findings(docs: DataFrame, findings: list[Finding] = FINDINGS, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, column, label of texts with at least one clause."""
-    clauses = with_places(clause_table(docs, cues, key, text), findings)
+    clauses = with_places(clauses_of(docs, cues, key, text), findings)
+    there = [F.col(f"_alone{k}") if f.alone else F.lit(False) for k, f in enumerate(findings)] + [F.col(f"_at{k}") > 0 for k, f in enumerate(findings) if f.structure]
+    clauses = with_flags(clauses, cues, any_of(*there))
     return long_labels(clauses.select(key, *[vote(f, k).alias(f"v{k}") for k, f in enumerate(findings)]), [f.column for f in findings], key)
 
 
@@ -124,8 +156,10 @@ def label_compartments(docs: DataFrame, spec: Compartments = OSTEOARTHRITIS, cue
     neg = negated(c, cues)
     cartilage = says(c, spec.cartilage)
     harmed = says(c, spec.explicit) | (cartilage & says(c, spec.damage))
-    kind = F.when(says(c, spec.uncertainty) | (neg & says(c, cues.significance)), F.lit(None)).when(harmed, F.when(neg, "neg").otherwise("pos")).when(cartilage & says(c, spec.intact), "neg")
-    where = F.coalesce(compartment(c, spec), "section")
+    # most clauses are about something else, so that comes first
+    sure = ~(says(c, spec.uncertainty) | (neg & says(c, cues.significance)))
+    kind = F.when(harmed, F.when(sure, F.when(neg, "neg").otherwise("pos"))).when(cartilage & says(c, spec.intact) & sure, "neg")
+    where = F.when(kind.isNotNull(), F.coalesce(compartment(c, spec), "section"))
     names = list(spec.columns)
     votes = rows.select(key, kind.alias("kind"), where.alias("at"))
     return long_labels(votes.select(key, *[F.when(F.col("at") == n, F.col("kind")).alias(f"v{k}") for k, n in enumerate(names)]), [spec.columns[n] for n in names], key)
