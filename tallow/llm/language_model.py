@@ -42,7 +42,7 @@ NOISE = 16
 OWN_NOISE = 16
 BATCH = 4096
 ROUNDS = 6
-RATE = 0.2
+RATE = 0.1
 #: Parts in which changed parameters travel.
 SLICES = 16
 
@@ -63,7 +63,8 @@ class Units:
 
 
 class Model:
-    """Vectors and biases of groups and units, context vectors, and a weight vector for each place of the context."""
+    """Vectors and biases of groups and units, context vectors, and a weight vector for each place of the context. Each row of them keeps the sum of its squared
+    gradients (its mean over the row), which slows its steps; the roots travel with the parameters."""
 
     NAMES = ("group_out", "group_bias", "out", "bias", "ctx", "place")
 
@@ -81,9 +82,10 @@ class Model:
         self.group_bias = np.log(total / total.sum()).astype(np.float32)
         with np.errstate(divide="ignore"):
             self.bias = np.maximum(np.log(table / total[:, None]), -1e4).astype(np.float32).ravel()  # places without a unit have no share
+        self.squares = {n: np.ones(len(getattr(self, n)), dtype=np.float32) for n in self.NAMES}
 
     def pack(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+        return np.concatenate([*[getattr(self, n).ravel() for n in self.NAMES], *[np.sqrt(self.squares[n]) for n in self.NAMES]])
 
     def unpacked(self, flat: np.ndarray) -> Model:
         """A model of the same shape with these parameters."""
@@ -93,6 +95,11 @@ class Model:
             x = getattr(self, name)
             setattr(m, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
+        m.squares = {}
+        for name in self.NAMES:
+            n = len(getattr(self, name))
+            m.squares[name] = (flat[at : at + n] ** 2).astype(np.float32)
+            at += n
         return m
 
     def query(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -148,11 +155,10 @@ class Noise:
 
 
 class Learner:
-    """Noise-contrastive steps on a model, with sums of squared gradients for each parameter."""
+    """Noise-contrastive steps on a model."""
 
     def __init__(self, model: Model, noise: Noise, seed: int):
         self.model, self.noise, self.rng = model, noise, np.random.default_rng(seed)
-        self.squares = {n: np.ones_like(getattr(model, n)) for n in Model.NAMES}
 
     def learn(self, tokens: np.ndarray, begins: np.ndarray) -> None:
         m, noise = self.model, self.noise
@@ -206,10 +212,10 @@ class Learner:
             index, rows = index[order], rows[order]
             cuts = _runs(index)
             rows, index = np.add.reduceat(rows, cuts), index[cuts]
-        p, squares = getattr(self.model, name), self.squares[name]
-        g = rows.astype(np.float32) if p.ndim > 1 else rows[:, 0].astype(np.float32)
-        squares[index] += g * g
-        p[index] += RATE * g / np.sqrt(squares[index])
+        p, squares = getattr(self.model, name), self.model.squares[name]
+        squares[index] += np.einsum("ij,ij->i", rows, rows) / rows.shape[1]
+        step = RATE * rows / np.sqrt(squares[index])[:, None]
+        p[index] += step if p.ndim > 1 else step[:, 0]
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
