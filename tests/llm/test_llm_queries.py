@@ -399,6 +399,22 @@ def test_short_near_copies(spark, sf):
     assert kept(spark, sf, texts) == list(range(400))
 
 
+def test_scratch(spark):
+    """Tables go at the end of the scratch that they were written in, kept ones at the end of the one around it; outside any, they stay."""
+    from tallow.llm.common import materialize, scratch
+
+    free = materialize(spark.range(2), "free")
+    with scratch(spark):
+        with scratch(spark) as keep:
+            gone, kept = materialize(spark.range(3), "gone"), keep(materialize(spark.range(4), "kept"))
+        assert kept.count() == 4
+        with pytest.raises(Exception):
+            gone.collect()
+    with pytest.raises(Exception):
+        kept.collect()
+    assert free.count() == 2
+
+
 def test_sql_names():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
     assert substring_dedup.WINDOW == 50
