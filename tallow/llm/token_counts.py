@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, map_arrow, only
+from .common import bound_arrow, map_arrow, materialize, only
 from .tokens import default_vocabulary, encoder
 
 #: Lengths in one block of the suffix sums.
@@ -76,4 +76,5 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return suffix_sums(length_histogram(encoded_lengths(docs, vocabulary)))
+    """The histogram is written once, as both levels of sums read it and the texts should be encoded only once."""
+    return suffix_sums(materialize(length_histogram(encoded_lengths(docs, vocabulary)), "length-histogram"))
