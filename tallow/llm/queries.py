@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, media, packing, quality, simhash, substring_dedup, token_counts, toxicity, warc
+from . import decontamination, divergence, hard_negatives, language_model, line_dedup, media, packing, quality, simhash, substring_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -60,4 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_warc, op4_media, op5_lm_score, op6_simhash, op7_quality, op8_decontamination, op9_token_counts, op10_toxicity)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, label = F.col("vec_id"), F.col("label").cast("bigint")
+    moved = F.when(key % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), key % 100 == 0, label=moved)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_warc, op4_media, op5_lm_score, op6_simhash, op7_quality, op8_decontamination, op9_token_counts, op10_toxicity, op11_hard_negatives, op12_line_dedup, op13_divergence)}

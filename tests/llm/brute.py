@@ -185,3 +185,59 @@ def kernel_score(word, weights, letters=4, most=3, decay=0.6):
             total += float(weights[code]) * w
             norm += w * w
     return total / math.sqrt(norm) if norm else 0.0
+
+
+def hard_negatives(rows, positives=5, negatives=10):
+    known = [(i, (y + 1) % 10 if i is not None and i % 7 == 0 else y, [math.floor(256 * v) for v in x]) for i, y, x in rows if y is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    last = lambda i: (i is None, i or 0)
+    out = []
+    for a, (anchor, label, x) in enumerate(known):
+        if anchor is None or anchor % 100:
+            continue
+        scored = sorted([(-sum(p * q for p, q in zip(x, v, strict=True)), last(i), i, y) for k, (i, y, v) in enumerate(known) if k != a])
+        for p, _, i, _ in [s for s in scored if s[3] == label][:positives]:
+            fits = [s for s in scored if s[3] != label and 30 * -p <= 100 * -s[0] <= 90 * -p][:negatives]
+            out += [(anchor, i, k + 1, s[2], -p, -s[0]) for k, s in enumerate(fits)]
+    return out
+
+
+def line_dedup(rows, letters=20, documents=3):
+    keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").translate(UPPER) for x in (t or "").split("\n")]
+    found = collections.defaultdict(set)
+    for i, t in rows:
+        for k in keys(t):
+            if i is not None and len(k) >= letters:
+                found[k].add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x, k in zip(lines, keys(t), strict=True) if not (i is not None and len(k) >= letters and len(found[k]) >= documents and i < max(found[k]))]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+LETTER_RUNS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(rows, documents=30, terms=50):
+    groups = collections.defaultdict(collections.Counter)
+    holders = collections.defaultdict(collections.Counter)
+    for text, lang, source in rows:
+        w = LETTER_RUNS.findall((text or "").translate(UPPER))
+        groups[lang or "", source or ""].update(w)
+        holders[lang or ""].update(set(w))
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [w for w, n in holders[lang].items() if n >= documents]
+        counts = {s: {w: c[w] for w in kept} for (la, s), c in groups.items() if la == lang}
+        counts[None] = {w: sum(c[w] for s, c in counts.items()) for w in kept}
+        share = {s: {w: 1 + 10**9 * (n + 5) // (sum(c.values()) + 5 * len(kept)) for w, n in c.items()} for s, c in counts.items()}
+        for s in counts:
+            if s is None:
+                continue
+            pairs = [(t, sum(abs(share[s][w] - share[t][w]) for w in kept)) for t in counts if t not in (s, None)]
+            more = [(w, share[s][w] - share[None][w]) for w in kept if counts[s][w] and share[s][w] > share[None][w]]
+            for part, items, most in (("pair", pairs, None), ("term", more, terms)):
+                ordered = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out += [(lang, s, part, item, v, k + 1) for k, (item, v) in enumerate(ordered)]
+    return out
