@@ -44,6 +44,8 @@ SEED = 42
 SIMILARITY = 0.8
 #: Shingles that one task counts at once; sets with one shingle that are compared at once; sets and shingles of a block of sets.
 PART_SHINGLES = 8_000_000
+#: Bits of the part in a shingle's id; the other 40 are of its hash.
+PART_BITS = 24
 PREFIX_ROWS = 1_000
 BLOCK_ROWS = 1_000
 BLOCK_SHINGLES = 300_000
@@ -397,6 +399,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
 def repeated_shingles(docs: DataFrame, shingle: int, total: int) -> DataFrame:
     """c, and lists of ids (64-bit) and counts (32-bit) of the shingles of set c that other sets have too; several rows a set."""
     parts = 1 << max(6, (total // PART_SHINGLES).bit_length())
+    if parts > 1 << PART_BITS:
+        raise ValueError(f"{total} shingles are more than ids of 64 bits can tell apart")
 
     def deal(b: pa.RecordBatch) -> dict:
         hashes, n, c = _distinct(b.column("text"), shingle)
@@ -436,7 +440,7 @@ def repeated_shingles(docs: DataFrame, shingle: int, total: int) -> DataFrame:
         order = np.flatnonzero(n > 1)
         order = order[np.argsort(c[order], kind="stable")]
         part = t.column("part")[0].as_py()
-        c, ids, n = c[order], (h[order] << np.uint64(16) | np.uint64(part)).tobytes(), n[order].astype("<u4").tobytes()
+        c, ids, n = c[order], (h[order] << np.uint64(PART_BITS) | np.uint64(part)).tobytes(), n[order].astype("<u4").tobytes()
         edges = np.append(_starts(c), len(c)).tolist()
         cut = lambda data, width: pa.array([data[width * i : width * j] for i, j in itertools.pairwise(edges)], pa.binary())
         return pa.table({"c": pa.array(c[edges[:-1]]), "ids": cut(ids, 8), "counts": cut(n, 4)})

@@ -234,14 +234,56 @@ def test_unit_probabilities():
 
 
 def test_scores_of_a_language_sum_to_one(spark):
-    """Over all words of the training texts and an unknown one, the one-word texts' probabilities before their end sum to one."""
-    docs = [(1, "a b a c"), (2, "b a"), (4, "c c d")]
-    words = ["a", "b", "c", "d"]
-    probes = [(100 + k, w) for k, w in enumerate([*words, "zz"])]
-    table = spark.createDataFrame(docs + probes, "doc_id long, text string")
-    rows = {r.doc_id: r for r in queries.language_model.score(table, F.col("doc_id") >= 100).collect()}
-    assert rows[1].train_tokens == 12 and rows[104].n_known == 1 and rows[100].n_known == 2
-    assert all(math.isfinite(r.score) and r.score < 0 for r in rows.values())
+    """Over the empty text, all words of the training texts and an unknown word of each rare unit, the first word's probabilities (scores without the end's factor) sum to one."""
+    lm = queries.language_model
+    docs = [(1, "a b a c"), (2, "b a"), (4, "c c d"), (5, " ".join(f"w{k}" for k in range(60)))]
+    known = sorted({w for _, t in docs for w in t.split()})
+    units = lm.corpus_counts(spark.createDataFrame(docs, "doc_id long, text string"))[0].units
+    unknown: dict[int, str] = {}
+    for k in range(5000):
+        unknown.setdefault(units.rare_unit(f"zz{k:04d}".encode()), f"zz{k:04d}")
+    assert len(unknown) == units.rare
+    probes = ["", *known, *unknown.values()]
+    table = spark.createDataFrame(docs + [(100 + k, w) for k, w in enumerate(probes)], "doc_id long, text string").coalesce(1).withColumn("held_out", F.col("doc_id") >= 100)
+    rows = {r.doc_id: r for r in lm.score(table, F.col("doc_id") >= 100).collect()}
+    counts = lm.corpus_counts(table.where("NOT held_out"))[0]
+    encoded = lm.encode(table, counts).withColumn("row", F.lit(0))
+    model = lm.train(encoded, counts)
+    blobs = {r.doc_id: np.frombuffer(r.units, "<i4").astype(np.int64) for r in encoded.collect()}
+    total = 0.0
+    for k, w in enumerate(probes):
+        tokens = blobs[100 + k]
+        assert tokens[-1] == units.end and len(tokens) == 1 + bool(w)
+        one, two = lm._context(tokens, np.array([0]), units.end)
+        end = model.log_p(tokens[-1:], one[-1:], two[-1:])[0] / math.log(10) if w else 0.0
+        total += 10 ** (rows[100 + k].score - end)
+        assert rows[100 + k].n_known == 1 + (w in known)
+    assert total == pytest.approx(1, abs=1e-4)
+    # and a longer text is the product of its tokens' shares
+    tokens = blobs[2]
+    log = model.log_p(tokens, *lm._context(tokens, np.array([0]), units.end)).sum() / math.log(10)
+    table_n = {"a": 3, "b": 2}
+    for w in ("b", "a"):
+        u = counts.units.rare_unit(w.encode())
+        if w.encode() not in counts.head:
+            log += math.log10(table_n[w] + 0.5) - counts.rare_log[u - units.head]
+    assert rows[2].score == pytest.approx(log, abs=1e-4)
+
+
+def test_ids_of_repeated_shingles_at_many_parts(spark):
+    """At so many shingles that parts need more than 16 bits, ids still tell different shingles apart."""
+    from tallow.llm import simhash
+
+    texts = [f"{k} common words in every text of this group {k % 3} and a tail {k}" for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many = simhash.repeated_shingles(docs, 3, simhash.PART_SHINGLES << 18)
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in words]
+    shared = {g for s in sets for g in s if sum(g in x for x in sets) > 1}
+    found = {bytes(r.ids)[k : k + 8] for r in many.collect() for k in range(0, len(r.ids), 8)}
+    assert len(found) == len(shared)
+    with pytest.raises(ValueError):
+        simhash.repeated_shingles(docs, 3, simhash.PART_SHINGLES << 30)
 
 
 def test_limits_and_quantiles(spark):
