@@ -19,11 +19,12 @@ def build_prompt(text: Column, columns: list[str]) -> Column:
 
 #: The words that count as an answer.
 PRESENT, ABSENT = ["1", "yes", "true", "present"], ["0", "no", "false", "absent"]
-BLANKS = " \t\n\r\f\x0b"
+#: Unicode's blanks, and the four separators of ASCII.
+BLANKS = r"[\s\x1c-\x1f]"
 
 
 def _folded(x: Column) -> Column:
-    return F.lower(F.btrim(x, F.lit(BLANKS)))
+    return F.lower(F.regexp_replace(x, f"(?U)^{BLANKS}+|{BLANKS}+$", ""))
 
 
 def answer(value: Column) -> Column:
@@ -40,9 +41,11 @@ def parse_reply(reply: Column, columns: list[str]) -> dict[str, Column]:
     """A label column for each name from the outermost braces, which must hold one JSON object and nothing else. Keys match whatever their case and outer
     blanks, the last one if several do; values keep their types. No reply is an error: what can't be read is null."""
     body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    # in an array, text after the object is malformed and a second object is seen
-    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,variant>>", {"allowSingleQuotes": "false"})
-    cells = F.when(F.size(read) == 1, F.map_entries(F.get(read, F.lit(0))))
+    # the body has to be one object inside an array and inside an object: text that closes one of them early doesn't close the other
+    strict = {"allowSingleQuotes": "false"}
+    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,variant>>", strict)
+    whole = F.from_json(F.concat(F.lit('{"x":'), body, F.lit("}")), "map<string,string>", strict)
+    cells = F.when((F.size(read) == 1) & (F.size(whole) == 1), F.map_entries(F.get(read, F.lit(0))))
     last = lambda c: F.element_at(F.filter(cells, lambda e: _folded(e["key"]) == c.strip().lower()), F.lit(-1))
     found = lambda c: F.when(F.exists(cells, lambda e: _folded(e["key"]) == c.strip().lower()), answer(last(c)["value"]))
     return {c: found(c) for c in columns}

@@ -136,22 +136,31 @@ def plane_of(iop: Column) -> Column:
     length = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
     parts = [F.abs(x) / length for x in n]
     top = F.greatest(*parts)
-    return F.when(length.isNull() | (length == 0) | (top < 0.5), "unknown").when(parts[0] == top, "sagittal").when(parts[1] == top, "coronal").otherwise("axial")
+    return F.when((F.size(iop) != 6) | length.isNull() | (length == 0) | (top < 0.5), "unknown").when(parts[0] == top, "sagittal").when(parts[1] == top, "coronal").otherwise("axial")
 
 
-#: What descriptions call planes and fluid-sensitive contrasts.
-PLANES = [("sagittal", "sag"), ("coronal", "cor"), ("axial", "ax|tra")]
-FLUID = "stir|pd|t2|fs|fat|spair|spir|dp"
+#: What descriptions call planes and fluid-sensitive contrasts, as patterns on the description in lower case with blanks for all but letters, digits and stars.
+PLANE_WORDS = {
+    "sagittal": r"\bsag\w*|\bsg\b",
+    "coronal": r"\bcor\w*|\bkor\w*|\bcr\b",
+    "axial": r"\bax\w*|\btra\w*|\btransvers\w*",
+}
+FLUID_WORDS = r"\bt2\b|\bt2\*|\bstir\b|\btirm\b|\bpd\w*|\bdp\b|\bfs\b|\bfatsat\b|\bfat[\s_-]?sat\w*|\bspair\b|\bspir\b|\bsti\b"
+T1_WORD = r"\bt1\b"
+FAT_PARTS = "fs|fat|spair|spir"
+
+
+def plain_description(description: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(description, F.lit(""))), "[^a-z0-9*]+", " "))
 
 
 def describe(description: Column) -> tuple[Column, Column]:
-    """(plane, contrast) from free text; null plane, contrast 'other' where it says nothing. T1 without fat suppression is 'other'."""
-    s = F.regexp_replace(F.lower(F.coalesce(description, F.lit(""))), "[^a-z0-9*]", "")
-    plane = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, pattern in PLANES:
-        plane = plane.when(s.rlike(pattern), name)
-    contrast = F.when(s.contains("t1") & ~s.rlike("fs|fat|spair|spir"), "other").when(s.rlike(FLUID), "fluid").otherwise("other")
-    return plane, contrast
+    """(plane, contrast) from the words of free text; null plane, contrast 'other' where it says nothing. The first plane that has a word wins; T1 without fat suppression is
+    'other', whatever else is said."""
+    s = plain_description(description)
+    plane = F.coalesce(*[F.when(s.rlike(words), name) for name, words in PLANE_WORDS.items()])
+    fluid = s.rlike(FLUID_WORDS) & ~(s.rlike(T1_WORD) & ~s.rlike(FAT_PARTS))
+    return plane, F.when(fluid, "fluid").otherwise("other")
 
 
 def series_kind(plane: Column, fluid: Column, description: Column, iop: Column) -> tuple[Column, Column]:
@@ -159,7 +168,7 @@ def series_kind(plane: Column, fluid: Column, description: Column, iop: Column)
     nothing said."""
     told = F.lower(F.trim(plane.cast("string")))
     said, contrast = describe(description)
-    known = F.when(told.isin(*[name for name, _ in PLANES]), told)
+    known = F.when(told.isin(*PLANE_WORDS), told)
     wet = truthy(fluid)
     return F.coalesce(known, said, plane_of(iop)), F.when(wet.isNull(), contrast).when(wet, "fluid").otherwise("other")
 
@@ -173,7 +182,7 @@ def laterality_histogram(sides: DataFrame, side: str = "side") -> DataFrame:
 
 def laterality(image: Column, tag: Column, body_part: Column, x: Column, least: float = 20.0) -> Column:
     """L or R from the image's tag, the series' tag, the body part's words, or the sign of x far enough from the middle."""
-    own = lambda c: F.when(F.upper(F.trim(c)).isin("L", "R"), F.upper(F.trim(c)))
+    own = lambda c: F.when(F.upper(F.trim(c)).isin("L", "R", "LEFT", "RIGHT"), F.left(F.upper(F.trim(c)), F.lit(1)))
     part = F.when(F.upper(body_part).contains("LEFT"), "L").when(F.upper(body_part).contains("RIGHT"), "R")
     return F.coalesce(own(image), own(tag), part, F.when(F.abs(x) > least, F.when(x > 0, "L").otherwise("R")))
 

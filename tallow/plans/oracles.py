@@ -138,7 +138,7 @@ def _raw_series() -> str:
     pick = lambda rows, k, key: _in_turn([r[k] for r in rows], key)
     plane = f"coalesce({pick(V.RAW_PLANES, 1, 'l_linenumber')}, {pick(V.RAW_DESCRIPTIONS, 1, 'l_partkey')}, {pick(V.RAW_IOP, 1, 'l_orderkey')})"
     contrast = f"coalesce({pick(V.RAW_FLUID, 1, 'l_suppkey')}, {pick(V.RAW_DESCRIPTIONS, 2, 'l_partkey')})"
-    told = ["L", "R", "L", "R", None, None]
+    told = ["L", "L", "R", None, "R", "L", "R", None, None]
     side = f"coalesce({_in_turn(told, 'l_suppkey')}, CASE WHEN l_quantity - 25 > 20 THEN 'L' WHEN l_quantity - 25 < -20 THEN 'R' END)"
     return f"SELECT {plane} AS plane, {contrast} AS contrast, {side} AS side, coalesce({pick(V.RAW_FLUID, 0, 'l_suppkey')}, 'none') AS raw, {pick(V.RAW_FLUID, 1, 'l_suppkey')} = 'fluid' AS flag FROM lineitem"
 

@@ -119,13 +119,23 @@ REPLIES = [
     ("", None),
     ('{"toxic": 1, "toxic": 0}', 0.0),
     ("no braces", None),
+    ('{"toxic": 1}], [{"toxic": 0}', None),
+    ('{"toxic": 1}}, {{"toxic": 0}', None),
+    ('{"toxic": 1}, "x": {"toxic": 0}', None),
+    ('{"toxic": "yes\u00a0"}', 1.0),
+    ('{"\u2003TOXIC\u3000": "\u2009No\x85"}', 0.0),
+    ('{"quality": {"toxic": 0}, "toxic": 1}', 1.0),
 ]
 #: Raw series metadata, and what it means: planes, fluid flags, descriptions with (plane, contrast).
 RAW_PLANES = [("Sagittal ", "sagittal"), (None, None), ("oblique", None), ("AXIAL", "axial"), ("coronal", "coronal")]
 RAW_FLUID = [("1", "fluid"), ("No", "other"), (None, None), ("maybe", None), ("TRUE", "fluid"), (" n ", "other"), ("0.0", "other")]
-RAW_DESCRIPTIONS = [("SAG PD FS", "sagittal", "fluid"), ("cor t1", "coronal", "other"), ("Ax T2", "axial", "fluid"), ("localizer", None, "other"), (None, None, "other"), ("T1 fat sat COR", "coronal", "fluid"), ("tra STIR", "axial", "fluid")]
+RAW_DESCRIPTIONS = [
+    ("SAG PD FS", "sagittal", "fluid"), ("cor t1", "coronal", "other"), ("Ax T2", "axial", "fluid"), ("localizer", None, "other"), (None, None, "other"), ("T1 fat sat COR", "coronal", "fluid"), ("tra STIR", "axial", "fluid"),
+    ("T1 contrast", None, "other"), ("relax scan", None, "other"), ("localizer score", None, "other"), ("offset scout", None, "other"), ("fatty marrow", None, "other"), ("cor TIRM", "coronal", "fluid"), ("KOR T2", "coronal", "fluid"),
+    ("sg pd", "sagittal", "fluid"), ("dp_cr", "coronal", "fluid"), ("T2*-TRANSVERSAL", "axial", "fluid"), ("T1_TIRM sagital", "sagittal", "other"), ("pdw/SPAIR", None, "fluid"), ("t1 fs AXIAL", "axial", "fluid"), ("STI sgx", None, "fluid"), ("t21 fatsats", None, "fluid"), ("t21 fatty", None, "other"),
+]
 RAW_IOP = [([0.0, 1.0, 0.0, 0.0, 0.0, -1.0], "sagittal"), ([1.0, 0.0, 0.0, 0.0, 0.0, -1.0], "coronal"), ([1.0, 0.0, 0.0, 0.0, 1.0, 0.0], "axial"), ([1.0, 0.0, 0.0, 1.0, 0.0, 0.0], "unknown")]
-RAW_SIDES = [("l", None, None), (None, "R", None), (None, None, "LEFT KNEE"), (None, "x", "right"), (None, None, None), ("", "", "KNEE")]
+RAW_SIDES = [("l", None, None), ("Left ", "R", None), (None, "RIGHT", "left"), ("leftish", None, None), (None, "R", None), (None, None, "LEFT KNEE"), (None, "x", "right"), (None, None, None), ("", "", "KNEE")]
 
 
 def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,22 @@ def test_no_reply_is_an_error(spark):
     assert got == [0.0, None, 1.0, None, None, None, None, None, 1.0, None, None]
 
 
+def test_replies_end_where_the_object_ends(spark):
+    cases = {'{"ACL": 1}], [{"ACL": 0}': None, '{"ACL": 1}}, {{"ACL": 0}': None, '{"ACL": 1}, "x": {"ACL": 0}': None, '{"ACL": 1}} {"b": {}': None, '{"ACL": 1}] {"b": [}': None, '{"ACL": "yes\u00a0"}': 1.0, '{"ACL": "\u2003No\u3000"}': 0.0, '{"ACL": "yes\u200b"}': None, '{"\u00a0acl": 0}': 0.0, '{"ACL": "\n1"}': None, '{"ACL": "\\n1"}': 1.0, '{"x": [1, {"y": "}"}], "ACL": 1} ': 1.0}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k long, t string")
+    got = [r.y for r in rows.orderBy("k").select(replies.parse_reply(F.col("t"), ["ACL"])["ACL"].alias("y")).collect()]
+    assert dict(zip(cases, got, strict=True)) == cases
+
+
+def test_descriptions_are_read_by_words(spark):
+    from tallow.plans.views import RAW_DESCRIPTIONS
+
+    plane, contrast = series.describe(F.col("t"))
+    rows = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(RAW_DESCRIPTIONS)], "k long, t string")
+    got = [(r.t, r.p, r.c) for r in rows.select("k", "t", plane.alias("p"), contrast.alias("c")).orderBy("k").collect()]
+    assert got == RAW_DESCRIPTIONS
+
+
 def test_store_computes_once(spark, tmp_path):
     calls = []
 
