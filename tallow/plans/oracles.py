@@ -143,6 +143,18 @@ def _raw_series() -> str:
     return f"SELECT {plane} AS plane, {contrast} AS contrast, {side} AS side, coalesce({pick(V.RAW_FLUID, 0, 'l_suppkey')}, 'none') AS raw, {pick(V.RAW_FLUID, 1, 'l_suppkey')} = 'fluid' AS flag FROM lineitem"
 
 
+def _scan_headers() -> str:
+    pick = lambda rows, k: _in_turn([r[k] for r in rows], "user_id")
+    told = ["L", "L", "R", None, "R", "L", "R", None, None]
+    side = f"coalesce({_in_turn(told, 'user_id')}, CASE WHEN event_id % 101 - 50 > 20 THEN 'L' WHEN event_id % 101 - 50 < -20 THEN 'R' END)"
+    return f"SELECT event_id, coalesce({pick(V.RAW_DESCRIPTIONS, 1)}, {pick(V.RAW_IOP, 1)}) AS plane, {pick(V.RAW_DESCRIPTIONS, 2)} AS contrast, {side} AS side, (event_id % 3 + 1)::INT AS frames FROM events"
+
+
+SCAN_PIXELS = """WITH v AS (SELECT event_id, list_transform(range(6), lambda j: (event_id * 31 + ((event_id % 3 + 1) // 2 * 6 + j) * 7) % 4096) AS v FROM events),
+i AS (SELECT event_id, CASE WHEN event_id % 4 = 1 THEN list_transform(v, lambda x: list_max(v) - x) ELSE v END AS v, CASE event_id % 5 WHEN 1 THEN 0.5 WHEN 3 THEN 2 ELSE 1 END::DOUBLE AS slope, -10.0 * (event_id % 7) AS intercept FROM v)
+SELECT event_id, 6 AS size, CASE WHEN event_id % 11 <> 7 THEN v[1] * slope + intercept END::DOUBLE AS first, CASE WHEN event_id % 11 <> 7 THEN list_sum(v) * slope + 6 * intercept END::DOUBLE AS total FROM i"""
+
+
 WEIGHTS = f"SELECT col, round(greatest(0, least(1, ((CASE WHEN col = 'quality' THEN 0.94 ELSE 0.67 END)::DOUBLE - 0.5) * 2)) * 4 * p * (1 - p), 9) AS weight FROM (SELECT col, avg(label) AS p FROM ({A}) GROUP BY col)"
 TARGETS = f"""SELECT a.doc_id, a.col, coalesce(g.label, a.label) AS label, CASE WHEN coalesce(g.label, a.label) IS NULL THEN 0.0 WHEN g.label IS NOT NULL THEN 1.0 ELSE w.weight END::DOUBLE AS weight, g.label IS NOT NULL AS is_gold FROM ({A}) a JOIN ({WEIGHTS}) w USING (col) LEFT JOIN ({GOLD}) g USING (doc_id, col)"""
 COMBINED = f"""SELECT doc_id, col, CASE WHEN k = 'conflict' THEN NULL ELSE coalesce(x, y) END AS label, CASE k WHEN 'agree' THEN 1.0 WHEN 'only_a' THEN 0.6 WHEN 'only_b' THEN 0.6 ELSE 0.0 END::DOUBLE AS weight, k AS provenance
@@ -245,6 +257,8 @@ ORACLES = {
     "slice_positions": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, CASE event_id % 3 WHEN 0 THEN value * 0.5 - 2 WHEN 1 THEN event_id % 17 ELSE event_id END, event_id)::INT AS position FROM events",
     "slice_dropout": f"WITH u AS (SELECT event_id, user_id, {_uniform('4', 'user_id', 'event_id')} AS u FROM events) SELECT event_id, count(*) OVER w <= 2 OR u >= 0.3 OR (max(u) OVER w < 0.3 AND u = max(u) OVER w) AS kept FROM u WINDOW w AS (PARTITION BY user_id)",
     "slice_noise": f"SELECT event_id, round(value / 1000.0 + 0.025 * sqrt(-2 * ln(1 - {_uniform('9', 'event_id', _quoted('u'))})) * cos(2 * pi() * {_uniform('9', 'event_id', _quoted('v'))}), 6) AS noisy FROM events",
+    "scan_headers": _scan_headers(),
+    "scan_pixels": SCAN_PIXELS,
     "truthy_flags": f"SELECT raw, flag, count(*) AS n FROM ({_raw_series()}) GROUP BY raw, flag",
     "series_metadata": f"SELECT plane, contrast, count(*) AS n FROM ({_raw_series()}) GROUP BY plane, contrast",
     "laterality_histogram": f"SELECT side, count(*) AS n, round(100.0 * (SELECT count(side) FROM ({_raw_series()})) / (SELECT count(*) FROM lineitem)::DOUBLE, 9) AS pct_known FROM ({_raw_series()}) GROUP BY side",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import FINDINGS
 from ..functions.text import normalize, with_language
 from ..operators import evaluate, labels, learn, ranks, replies, series, vectors, votes
+from ..sources import scans, shared
 from ..sources.store import config_key, shard_key
 from . import views as V
 from .oracles import ORACLES as ORACLES
@@ -322,6 +323,40 @@ def slice_noise(s, d):
     return V.slices(s, d).select("event_id", F.round(series.add_noise(F.col("value") / 1000.0, 0.025, F.lit(9), F.col("event_id")), 6).alias("noisy"))
 
 
+def _with_scans(s, d, read):
+    """What `read` makes of a folder of scan files, one for each event, below its series; the files go when it is written."""
+    folder = shared.new_folder(s, "scans")
+    scans.write_scans(V.scan_rows(s, d), folder)
+    out = shared.written(read(folder), "scans-read")
+    shared.remove(s, folder)
+    return out
+
+
+@query
+def scan_headers(s, d):
+    """Planes, sides and places of slices, from headers only."""
+
+    def read(folder):
+        rows = scans.read_scans(s, folder, "path", "orientation", "position", "image_side", "side", "body_part", "frames", "description")
+        plane, contrast = series.series_kind(F.lit(None), F.lit(None), F.col("description"), F.col("orientation"))
+        side = series.laterality(F.col("image_side"), F.col("side"), F.col("body_part"), F.get("position", F.lit(0)))
+        return rows.select(V.event_of("path").alias("event_id"), plane.alias("plane"), contrast.alias("contrast"), side.alias("side"), "frames")
+
+    return _with_scans(s, d, read)
+
+
+@query
+def scan_pixels(s, d):
+    """The middle frames' samples after inversion and rescaling; null for cut files."""
+
+    def read(folder):
+        rows = scans.read_scans(s, folder, "path", "rows", "columns", "pixels")
+        total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double"))
+        return rows.select(V.event_of("path").alias("event_id"), (F.col("rows") * F.col("columns")).alias("size"), F.get("pixels", F.lit(0)).cast("double").alias("first"), total.alias("total"))
+
+    return _with_scans(s, d, read)
+
+
 @query
 def truthy_flags(s, d):
     rows = V.raw_series(s, d).select(F.coalesce("fluid", F.lit("none")).alias("raw"), series.truthy(F.col("fluid")).alias("flag"))

@@ -147,6 +147,25 @@ def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", pick(RAW_PLANES, 0, "l_linenumber").alias("plane"), pick(RAW_FLUID, 0, "l_suppkey").alias("fluid"), pick(RAW_DESCRIPTIONS, 0, "l_partkey").alias("description"), iop.alias("iop"), *sides, (F.col("l_quantity") - 25).cast("double").alias("x"))
 
 
+def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files of two by three samples in one to three frames; one in eleven lacks most of them."""
+    e, u = F.col("event_id"), F.col("user_id")
+    frames = (e % 3 + 1).cast("int")
+    values = F.transform(F.sequence(F.lit(0), frames * 6 - 1), lambda j: F.pmod(e * 31 + j * 7, F.lit(4096)).cast("int"))
+    pick = lambda rows, k: in_turn([r[k] for r in rows], u)
+    iop = F.element_at(F.array(*[F.array(*map(F.lit, v)) for v, _ in RAW_IOP]), (F.pmod(u, F.lit(len(RAW_IOP))) + 1).cast("int"))
+    return slices(spark, sf_dir).select(
+        F.concat_ws("/", F.concat(F.lit("series-"), u), F.concat(e, F.lit(".scan"))).alias("path"),
+        F.lit(2).alias("rows"), F.lit(3).alias("columns"), frames.alias("frames"), F.when(e % 11 == 7, F.slice(values, 1, 2)).otherwise(values).alias("values"),
+        F.when(e % 4 == 1, "MONOCHROME1").otherwise("MONOCHROME2").alias("photometric"), F.element_at(F.array(F.lit(0.0), F.lit(0.5), F.lit(None), F.lit(2.0), F.lit(1.0)), (e % 5 + 1).cast("int")).alias("slope"), F.when(e % 7 > 0, (e % 7 * -10).cast("double")).alias("intercept"),
+        pick(RAW_DESCRIPTIONS, 0).alias("description"), pick(RAW_SIDES, 0).alias("image_side"), pick(RAW_SIDES, 1).alias("side"), pick(RAW_SIDES, 2).alias("body_part"), iop.alias("orientation"), F.array(e % 101 - 50.0, F.lit(1.0), F.lit(2.5)).alias("position"),
+    )
+
+
+def event_of(path: str) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.scan$", 1).cast("bigint")
+
+
 def continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' scores of each cell that hardly ever tie."""
     rows = documents(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("column")) for m in ("m1", "m2") for c in COLUMNS])).alias("x")).select("doc_id", "x.*")
