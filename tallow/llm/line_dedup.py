@@ -197,5 +197,6 @@ def dedup_lines(docs: DataFrame, letters: int = LETTERS, documents: int = DOCUME
 
     with scratch(spark) as keep:
         bitmaps = materialize(keep_bitmaps(docs, letters, documents).select("doc_id", "text_hash", "keep"), "keep-bitmaps")
-        joined = keyed(docs).join(bitmaps, ["doc_id", "text_hash"], "left")
+        # texts go to their bitmaps at every size, so that a growing input doesn't change the plan
+        joined = keyed(docs).join(bitmaps.hint("merge"), ["doc_id", "text_hash"], "left")
         return keep(materialize(map_arrow(joined, run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string", "text"), "line-dedup"))
