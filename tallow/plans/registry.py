@@ -12,11 +12,12 @@ from ..functions.text import normalize, with_language
 from ..operators import evaluate, labels, learn, ranks, replies, series, vectors, votes
 from ..sources import scans, shared
 from ..sources.store import config_key, shard_key
+from . import images, oracles
 from . import views as V
-from .oracles import ORACLES as ORACLES
 from .weights import BIAS, GW, HEADS, PLANES, UW, VW
 
-QUERIES: dict = {}
+QUERIES: dict = dict(images.QUERIES)
+ORACLES = {**oracles.ORACLES, **images.ORACLES}
 PREFERENCES = ["N_O", "R_any", "any_F"]
 WINDOWS = (0.0, 0.5)
 
