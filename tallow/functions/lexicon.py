@@ -75,6 +75,22 @@ class Compartments:
 
 OSTEOARTHRITIS = Compartments()
 
+#: Parts of words that hint at a column at all, for the most that labels could reach. They are looked for in plain text.
+PROBES = {
+    "ACL": ["cruciat", "cruzado", "kreuzband", "kruisband", "capraz", r"\bacl\b", r"\blca\b", r"\bvkb\b", "σταυρ", "крест"],
+    "MCL": ["collateral", "colateral", "kollateral", "innenband", "binnenband", "yan bag", r"\bmcl\b", r"\blcm\b", "πλαγ", "колла"],
+    "Medial Meniscus": ["menisc", "menisk", "μηνισκ", "мениск"],
+    "Lateral Meniscus": ["menisc", "menisk", "μηνισκ", "мениск"],
+    "Medial OA": ["arthr", "artr", "osteo", "chondr", "kondr", "knorpel", "kraakbeen", "kikirdak", "degener", "αρθρ", "артро", "хондр"],
+    "Lateral OA": ["arthr", "artr", "osteo", "chondr", "kondr", "knorpel", "kraakbeen", "kikirdak", "degener", "αρθρ", "артро", "хондр"],
+    "PF OA": ["patell", "rotulian", "femoropat", "retropat", "chondromalac", "condromalac", "kondromalaz", "trochlea", "επιγονατ", "надколен"],
+    "Effusion": ["effusion", "derrame", "efuzyon", "erguss", "hydrops", "vocht", "fluid", "liquid", "sivi", "υγρ", "выпот", "izliv"],
+    "Synovitis": ["synov", "sinov", "υμεν", "синов"],
+    "Baker's": ["baker", "popliteal", "poplite", "cyst", "quiste", "kist", "zyste", "cyste", "κύστ", "киста"],
+    "Contusion": ["contus", "kontus", "bruise", "edema", "odem", "oedeem", "ödem", "οίδημα", "отек", "medul"],
+    "Fracture": ["fractur", "fraktur", "kirik", "breuk", "bruch", "κάταγμα", "перелом", "prijelom"],
+}
+
 #: Words that tell languages apart by how many distinct ones a text has.
 LANGUAGE_WORDS = {
     "en": "the and of with is are no there in to for this that".split(),

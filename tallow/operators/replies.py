@@ -12,9 +12,28 @@ MOST_CHARS = 6000
 BATCH = 8
 
 
-def build_prompt(text: Column, columns: list[str]) -> Column:
+#: What each finding means, and what is easily taken for it.
+DESCRIPTIONS = {
+    "ACL": "partial or complete tear of the anterior cruciate ligament",
+    "MCL": "sprain or tear of the medial collateral ligament",
+    "Medial Meniscus": "tear of the medial meniscus; degeneration alone is none",
+    "Lateral Meniscus": "tear of the lateral meniscus; degeneration alone is none",
+    "Medial OA": "arthrosis or loss of cartilage between femur and tibia on the medial side",
+    "Lateral OA": "arthrosis or loss of cartilage between femur and tibia on the lateral side",
+    "PF OA": "arthrosis or loss of cartilage behind the patella or in the trochlea; a medial facet of the patella belongs here",
+    "Effusion": "too much fluid in the joint",
+    "Synovitis": "inflamed or thickened synovium",
+    "Baker's": "cyst in the hollow of the knee",
+    "Contusion": "bruised bone, or marrow edema after an injury",
+    "Fracture": "any fracture, stress and avulsion fractures too",
+}
+
+
+def build_prompt(text: Column, columns: list[str], descriptions: dict[str, str] = DESCRIPTIONS) -> Column:
+    """The question about a report, with a line for each finding and what it means, where that is known."""
     head = "Read the report and answer with one JSON object. For each finding give 1 (present), 0 (absent) or null (not stated).\nFindings:\n"
-    return F.concat(F.lit(head + "".join(f"- {c}\n" for c in columns) + "Report:\n"), F.substring(F.coalesce(text, F.lit("")), 1, MOST_CHARS))
+    told = "".join(f"- {c}: {descriptions[c]}\n" if c in descriptions else f"- {c}\n" for c in columns)
+    return F.concat(F.lit(head + told + "Report:\n"), F.substring(F.coalesce(text, F.lit("")), 1, MOST_CHARS))
 
 
 #: The words that count as an answer.

@@ -194,6 +194,13 @@ def series_coverage(studies: DataFrame, rows: DataFrame, preferences: list[str],
     return wide.select(F.explode(F.array(*[F.struct(F.lit(p).alias("preference"), F.col(f"h{k}").alias("hits"), F.col("total").alias("total")) for k, p in enumerate(preferences)])).alias("s")).select("s.*")
 
 
+def required_studies(required: DataFrame, rows: DataFrame, study: str = "study") -> DataFrame:
+    """required, resolved, missing in one row: ids asked for (repeated ones count each time), those with a series that can be picked (any will do), and those without a row in the table of series."""
+    have = rows.groupBy(study).agg(F.count(F.when(F.col("uid").isNotNull(), 1)).alias("_series"))
+    joined = required.select(study).join(have, study, "left")
+    return joined.agg(F.count("*").alias("required"), F.count_if(F.col("_series") > 0).alias("resolved"), F.count_if(F.col("_series").isNull()).alias("missing"))
+
+
 def slice_count_profile(counts: DataFrame, limits: tuple[int, ...] = (12, 16, 20, 24, 32)) -> DataFrame:
     n = F.col("n")
     shares = [F.avg((n <= k).cast("double")).alias(f"le_{k}") for k in limits]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import window_indices
+
 
 def dot(x: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
@@ -57,3 +59,18 @@ def linear_head(pooled: DataFrame, key: str, weights: dict[str, list[float]], bi
 def offset_average(cells: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mean probability over test-time offsets."""
     return cells.groupBy(key, "column").agg((F.sum("p") / F.count_distinct("offset")).alias("p"))
+
+
+def window_scores(slices: DataFrame, study: str, series: str, order: list[str], x: str, n: int, offsets: list[float], slice_score: Callable[[Column], Column], series_score: Callable[[Column], Column], weights: dict[str, list[float]], bias: dict[str, float], plane: str | None = None, embedding: DataFrame | None = None) -> DataFrame:
+    """study, column, p: the mean probability over windows of n slices at each offset (in spacings), all from one read. Each slice's attention score is worked out once; then a slice goes to every
+    window that takes it, as often as it is taken, and windows are pooled and scored side by side. A series' slices are put in order in one task."""
+    whole = Window.partitionBy(study, series)
+    kinds = [plane] if plane else []
+    placed = slices.select(study, series, *kinds, x, *[c for c in order if c not in (study, series, plane, x)], slice_score(F.col(x)).alias("_score"))
+    placed = placed.withColumns({"_at": F.row_number().over(whole.orderBy(*order)) - 1, "_n": F.count("*").over(whole).cast("int")})
+    taken = [F.struct(F.lit(float(o)).alias("offset"), F.size(F.filter(window_indices(F.col("_n"), n, o), lambda i: i == F.col("_at"))).alias("times")) for o in offsets]
+    dealt = placed.withColumn("_w", F.explode(F.array(*taken))).where("_w.times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w.times"))))
+    dealt = dealt.withColumn("_key", F.struct(F.col(study).alias("study"), F.col("_w.offset").alias("offset"))).drop("_w", "_copy", study, "_at", "_n")
+    pooled = two_level_pool(dealt, "_key", series, x, lambda _: F.col("_score"), series_score, plane, embedding)
+    cells = linear_head(pooled, "_key", weights, bias)
+    return offset_average(cells.select(F.col("_key.study").alias(study), F.col("_key.offset").alias("offset"), "column", "p"), study)

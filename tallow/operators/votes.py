@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import FINDINGS, OSTEOARTHRITIS, Compartments, Cues, Finding
+from ..functions.lexicon import FINDINGS, OSTEOARTHRITIS, PROBES, Compartments, Cues, Finding
 from ..functions.text import any_of, lines, normalize, sentences, split_clauses
 
 #: Java's Unicode classes, as texts hold Greek and Cyrillic. They are slow, and the same as the plain ones where a text is ASCII.
@@ -180,6 +180,19 @@ def mentions(text: Column, finding: Finding, extra: str = "") -> Column:
     return any_of(*[says(normalize(text), p) for p in parts])
 
 
+def mention_patterns(columns: list[str] | None = None) -> dict[str, str]:
+    """For each column a pattern of its probes and of the finding's own terms; a compartment's terms are those of arthrosis and cartilage."""
+    own = {f.column: [p for p in (f.alone, f.structure) if p] for f in FINDINGS} | {c: [OSTEOARTHRITIS.explicit, OSTEOARTHRITIS.cartilage] for c in OSTEOARTHRITIS.columns.values()}
+    return {c: "|".join([*PROBES.get(c, []), *own.get(c, [])]) for c in columns or PROBES}
+
+
+def mentioned(docs: DataFrame, columns: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, column, mentioned for every text and column: whether the text hints at the column at all. A text is put into plain form once."""
+    plain = docs.select(key, normalize(F.col(text)).alias("_plain")).withColumn("_ascii", is_ascii(F.col("_plain")))
+    cells = [F.struct(F.lit(c).alias("column"), says(F.col("_plain"), p, F.col("_ascii")).alias("mentioned")) for c, p in mention_patterns(columns).items()]
+    return plain.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
+
+
 def mention_table(cells: DataFrame) -> DataFrame:
     """From column, gold, label, mentioned: how far labels could go if every mention was read right."""
     g, m, y = F.col("gold"), F.col("mentioned"), F.col("label")

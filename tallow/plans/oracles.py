@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..functions.lexicon import FINDINGS, LANGUAGE_WORDS, OSTEOARTHRITIS, STRONG_WORDS, Cues
+from ..operators.replies import DESCRIPTIONS
+from ..operators.votes import mention_patterns
 from . import views as V
 from .weights import BIAS, DIM, GW, HEADS, PLANES, UW, VW
 
@@ -125,8 +127,15 @@ SELECT d.doc_id, d."column", a.label, a.label IS NOT NULL AS mask FROM (SELECT D
 
 
 def _mentions() -> str:
-    named = lambda f: " OR ".join(f"regexp_matches(t, '{p}')" for p in (f.alone, f.structure) if p)
-    return f"WITH r AS (SELECT {_plain('text')} AS t FROM ({REPORTS})) " + " UNION ALL ".join(f'SELECT {_quoted(f.column)} AS "column", count(*) FILTER ({named(f)}) AS n FROM r' for f in FINDINGS)
+    """doc_id, column, mentioned of the reports."""
+    cells = " UNION ALL ".join(f'SELECT doc_id, {_quoted(c)} AS "column", regexp_matches(t, {_quoted(p)}) AS mentioned FROM r' for c, p in mention_patterns().items())
+    return f"WITH r AS MATERIALIZED (SELECT doc_id, {_plain('text')} AS t FROM ({REPORTS})) {cells}"
+
+
+def _ceiling() -> str:
+    return f"""SELECT g."column", count(*) AS n_gold, count(*) FILTER (gold = 1) AS n_pos, count(*) FILTER (gold = 1 AND mentioned) / nullif(count(*) FILTER (gold = 1), 0)::DOUBLE AS mention_rate_pos, avg(mentioned::INT) AS mention_rate_all, avg((y IS NOT NULL)::INT) AS labeler_coverage,
+ count(*) FILTER (mentioned AND y = gold) / nullif(count(*) FILTER (mentioned AND y IS NOT NULL), 0)::DOUBLE AS acc_given_mention, count(*) FILTER (gold = 1 AND NOT mentioned) AS missed_unmentionable
+FROM (SELECT doc_id, "column", label AS gold, CASE WHEN doc_id % 3 > 0 THEN label END AS y FROM ({_findings()})) g JOIN ({_mentions()}) m ON m.doc_id = g.doc_id AND m."column" = g."column" WHERE gold IS NOT NULL GROUP BY ALL"""
 
 
 def _uniform(*parts: str) -> str:
@@ -200,10 +209,28 @@ z AS (SELECT label, e, unnest(range({DIM}))::INT AS dim, unnest(y) AS v FROM g),
 {heads}"""
 
 
+def _windows() -> str:
+    planes = f"([{', '.join('[' + ', '.join(map(str, v)) + ']' for _, v in sorted(PLANES.items()))}])[series % 3 + 1][dim + 1]"
+    heads = " UNION ALL ".join(f"""SELECT label, o, '{c}' AS col, 1 / (1 + exp(-(sum(value * ([{', '.join(map(str, w))}])[dim + 1]) + {BIAS[c]}))) AS p FROM p GROUP BY label, o""" for c, w in HEADS.items())
+    at = "CASE WHEN n > 1 THEN greatest(0, least(n - 1, round_even((k + o) * ((n - 1) / 4.0::DOUBLE), 0)::INT)) ELSE 0 END"
+    return f"""WITH s AS (SELECT label, vec_id % 4 AS series, embedding, {_gate()} AS s, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY label, vec_id % 4) AS n FROM embeddings WINDOW w AS (PARTITION BY label, vec_id % 4 ORDER BY vec_id)),
+w AS (SELECT label, series, o, {at} AS i FROM (SELECT DISTINCT label, series, n FROM s), range(5) AS t(k), (SELECT unnest([0.0::DOUBLE, 0.5::DOUBLE]) AS o)),
+d AS (SELECT s.*, w.o FROM s JOIN w USING (label, series, i)),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label, series, o)) AS e FROM d),
+x AS (SELECT label, series, o, e, unnest(range({DIM}))::INT AS dim, unnest(embedding)::DOUBLE AS v FROM e),
+b AS (SELECT label, series, o, dim, sum(e * v) / sum(e) + {planes} AS v FROM x GROUP BY label, series, o, dim),
+t AS (SELECT label, series, o, list(v ORDER BY dim) AS y FROM b GROUP BY label, series, o),
+u AS (SELECT *, {_gate('y')} AS s FROM t), g AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label, o)) AS e FROM u),
+z AS (SELECT label, o, e, unnest(range({DIM}))::INT AS dim, unnest(y) AS v FROM g), p AS (SELECT label, o, dim, sum(e * v) / sum(e) AS value FROM z GROUP BY label, o, dim)
+SELECT label, col AS "column", round(avg(p), 6) AS p FROM ({heads}) GROUP BY label, col"""
+
+
 FLIP = """WITH e AS (SELECT vec_id, label, list_transform(range(16), lambda k: embedding[k + 1]::DOUBLE) AS x FROM embeddings)
 SELECT vec_id, """ + ", ".join(f"round(CASE WHEN label >= 5 OR label % 4 = 3 THEN x[{k + 1}] WHEN label % 4 = 0 THEN x[{(3 - k // 4) * 4 + k % 4 + 1}] ELSE x[{k // 4 * 4 + 3 - k % 4 + 1}] END, 6) AS x{k}" for k in (0, 3, 12, 15)) + " FROM e"
 PROMPT = "Read the report and answer with one JSON object. For each finding give 1 (present), 0 (absent) or null (not stated).\nFindings:\n- quality\n- toxic\nReport:\n"
 
+FINDING_PROMPT = PROMPT.split("- quality")[0] + "".join(f"- {c}: {d}\n" for c, d in DESCRIPTIONS.items()) + "Report:\n"
+
 MENTIONED = f"regexp_matches({_plain('text')}, 'trash|{V.DEMO_FINDINGS[0].alone}')"
 SNIPPET = r"left(array_to_string(list_filter(string_split(regexp_replace(text, '([.;:\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda t: regexp_matches(" + _plain("t") + r", '\bidiot\b|\bscum\b|\bmoron\b'))[1:3], ' | '), 300)"
 
@@ -216,7 +243,8 @@ ORACLES = {
     "section_scope": _sections(),
     "finding_labels": _findings(),
     "compartment_labels": _compartments(),
-    "finding_mentions": _mentions(),
+    "finding_mentions": f'SELECT "column", count(*) FILTER (mentioned) AS n FROM ({_mentions()}) GROUP BY "column"',
+    "finding_ceiling": _ceiling(),
     "cells_with_text": f"SELECT g.doc_id, g.col AS \"column\", coalesce(length(d.text), 0)::INT AS n_chars FROM ({GOLD}) g LEFT JOIN (SELECT doc_id, text FROM documents WHERE lang = 'en') d USING (doc_id)",
     "labelled_documents": "SELECT d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND (quality IS NOT NULL OR toxic IS NOT NULL)",
     "labelled_cells": f"SELECT count(*) FILTER (weight > 0) AS labelled, count(*) AS cells FROM ({TARGETS})",
@@ -279,6 +307,9 @@ SELECT event_id, CASE WHEN hi <= lo THEN 0 ELSE round_even((greatest(least(value
     "reply_labels": f"SELECT doc_id, {_in_turn([y for _, y in V.REPLIES], 'doc_id')}::DOUBLE AS toxic FROM documents",
     "prompt_render": f"SELECT doc_id, md5(concat('{PROMPT}', left(coalesce(text, ''), 6000))) AS prompt_md5 FROM documents",
     "shard_histogram": "SELECT left(sha1(doc_id::VARCHAR), 2) AS shard, count(*) AS n FROM documents GROUP BY 1",
-    "config_keys": "SELECT left(sha1('{\"n_slices\": 16, \"size\": 224}'), 12) AS \"key\"",
+    "config_keys": """SELECT left(sha1(concat('{"n_slices": ', p_size, ', "name": "', p_brand, '", "size": ', p_partkey % 3 * 112, '}')), 12) AS "key", count(*) AS n FROM part GROUP BY 1""",
+    "required_studies": f"""WITH a AS (SELECT o_orderkey AS study FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE (-o_orderkey - 1) % 5 = 0), s AS (SELECT DISTINCT study FROM ({SERIES}) WHERE plane <> 'A')
+SELECT count(*) AS required, count(s.study) AS resolved, count(*) - count(s.study) AS missing FROM a LEFT JOIN s ON s.study = a.study""",
+    "prompt_findings": f"SELECT doc_id, md5(concat({_quoted(FINDING_PROMPT)}, left(text, 6000))) AS prompt_md5 FROM ({REPORTS})",
+    "window_scores": _windows(),
 }
-

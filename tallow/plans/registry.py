@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import FINDINGS
 from ..functions.text import normalize, with_language
 from ..operators import evaluate, labels, learn, ranks, replies, series, vectors, votes
 from ..sources import scans, shared
-from ..sources.store import config_key, shard_key
+from ..sources.store import config_key_of, shard_key
 from . import images, oracles
 from . import views as V
 from .weights import BIAS, GW, HEADS, PLANES, UW, VW
@@ -78,8 +77,16 @@ def compartment_labels(s, d):
 
 @query
 def finding_mentions(s, d):
-    named = V.reports(s, d).select(*[F.count_if(votes.mentions(F.col("text"), f)).alias(f"n{k}") for k, f in enumerate(FINDINGS)])
-    return named.select(F.explode(F.array(*[F.struct(F.lit(f.column).alias("column"), F.col(f"n{k}").alias("n")) for k, f in enumerate(FINDINGS)])).alias("x")).select("x.*")
+    """How many reports hint at each of the twelve columns."""
+    return votes.mentioned(V.reports(s, d)).groupBy("column").agg(F.count_if("mentioned").alias("n"))
+
+
+@query
+def finding_ceiling(s, d):
+    """How far labels of the twelve columns could go, with the labels of the reports' sentences as the truth."""
+    truth = votes.label_reports(V.reports(s, d)).select("doc_id", "column", F.col("label").alias("gold"))
+    both = truth.join(votes.mentioned(V.reports(s, d)), ["doc_id", "column"]).withColumn("label", F.when(F.col("doc_id") % 3 > 0, F.col("gold")))
+    return votes.mention_table(both)
 
 
 def _mentioned(s, d):
@@ -466,4 +473,29 @@ def shard_histogram(s, d):
 
 @query
 def config_keys(s, d):
-    return s.createDataFrame([(config_key({"n_slices": 16, "size": 224}),)], "key string")
+    """Keys of the configurations that parts stand for, and how many parts share each."""
+    key = config_key_of(n_slices=F.col("p_size"), name=F.col("p_brand"), size=F.col("p_partkey") % 3 * 112)
+    return V.table(s, d, "part").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+
+
+@query
+def required_studies(s, d):
+    """Orders and ids that no order has as the studies asked for, line items as series."""
+    orders = V.table(s, d, "orders").select(F.col("o_orderkey").alias("study"))
+    asked = orders.unionByName(orders.select((-F.col("study") - 1).alias("study")).where("study % 5 = 0"))
+    return series.required_studies(asked, V.series(s, d).where("plane <> 'A'"))
+
+
+@query
+def prompt_findings(s, d):
+    return V.reports(s, d).select("doc_id", F.md5(replies.build_prompt(F.col("text"), list(replies.DESCRIPTIONS))).alias("prompt_md5"))
+
+
+@query
+def window_scores(s, d):
+    """Labels as studies, four series each; windows of five slices at two offsets."""
+    rows = V.table(s, d, "embeddings").select("label", (F.col("vec_id") % 4).alias("series"), (F.col("vec_id") % 4 % 3).cast("int").alias("plane"), "vec_id", "embedding")
+    planes = s.createDataFrame([(p, k, v) for p, of in PLANES.items() for k, v in enumerate(of)], "plane int, dim int, add double")
+    score = lambda x: vectors.gate(x, VW, UW, GW)
+    out = vectors.window_scores(rows, "label", "series", ["vec_id"], "embedding", 5, list(WINDOWS), score, score, HEADS, BIAS, "plane", planes)
+    return out.withColumn("p", F.round("p", 6))

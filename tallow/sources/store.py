@@ -16,6 +16,13 @@ def config_key(config: dict) -> str:
     return hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
 
 
+def config_key_of(**fields: Column) -> Column:
+    """config_key of configurations that are rows: fields of numbers and of texts without quotes, backslashes or other signs that JSON escapes."""
+    text = lambda c: F.when(F.typeof(c) == "string", F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
+    parts = [F.concat(F.lit(f'"{n}": '), F.coalesce(text(c), F.lit("null"))) for n, c in sorted(fields.items())]
+    return F.left(F.sha1(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))), F.lit(12))
+
+
 def shard_key(key: Column) -> Column:
     return F.left(F.sha1(key.cast("string")), F.lit(2))
 
