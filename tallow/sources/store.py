@@ -6,10 +6,17 @@ import hashlib
 import json
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.utils import AnalysisException
 
+from .shared import remove, written
+
 
 def config_key(config: dict) -> str:
     """12 hex digits of the configuration's sorted JSON."""
@@ -48,6 +55,59 @@ class Store:
 
     def get(self, rows: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The stored results for rows; those that are missing are computed and appended first."""
-        made = compute(self.missing(rows))
-        made.withColumn("shard", shard_key(F.col(self.key))).write.mode("append").partitionBy("shard").parquet(self.path)
+        todo = self.missing(rows)
+        if self.read() is None or not todo.isEmpty():
+            self._append(compute(todo))
         return self.read().join(rows.select(self.key).distinct(), self.key, "left_semi").drop("shard")
+
+    def _append(self, made: DataFrame) -> None:
+        made.withColumn("shard", shard_key(F.col(self.key))).write.mode("append").partitionBy("shard").parquet(self.path)
+
+    def failures(self) -> DataFrame | None:
+        """What `build` couldn't make: key, error, at; a row for each attempt. None before the first."""
+        try:
+            return self.spark.read.parquet(f"{self.path}-failed")
+        except AnalysisException:
+            return None
+
+    def build(self, rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str, attempts: int | None = None) -> tuple[int, int]:
+        """(how many keys were made, how many failed). `work` makes the stored rows of one key (columns of `schema`, the key among them) from its input rows. A key whose work raises becomes a row of
+        `failures`; all others are stored, and the next call takes only what isn't, without those that have failed `attempts` times. What a lost task or driver had not appended is
+        worked out again."""
+        todo = self.missing(rows)
+        if attempts is not None and (bad := self.failures()) is not None:
+            todo = todo.join(bad.groupBy(self.key).count().where(F.col("count") >= attempts).select(self.key), self.key, "left_anti")
+        fields = self.spark.createDataFrame([], schema).schema
+        key, names, arrow = self.key, fields.names, to_arrow_schema(fields)
+
+        def guarded(group: pa.Table) -> pa.Table:
+            try:
+                made = work(group).select(names)
+                return made.append_column("_error", pa.nulls(made.num_rows, pa.string()))
+            except Exception as failed:  # what one key can't do is that key's row, and no other's loss
+                text = f"{type(failed).__name__}: {failed}"[:500]
+                return pa.table({n: group.column(key)[:1] if n == key else pa.nulls(1, arrow.field(n).type) for n in names} | {"_error": pa.array([text])})
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        made = written(todo.groupBy(self.key).applyInArrow(guarded, kinds + ", `_error` string"), "built")
+        good, bad = made.where("_error IS NULL").drop("_error"), made.where("_error IS NOT NULL")
+        self._append(good)
+        failed = bad.select(self.key, F.col("_error").alias("error"), F.current_timestamp().alias("at"))
+        if n := failed.count():
+            failed.write.mode("append").parquet(f"{self.path}-failed")
+        done = good.select(self.key).distinct().count()
+        for path in {f.rsplit("/", 1)[0] for f in made.inputFiles()}:
+            remove(self.spark, path)
+        return done, n
+
+
+def extract(store: Store, rows: DataFrame, x: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 64, shape: list[int] | None = None) -> DataFrame:
+    """key and features of rows, through the store: what isn't in it is computed by the encoder that `load` returns, batch by batch, and appended. The encoder is loaded once a Python worker,
+    and a second call computes nothing. A null input has null features, which are stored too."""
+    encode = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[shape] if shape else None)
+
+    def compute(missing: DataFrame) -> DataFrame:
+        some = missing.where(F.col(x).isNotNull()).select(store.key, encode(F.col(x)).alias("features"))
+        return some.unionByName(missing.where(F.col(x).isNull()).select(store.key, F.lit(None).cast("array<float>").alias("features")))
+
+    return store.get(rows.select(store.key, x), compute)
