@@ -91,18 +91,23 @@ PROBES = {
     "Fracture": ["fractur", "fraktur", "kirik", "breuk", "bruch", "κάταγμα", "перелом", "prijelom"],
 }
 
-#: Words that tell languages apart by how many distinct ones a text has.
+#: Words that tell languages apart by how many distinct ones a text has, and words that hardly any other language has, in plain form.
 LANGUAGE_WORDS = {
-    "en": "the and of with is are no there in to for this that".split(),
-    "de": "der die das und mit ist nicht ein eine von im den kein".split(),
-    "fr": "le la les des et est avec dans pas une sur pour du".split(),
-    "es": "el los las del con una por que sin se al como para".split(),
-    "it": "il lo gli della che non per sono nel dal questa anche".split(),
-    "pt": "os da das dos do com nao uma em sem pelo mais".split(),
-    "nl": "het een van met geen niet aan voor wordt zijn bij".split(),
-    "tr": "ve bir ile bu icin olarak izlenmektedir mevcut normal".split(),
-    "pl": "jest nie oraz bez przy jako widoczne".split(),
-    "hr": "je nije bez uz koja kao prisutan".split(),
+    "en": "the and is of with no there are normal left right knee joint signal intact seen within mild".split(),
+    "es": "de la el en se con los las del por un una rodilla observa signos sin articular aprecia".split(),
+    "tr": "ve ile bir olan izlenmektedir mevcut diz eklem sinyal artis yoktur seviyesinde dogal olarak bulgu".split(),
+    "de": "der die das und mit kein keine nicht im des bei kniegelenk unauffallig regelrecht nachweisbar zeigt".split(),
+    "nl": "de het een en met geen van is zijn knie gewricht normale aanwezig wordt bij geringe".split(),
+    "fr": "le la les des du avec pas une est genou articulaire sans signal aspect normale".split(),
+    "pl": "w i na nie z do jest kolana stawu obraz bez oraz widoczne prawego".split(),
+    "hr": "je se na u koljena bez sa od prikaz uredan zgloba nema lijevog desnog".split(),
+    "it": "di il la del con non ginocchio articolare che una nella presenza".split(),
+    "pt": "de da do com nao joelho articular sem que uma sinais".split(),
+}
+STRONG_WORDS = {
+    "nl": "geen knie kraakbeen gewrichtsvocht kruisband meniscus".split(),
+    "de": "kein keine kniegelenk knorpel kreuzband erguss".split(),
+    "tr": "izlenmektedir izlenmedi saptanmadi meniskus menisk eklem".split(),
+    "es": "rodilla menisco derrame ligamento observa".split(),
+    "en": "meniscus effusion ligament tear unremarkable".split(),
 }
-#: Words that hardly any other language has.
-STRONG_WORDS = {"nl": ["geen", "wordt", "kniegewricht"], "de": ["kein", "keine", "nicht"], "tr": ["izlenmektedir", "saptanmadi", "icin"], "es": ["rodilla", "observa", "sin"], "en": ["the", "there"]}

@@ -26,10 +26,13 @@ def _plain_letters() -> tuple[str, str]:
 
 
 _FROM, _TO = _plain_letters()
+#: What has no decomposition but stands for a plain letter.
+STROKES = "øđł"
 
 
-def _unmarked(text: Column) -> Column:
-    return F.regexp_replace(F.replace(F.translate(F.lower(text), _FROM, _TO), F.lit("ß"), F.lit("ss")), r"\p{M}+", "")
+def _unmarked(text: Column, strokes: bool = True) -> Column:
+    source, target = (_FROM, _TO) if strokes else ("".join(c) for c in zip(*[(a, b) for a, b in zip(_FROM, _TO, strict=True) if a not in STROKES], strict=True))
+    return F.regexp_replace(F.replace(F.translate(F.lower(text), source, target), F.lit("ß"), F.lit("ss")), r"\p{M}+", "")
 
 
 def normalize(text: Column) -> Column:
@@ -61,7 +64,7 @@ def sentences(text: Column) -> Column:
 
 def with_language(rows: DataFrame, text: str = "text", name: str = "language", words: dict[str, list[str]] = LANGUAGE_WORDS, strong: dict[str, list[str]] = STRONG_WORDS) -> DataFrame:
     """Adds the language: el or ru by script; else the one with most distinct function words, a strong word counting three more. 'unknown' for fewer than
-    three words, no hit, or a tie at the top. A text is cut into words once, and only the few that any language lists are kept for counting. Each step is a
+    three words, no hit, or a tie at the top. Words are runs of a to z once marks are gone; letters with strokes part them. A text is cut into words once, and only the few that any language lists are kept for counting. Each step is a
     column of its own, so that none is computed twice."""
     listed = sorted({w for of in (*words.values(), *strong.values()) for w in of})
     foreign = F.col("_plain").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")
@@ -70,7 +73,7 @@ def with_language(rows: DataFrame, text: str = "text", name: str = "language", w
     scores = F.array(*[F.struct((hits(w) + 3 * hits(strong.get(k, []))).alias("n"), F.lit(k).alias("lang")) for k, w in words.items()])
     top, second = F.col("_ranked")[0], F.col("_ranked")[1]
     by_words = F.when((F.col("_n") < 3) | (top["n"] == 0) | (top["n"] == second["n"]), "unknown").otherwise(top["lang"])
-    out = rows.withColumn("_plain", _unmarked(F.coalesce(F.col(text), F.lit(""))))
+    out = rows.withColumn("_plain", _unmarked(F.coalesce(F.col(text), F.lit("")), strokes=False))
     out = out.withColumns({"_words": F.split("_plain", "[^a-z]+"), "_greek": count(r"\p{IsGreek}"), "_cyrillic": count(r"\p{IsCyrillic}"), "_latin": count(r"\p{IsLatin}")})
     # an empty part is first or last, so five parts show whether there are three words
     out = out.withColumns({"_n": F.size(F.filter(F.slice("_words", 1, 5), lambda w: w != "")), "_listed": F.array_intersect("_words", F.array(*map(F.lit, listed)))})

@@ -54,6 +54,13 @@ def auc(cells: DataFrame, *by: str) -> DataFrame:
     return sums_below(bins, list(by), "p", ["neg"]).groupBy(*by).agg((F.sum("pos") + F.sum("neg")).alias("n"), F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
+def bce_cells(cells: DataFrame) -> DataFrame:
+    """Adds loss: each cell's weighted cross entropy of its logit x against y; 0 where the weight is 0, whatever y is."""
+    x, w = F.col("x"), F.coalesce(F.col("w").cast("double"), F.lit(0.0))
+    y = F.when(w > 0, F.coalesce(F.nanvl(F.col("y").cast("double"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    return cells.withColumn("loss", w * (F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))))
+
+
 def masked_bce(cells: DataFrame, *by: str) -> DataFrame:
     """Weighted cross entropy of logits x against y: sum over max(sum of weights, 1); y null counts as 0, with whatever weight it has."""
     x, y, w = F.col("x"), F.coalesce("y", F.lit(0.0)), F.col("w")

@@ -86,3 +86,14 @@ def labelled_cells(targets: DataFrame) -> DataFrame:
 def missing_targets(found: list[str], expected: list[str]) -> list[str]:
     """The expected target columns that a table lacks, in their order."""
     return [c for c in expected if c not in set(found)]
+
+
+def first_seen(*parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, part: each key of several tables once, with the number of the first table that has it."""
+    rows = [p.select(key, F.lit(k).alias("part")) for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, rows).groupBy(key).agg(F.min("part").alias("part"))
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """A sample: the first n rows in order. Each task keeps n at most."""
+    return rows.orderBy(*order).limit(n)

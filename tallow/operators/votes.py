@@ -124,10 +124,15 @@ def long_labels(votes: DataFrame, columns: list[str], key: str = "doc_id") -> Da
 
 def label_findings(docs: DataFrame, findings: list[Finding] = FINDINGS, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, column, label of texts with at least one clause."""
+    return long_labels(finding_votes(docs, findings, cues, key, text), [f.column for f in findings], key)
+
+
+def finding_votes(docs: DataFrame, findings: list[Finding] = FINDINGS, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, v0, v1, ...: a row a clause with its vote on each finding."""
     clauses = with_places(clauses_of(docs, cues, key, text), findings)
     there = [F.col(f"_alone{k}") if f.alone else F.lit(False) for k, f in enumerate(findings)] + [F.col(f"_at{k}") > 0 for k, f in enumerate(findings) if f.structure]
     clauses = with_flags(clauses, cues, any_of(*there))
-    return long_labels(clauses.select(key, *[vote(f, k).alias(f"v{k}") for k, f in enumerate(findings)]), [f.column for f in findings], key)
+    return clauses.select(key, *[vote(f, k).alias(f"v{k}") for k, f in enumerate(findings)])
 
 
 def compartment(text: Column, spec: Compartments) -> Column:
@@ -150,6 +155,11 @@ def scoped_lines(docs: DataFrame, spec: Compartments = OSTEOARTHRITIS, key: str
 
 def label_compartments(docs: DataFrame, spec: Compartments = OSTEOARTHRITIS, cues: Cues = Cues(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, column, label of the columns that sections decide."""
+    return long_labels(compartment_votes(docs, spec, cues, key, text), list(spec.columns.values()), key)
+
+
+def compartment_votes(docs: DataFrame, spec: Compartments = OSTEOARTHRITIS, cues: Cues = Cues(), key: str = "doc_id", text: str = "text", first: int = 0) -> DataFrame:
+    """key and a vote for each of the compartments' columns, named from v<first> on: a row a clause."""
     body = scoped_lines(docs, spec, key, text).where("NOT is_header")
     rows = body.select(key, "section", F.explode(split_clauses(F.replace(F.col("line"), F.lit(":"), F.lit(" ")), U + cues.clause_ends)).alias("clause"))
     c = F.col("clause")
@@ -160,17 +170,16 @@ def label_compartments(docs: DataFrame, spec: Compartments = OSTEOARTHRITIS, cue
     sure = ~(says(c, spec.uncertainty) | (neg & says(c, cues.significance)))
     kind = F.when(harmed, F.when(sure, F.when(neg, "neg").otherwise("pos"))).when(cartilage & says(c, spec.intact) & sure, "neg")
     where = F.when(kind.isNotNull(), F.coalesce(compartment(c, spec), "section"))
-    names = list(spec.columns)
     votes = rows.select(key, kind.alias("kind"), where.alias("at"))
-    return long_labels(votes.select(key, *[F.when(F.col("at") == n, F.col("kind")).alias(f"v{k}") for k, n in enumerate(names)]), [spec.columns[n] for n in names], key)
+    return votes.select(key, *[F.when(F.col("at") == n, F.col("kind")).alias(f"v{first + k}") for k, n in enumerate(spec.columns)])
 
 
 def label_reports(docs: DataFrame, key: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Labels of every text and column, null where a text says nothing: key, column, label, mask."""
     names = [*(f.column for f in FINDINGS), *OSTEOARTHRITIS.columns.values()]
-    cells = docs.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, names))).alias("column"))
-    found = label_findings(docs, key=key, text=text).unionByName(label_compartments(docs, key=key, text=text))
-    out = cells.join(found, [key, "column"], "left").withColumn("mask", F.col("label").isNotNull())
+    # clauses of both kinds and a row for each text meet in one aggregation
+    votes = finding_votes(docs, key=key, text=text).unionByName(compartment_votes(docs, key=key, text=text, first=len(FINDINGS)), allowMissingColumns=True)
+    out = long_labels(votes.unionByName(docs.select(key), allowMissingColumns=True), names, key).withColumn("mask", F.col("label").isNotNull())
     return out.where(F.col("column").isin(columns)) if columns else out
 
 

@@ -38,7 +38,7 @@ def _words(words: list[str]) -> str:
 
 
 def _detected() -> str:
-    fold = "replace(replace(replace(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'ı', 'i'), 'ø', 'o'), 'đ', 'd'), 'ł', 'l')"
+    fold = "replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'ı', 'i')"
     hits = [f"len(list_intersect(list_distinct(t), {_words(w)})) + {f'3 * len(list_intersect(list_distinct(t), {_words(STRONG_WORDS[k])}))' if k in STRONG_WORDS else 0}" for k, w in LANGUAGE_WORDS.items()]
     pairs = ", ".join(f"{{'n': {h}, 'lang': '{k}'}}" for h, k in zip(hits, LANGUAGE_WORDS, strict=True))
     return f"""SELECT doc_id, lang, CASE WHEN len(t) < 3 OR best = 0 OR len(top) > 1 THEN 'unknown' ELSE top[1].lang END AS detected FROM (
@@ -302,6 +302,9 @@ SELECT event_id, CASE WHEN hi <= lo THEN 0 ELSE round_even((greatest(least(value
     "attention_pool": _attention(),
     "two_level_pool": _two_levels(),
     "weighted_bce": f"SELECT \"column\", round(sum(w * l), 6) AS loss_sum, round(sum(w * l) / greatest(sum(w), 1), 9) AS loss_mean FROM (SELECT t.col AS \"column\", weight AS w, greatest(x, 0) - x * coalesce(label, 0) + ln(1 + exp(-abs(x))) AS l FROM ({TARGETS}) t JOIN (SELECT doc_id, col, p * 4 - 2 AS x FROM ({SCORED}) WHERE model = 'm1') USING (doc_id, col)) GROUP BY \"column\"",
+    "bce_cells": f"SELECT doc_id, t.col AS \"column\", round(weight * (greatest(x, 0) - x * CASE WHEN weight > 0 THEN coalesce(label, 0) ELSE 0 END + ln(1 + exp(-abs(x)))), 9) AS loss FROM ({TARGETS}) t JOIN (SELECT doc_id, col, p * 4 - 2 AS x FROM ({SCORED}) WHERE model = 'm1') USING (doc_id, col)",
+    "first_reports": f"SELECT doc_id, md5(text) AS text_md5 FROM ({REPORTS}) ORDER BY doc_id LIMIT 200",
+    "train_then_validation": f"SELECT doc_id, min(part)::INT AS part FROM (SELECT doc_id, 0 AS part FROM ({A}) WHERE col = 'toxic' AND label IS NOT NULL UNION ALL SELECT doc_id, 1 FROM ({GOLD}) WHERE label IS NOT NULL) GROUP BY doc_id",
     "prediction_spread": f"SELECT col AS \"column\", round(stddev_pop(p), 9) AS std, stddev_pop(p) < 0.001 AS collapsed FROM ({SCORED}) WHERE model = 'm1' GROUP BY col",
     "json_reply_parse": "SELECT event_id, CASE json_type(props, '$.k') WHEN 'VARCHAR' THEN CASE lower(trim(json_extract_string(props, '$.k'))) WHEN '1' THEN 1 WHEN 'true' THEN 1 WHEN 'yes' THEN 1 WHEN 'present' THEN 1 WHEN '0' THEN 0 WHEN 'false' THEN 0 WHEN 'no' THEN 0 WHEN 'absent' THEN 0 END WHEN 'BOOLEAN' THEN (json_extract_string(props, '$.k') = 'true')::INT ELSE CASE WHEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) IN (0, 1) THEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) END END::DOUBLE AS k FROM events",
     "reply_labels": f"SELECT doc_id, {_in_turn([y for _, y in V.REPLIES], 'doc_id')}::DOUBLE AS toxic FROM documents",

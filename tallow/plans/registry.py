@@ -11,12 +11,12 @@ from ..functions.text import normalize, with_language
 from ..operators import evaluate, labels, learn, ranks, replies, series, vectors, votes
 from ..sources import scans, shared
 from ..sources.store import config_key_of, shard_key
-from . import images, oracles
+from . import images, oracles, studies
 from . import views as V
 from .weights import BIAS, GW, HEADS, PLANES, UW, VW
 
-QUERIES: dict = dict(images.QUERIES)
-ORACLES = {**oracles.ORACLES, **images.ORACLES}
+QUERIES: dict = {**images.QUERIES, **studies.QUERIES}
+ORACLES = {**oracles.ORACLES, **images.ORACLES, **studies.ORACLES}
 PREFERENCES = ["N_O", "R_any", "any_F"]
 WINDOWS = (0.0, 0.5)
 
@@ -445,6 +445,25 @@ def weighted_bce(s, d):
     return evaluate.masked_bce(cells, "column").select("column", F.round("loss_sum", 6).alias("loss_sum"), F.round("loss_mean", 9).alias("loss_mean"))
 
 
+@query
+def bce_cells(s, d):
+    cells = _targets(s, d).join(V.scored(s, d).where("model = 'm1'"), ["doc_id", "column"])
+    cells = cells.select("doc_id", "column", (F.col("p") * 4 - 2).alias("x"), F.col("label").alias("y"), F.col("weight").alias("w"))
+    return evaluate.bce_cells(cells).select("doc_id", "column", F.round("loss", 9).alias("loss"))
+
+
+@query
+def first_reports(s, d):
+    return labels.first_rows(V.reports(s, d), 200, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def train_then_validation(s, d):
+    """Documents that the labeler labels as toxic or not, then those with gold labels that it doesn't."""
+    pseudo = V.rule_a(s, d).where("column = 'toxic' AND label IS NOT NULL")
+    return labels.first_seen(pseudo, V.gold(s, d).where("label IS NOT NULL"))
+
+
 @query
 def prediction_spread(s, d):
     return evaluate.spread(V.scored(s, d).where("model = 'm1'")).withColumn("std", F.round("std", 9))

@@ -61,7 +61,8 @@ class Store:
         return self.read().join(rows.select(self.key).distinct(), self.key, "left_semi").drop("shard")
 
     def _append(self, made: DataFrame) -> None:
-        made.withColumn("shard", shard_key(F.col(self.key))).write.mode("append").partitionBy("shard").parquet(self.path)
+        # shards are gathered first, and large ones split, so that files are neither many nor huge
+        made.withColumn("shard", shard_key(F.col(self.key))).hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
 
     def failures(self) -> DataFrame | None:
         """What `build` couldn't make: key, error, at; a row for each attempt. None before the first."""

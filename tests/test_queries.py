@@ -23,8 +23,8 @@ def db(sf):
     return con
 
 
-#: Fitted by iteration; tested in test_operators.
-WITHOUT_SQL = {"fold_models"}
+#: Fitted by iteration; tested in test_operators and test_heads.
+WITHOUT_SQL = {"fold_models", "head_models"}
 
 
 def test_every_other_query_has_sql():
