@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches_of, bound_arrow, map_arrow, materialize, only, scratch, signed
+from .common import Words, batches_of, bound_arrow, map_arrow, materialize, only, signed
 
 #: Words with vectors of their own, for each cube root of the training tokens.
 GROWTH = 8

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches_of, bound_arrow, materialize, new_path, only
+from .common import as_bytes, batches_of, bound_arrow, materialize, new_path, only, remove_path
 
 MIN_BYTES = 0
 #: Bytes of an archive before its task begins another, and of a reader's range.
@@ -47,6 +47,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     digests = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("html").alias("d"))
     firsts = digests.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written first, so that the many copies of one payload can be split in the join
+    firsts = materialize(firsts, "warc-firsts")
     copies = materialize(digests.join(firsts, "d").where("page_id <> refers_to").select("page_id", "refers_to", "d").distinct(), "warc-copies")
     keyed = rows.withColumn("d", F.sha1("html"))
     return keyed.join(copies, ["page_id", "d"], "left").select("page_id", "url", "html", "refers_to")
@@ -261,10 +263,14 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes the pages as archives and reads them back."""
+    """Writes the pages as archives, reads them back and removes them."""
     spark: SparkSession = pages.sparkSession
-    manifest = write_archives(with_revisits(pages, min_bytes), new_path(spark, "warc"))
-    back = materialize(read_archives(manifest), "warc-records")
-    if lost := missing_records(manifest, back):
-        raise ValueError(f"{lost} records of the manifest were not read back")
+    folder = new_path(spark, "warc")
+    try:
+        manifest = write_archives(with_revisits(pages, min_bytes), folder)
+        back = materialize(read_archives(manifest), "warc-records")
+        if lost := missing_records(manifest, back):
+            raise ValueError(f"{lost} records of the manifest were not read back")
+    finally:
+        remove_path(spark, folder)
     return back

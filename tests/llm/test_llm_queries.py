@@ -460,3 +460,16 @@ def test_scratch(spark):
 def test_sql_names():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
     assert substring_dedup.WINDOW == 50
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op3_warc", "op9_token_counts", "op12_line_dedup"])
+def test_only_the_result_stays_on_disk(spark, hostile, name):
+    import os
+
+    from tallow.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = queries.QUERIES[name](spark, hostile)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and out.inputFiles()[0].split("/")[-2] in left
