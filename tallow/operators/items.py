@@ -26,7 +26,9 @@ def volumes(slices: DataFrame, selected: DataFrame, n: int, size: int, most: int
     slices: study, uid, plane, side, height, width, values, and the columns of `order`. selected: study, uids. Slices are sampled, clipped over the series, resized, and mirrored to the target side where
     the side is known. A slot without a readable series has mask = false, no uid, an unknown plane and zeros. A series' n sampled slices meet in one row."""
     kept = slots(selected, most)
-    rows = sampled(slices.join(kept.where("mask").select("study", "uid"), ["study", "uid"], "left_semi"), ["study", "uid"], order, n)
+    ordered = [f"_o{k}" for k in range(len(order))]
+    needed = slices.select("study", "uid", "plane", "side", "height", "width", "values", *[F.col(c).alias(o) for c, o in zip(order, ordered, strict=True)])
+    rows = sampled(needed.join(kept.where("mask").select("study", "uid"), ["study", "uid"], "left_semi"), ["study", "uid"], ordered, n)
     about = rows.groupBy("study", "uid").agg(F.min("plane").alias("plane"), F.min("side").alias("side"))
     images = resize(clip_series(rows.select("study", "uid", "position", "height", "width", "values"), ["study", "uid"], "position", low, high), size)
     stacks = images.groupBy("study", "uid").agg(F.array_sort(F.collect_list(F.struct("position", "pixels"))).alias("s")).join(about, ["study", "uid"])
