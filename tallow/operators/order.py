@@ -14,13 +14,12 @@ def sums_below(bins: DataFrame, by: list[str], value: str, names: list[str], ran
     (models, columns, folds), so their ranges are broadcast: `ranges` rows a group.
 
     Quantiles cut each group's values into ranges of about one size. Sums run over the ranges first, then inside each one, in tasks of their own."""
-    infinity = F.lit(float("inf"))
     q = F.array_distinct(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000)))
-    cuts = bins.groupBy(*by).agg(q.alias("_q")).select(*by, F.explode(F.arrays_zip(F.concat(F.array(-infinity), "_q").alias("lo"), F.concat("_q", F.array(infinity)).alias("hi"))).alias("_r"))
-    cuts = cuts.select(*by, F.col("_r.lo").alias("_lo"), F.col("_r.hi").alias("_hi")).where("_lo < _hi")
-    at = F.col(value)
-    inside = (at >= F.col("_lo")) & ((at < F.col("_hi")) | (F.col("_hi") == infinity))
-    placed = bins.join(F.broadcast(cuts), by).where(inside).drop("_hi")
+    cuts = bins.groupBy(*by).agg(q.alias("_q"))
+    # the range of a value by bisection: how many cuts are at or below it
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
+    inside = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_q", at + step - 1) <= F.col(value).cast("double"), step).otherwise(0))
+    placed = bins.join(F.broadcast(cuts), by).withColumn("_lo", inside).drop("_q")
     over = lambda w, n: F.coalesce(F.sum(n).over(w), F.lit(0))
     ordered = Window.partitionBy(*by).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*by, "_lo").agg(*[F.sum(n).alias(n) for n in names])
