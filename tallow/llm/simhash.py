@@ -46,6 +46,9 @@ SIMILARITY = 0.8
 PART_SHINGLES = 8_000_000
 #: Bits of the part in a shingle's id; the other 40 are of its hash.
 PART_BITS = 24
+#: A shingle with about so many occurrences, found in a sample of one row in SAMPLE, isn't dealt to one task.
+HOT_SHINGLE = 1 << 20
+SAMPLE = 64
 PREFIX_ROWS = 1_000
 BLOCK_ROWS = 1_000
 BLOCK_SHINGLES = 300_000
@@ -401,10 +404,13 @@ def repeated_shingles(docs: DataFrame, shingle: int, total: int) -> DataFrame:
     parts = 1 << max(6, (total // PART_SHINGLES).bit_length())
     if parts > 1 << PART_BITS:
         raise ValueError(f"{total} shingles are more than ids of 64 bits can tell apart")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, shingle))
 
     def deal(b: pa.RecordBatch) -> dict:
         hashes, n, c = _distinct(b.column("text"), shingle)
         doc = np.repeat(np.arange(len(n)), n)
+        usual = ~_among(hashes, hot.value[0])[0]
+        hashes, doc = hashes[usual], doc[usual]
         part = (hashes & np.uint64(parts - 1)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, doc = part[order], doc[order]
@@ -445,8 +451,47 @@ def repeated_shingles(docs: DataFrame, shingle: int, total: int) -> DataFrame:
         cut = lambda data, width: pa.array([data[width * i : width * j] for i, j in itertools.pairwise(edges)], pa.binary())
         return pa.table({"c": pa.array(c[edges[:-1]]), "ids": cut(ids, 8), "counts": cut(n, 4)})
 
+    def own(b: pa.RecordBatch) -> dict:
+        """Each set's hot shingles, under the ids that they would have in their parts."""
+        hashes, n, c = _distinct(b.column("text"), shingle)
+        doc = np.repeat(np.arange(len(n)), n)
+        found, at = _among(hashes, hot.value[0])
+        doc, counts = doc[found], hot.value[1][at[found]].astype("<u4")
+        ids = hashes[found] >> np.uint64(PART_BITS) << np.uint64(PART_BITS) | hashes[found] & np.uint64(parts - 1)
+        edges = np.searchsorted(doc, np.arange(len(n) + 1)).tolist()
+        some = [k for k in range(len(n)) if edges[k + 1] > edges[k]]
+        cut = lambda data, width: pa.array([data[width * edges[k] : width * edges[k + 1]] for k in some], pa.binary())
+        return {"c": pa.array(c.view(np.int64)[some]), "ids": cut(ids.tobytes(), 8), "counts": cut(counts.tobytes(), 4)}
+
     dealt = map_arrow(only(docs, "text"), deal, "part int, c binary, many binary, tops binary", "text", 4 << 20)
-    return dealt.groupBy("part").applyInArrow(count, "c bigint, ids binary, counts binary")
+    repeated = dealt.groupBy("part").applyInArrow(count, "c bigint, ids binary, counts binary")
+    if not len(hot.value[0]):
+        return repeated
+    # a set's own row, once however many texts have the set
+    mine = map_arrow(only(docs, "text"), own, "c bigint, ids binary, counts binary", "text", 4 << 20).groupBy("c").agg(F.first("ids").alias("ids"), F.first("counts").alias("counts"))
+    return repeated.unionByName(mine)
+
+
+def _among(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which hashes are wanted, where they are in wanted), wanted being sorted."""
+    at = np.searchsorted(wanted, hashes)
+    at[at == len(wanted)] = 0
+    return (wanted[at] == hashes if len(wanted) else np.zeros(len(hashes), dtype=bool)), at
+
+
+def hot_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and estimated counts of the shingles that some HOT_SHINGLE rows hold, by a sample of rows. All that rests on the sample is which way a shingle goes and
+    its place in the order of rarity, not the result. They are at most the corpus' shingles divided by HOT_SHINGLE, about."""
+
+    def count(b: pa.RecordBatch) -> dict:
+        hashes, n = np.unique(_distinct(b.column("text"), shingle)[0], return_counts=True)
+        return {"h": pa.array(signed(hashes)), "n": pa.array(n.astype(np.int64))}
+
+    some = only(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
+    found = map_arrow(some, count, "h bigint, n bigint", "text").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, HOT_SHINGLE // SAMPLE)).collect()
+    h, n = np.array([r.h for r in found], dtype=np.int64).view(np.uint64), np.array([r.n for r in found], dtype=np.int64) * SAMPLE
+    order = np.argsort(h)
+    return h[order], np.minimum(n[order], (1 << 32) - 1)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -587,16 +632,26 @@ def with_roots(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return materialize(rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "simhash-rooted")
 
 
+def _cells():
+    """Where a set under a shingle meets others: cells (i, j) of two chunks, and its own side. Sets of the shingle's top component, in `inside` chunks, meet those outside of it; these, in `outside`
+    chunks, meet each other too. So rows are as many as the sets times the chunks of the others, and about the sets alone where few are outside."""
+    numbers = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    cell = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), own.alias("own"))
+    within, beyond = F.pmod(F.xxhash64("c"), "inside"), F.pmod(F.xxhash64("c"), "outside")
+    top = F.transform(numbers(F.col("outside")), lambda k: cell(-1 - within, k, F.lit(-1).cast("bigint")))
+    others = F.concat(F.transform(numbers(F.col("inside")), lambda k: cell(-1 - k, beyond, beyond)), F.transform(numbers(F.col("outside")), lambda k: cell(F.least(beyond, k), F.greatest(beyond, k), beyond)))
+    return F.when(F.col("root") == F.col("top"), top).otherwise(others)
+
+
 def pairs_across(rooted: DataFrame, possible: DataFrame, similarity: float) -> DataFrame:
     """All pairs of sets with a common shingle in rooted (h, c, n, root) whose components differ, and whose sizes and sketches allow a link."""
-    shared = rooted.groupBy("h").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    shared = materialize(shared, "simhash-shared")
-    chunks = F.ceil(F.col("many") / PREFIX_ROWS)
-    rooted = rooted.join(shared.select("h", chunks.alias("chunks")), "h").withColumn("own", F.pmod(F.xxhash64("c"), "chunks"))
-    rooted = rooted.join(possible.select("c", "alone", "sketch"), "c")
-    # every two chunks of a shingle's sets meet in one group
-    dealt = rooted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root", "alone", "sketch")
+    # of each shingle's sets, those of the component that most of them are in never meet each other
+    roots = rooted.groupBy("h", "root").agg(F.count("*").alias("many"))
+    shared = roots.groupBy("h").agg(F.sum("many").alias("many"), F.max(F.struct("many", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    chunks = lambda n: F.ceil(n / PREFIX_ROWS)
+    shared = materialize(shared.select("h", F.col("top.root").alias("top"), chunks(F.col("top.many")).alias("inside"), chunks(F.col("many") - F.col("top.many")).alias("outside")), "simhash-shared")
+    rooted = rooted.join(shared, "h").join(possible.select("c", "alone", "sketch"), "c")
+    dealt = rooted.withColumn("cell", F.explode(_cells())).select("h", "cell.i", "cell.j", "cell.own", "c", "n", "root", "alone", "sketch")
     columns = ("h", "i", "j", "own", "c", "n", "root", "alone")
     apart = (1 - similarity) / (1 + similarity)
 

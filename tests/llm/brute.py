@@ -164,6 +164,36 @@ def best_fit_decreasing(lengths, size):
     return made
 
 
+def _letter_sequences(word, letters=4, most=3, decay=0.6):
+    """(code, weight) of all gapped sequences of a word's letters; edges are letters."""
+    stands_for = dict(zip("013457@$!", "oieastasi", strict=True))
+    symbols = [27]
+    for b in word:
+        c = ord(stands_for.get(chr(b), chr(b)))
+        if chr(c).isascii() and chr(c).isalpha():
+            symbols.append((c | 32) - 96)
+        elif 0x80 <= b < 0xC0:
+            symbols.append(28 + (b & 3))
+    symbols.append(27)
+    for first in range(len(symbols)):
+        for rest in itertools.combinations(range(first + 1, min(first + letters + most, len(symbols))), letters - 1):
+            code = 0
+            for k in (first, *rest):
+                code = code << 5 | symbols[k]
+            yield code, decay ** (rest[-1] - first - letters + 1)
+
+
+def sequence_counts(word):
+    out = collections.Counter()
+    for code, w in _letter_sequences(word):
+        out[code] += w
+    return out
+
+
+def sequence_squares(word):
+    return [w * w for _, w in _letter_sequences(word)]
+
+
 def kernel_score(word, weights, letters=4, most=3, decay=0.6):
     """The normed sum over gapped sequences of letters, a sequence's weight being decay for each letter between its own; edges are letters."""
     stands_for = dict(zip("013457@$!", "oieastasi", strict=True))

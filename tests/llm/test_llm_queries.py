@@ -473,3 +473,68 @@ def test_only_the_result_stays_on_disk(spark, hostile, name):
     out = queries.QUERIES[name](spark, hostile)
     left = set(os.listdir(folder)) - before
     assert len(left) == 1 and out.inputFiles()[0].split("/")[-2] in left
+
+
+def test_the_machine_is_the_plain_kernel_machine():
+    """With all words as landmarks the machine's scores are those of a squared-hinge machine on the plain kernel matrix, found by gradient descent on the functions' values."""
+    words = [b"idiot", b"id1ot", b"i-d-i-o-t", b"idxiot", b"moron", b"mor0n", b"garden", b"gardens", b"station", b"winter", b"radio", b"more"]
+    y = np.array([1.0] * 6 + [-1.0] * 6)
+    weight = np.array([3.0, 1, 1, 1, 2, 1, 2, 1, 1, 1, 1, 2])
+    machine = toxicity.StringKernelMachine().fit(words, y, weight, landmarks=50, penalty=1e-2)
+    counts, norms = [brute.sequence_counts(w) for w in words], [math.sqrt(sum(brute.sequence_squares(w))) for w in words]
+    gram = np.array([[sum(v * d.get(k, 0.0) for k, v in c.items()) / m / n for d, n in zip(counts, norms, strict=True)] for c, m in zip(counts, norms, strict=True)])
+    # f = gram @ a + b; the loss is half the weighted squared hinge plus half the penalty times the function's norm
+    w, a, b = weight / weight.sum(), np.zeros(len(words)), 0.0
+    for _ in range(60_000):
+        slack = np.maximum(0, 1 - y * (gram @ a + b))
+        a -= 0.5 * (1e-2 * a - w * y * slack)
+        b += 0.5 * (w * y * slack).sum()
+    want = gram @ a + b
+    assert np.allclose(machine.scores(words), want, atol=5e-3)
+    assert (np.sign(machine.scores([b"idi0t", b"moooron", b"gardener"])) == [1, 1, -1]).all()
+
+
+def test_cells_meet_every_pair_across_components_once(spark):
+    """Under one shingle: sets of the top component meet those outside once, those outside meet each other, and 20,000 sets of one component with one outside are dealt once each."""
+    import itertools
+
+    from tallow.llm import simhash
+
+    sets = [(c, 1 if c < 40 else 2 + c % 3) for c in range(70)]
+    rows = spark.createDataFrame(sets, "c long, root long").withColumns({"top": F.lit(1).cast("long"), "inside": F.lit(4).cast("long"), "outside": F.lit(3).cast("long")})
+    cells = {}
+    for r in rows.select("c", "root", F.explode(simhash._cells()).alias("x")).select("c", "root", "x.*").collect():
+        cells.setdefault((r.i, r.j), []).append(r)
+    met = [frozenset((a.c, b.c)) for (i, j), group in cells.items() for a, b in itertools.combinations(group, 2) if i == j or a.own != b.own]
+    assert len(met) == len(set(met))
+    assert set(met) == {frozenset((a, b)) for (a, x), (b, y) in itertools.combinations(sets, 2) if x != 1 or y != 1}
+    many = spark.range(20_001).select(F.col("id").alias("c"), F.when(F.col("id") < 20_000, 1).otherwise(2).cast("long").alias("root"), F.lit(1).cast("long").alias("top"), F.lit(20).cast("long").alias("inside"), F.lit(1).cast("long").alias("outside"))
+    assert many.select(F.explode(simhash._cells())).count() == 20_000 + 21
+
+
+def test_hot_shingles_and_small_chunks_change_nothing(spark, monkeypatch):
+    import random
+
+    from tallow.llm import simhash
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(60)] for _ in range(5)]
+    rows = []
+    for k in range(90):
+        w = list(base[k % 5])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"v{k}"
+        rows.append((k, " ".join(["a line that very many texts begin with", *w])))
+    rows += [(200 + k, rows[3][1]) for k in range(20)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = brute.similar(rows)
+    low = {}
+    for (i, _), g in zip(rows, groups, strict=True):
+        low[g] = min(low.get(g, i), i)
+    assert 5 < len(low) < 80
+    plain = sorted(r.doc_id for r in simhash.first_of_each_group(docs, 5).collect())
+    monkeypatch.setattr(simhash, "HOT_SHINGLE", 12)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "PREFIX_ROWS", 4)
+    assert len(simhash.hot_shingles(docs, 5)[0]) > 3
+    assert sorted(r.doc_id for r in simhash.first_of_each_group(docs, 5).collect()) == plain == sorted(low.values())
