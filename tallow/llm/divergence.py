@@ -37,11 +37,12 @@ LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 
 def _letters_only(texts: pa.Array) -> pa.Array:
     """The texts with A-Z in lower case and blanks for ASCII signs that are no letters; other bytes stay, so they stay UTF-8."""
-    texts = pa.concat_arrays([texts])
     _, offsets, data = texts.buffers()
     if data is None:
         return texts
-    return pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(LETTERS[np.frombuffer(data, np.uint8)]), offset=texts.offset)
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    own = LETTERS[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]  # of these texts alone, as batches are slices
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(own))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _width(table: pa.Table) -> int:
-    return max((len(v) for v in table.column("v")), default=0)
+    return pc.max(pc.list_value_length(table.column("v"))).as_py() or 0
 
 
 class Run:
