@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, remove
 
 #: Codes of planes; the first stands for all others.
 PLANES = ("unknown", "sagittal", "coronal", "axial")
@@ -294,19 +294,22 @@ def train(items: DataFrame, shape: Shape, folds: int, c: Training = Training(),
     first, second = np.zeros_like(models), np.zeros_like(models)
     steps, step = c.epochs * c.batches, 0
     order = np.random.default_rng(c.seed)
-    for epoch in range(c.epochs):
-        losses = []
-        for batch in order.permutation(c.batches).tolist():
-            loss, weight, g = summed_gradients(rows.where(F.col("batch") == batch), shape, models, c, epoch)
-            rate, decay = rate_at(step, steps, c)
-            step += 1
-            g = g / np.maximum(weight, 1.0)[:, None]
-            losses.append(loss / np.maximum(weight, 1.0))
-            first, second = decay * first + (1 - decay) * g, 0.999 * second + 0.001 * g * g
-            moved = models * (1 - rate * c.decay) - rate * (first / (1 - decay**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            models = np.where(moves, moved, models)
-        if report is not None:
-            report.append(np.mean(losses, 0).tolist())
+    try:
+        for epoch in range(c.epochs):
+            losses = []
+            for batch in order.permutation(c.batches).tolist():
+                loss, weight, g = summed_gradients(rows.where(F.col("batch") == batch), shape, models, c, epoch)
+                rate, decay = rate_at(step, steps, c)
+                step += 1
+                g = g / np.maximum(weight, 1.0)[:, None]
+                losses.append(loss / np.maximum(weight, 1.0))
+                first, second = decay * first + (1 - decay) * g, 0.999 * second + 0.001 * g * g
+                moved = models * (1 - rate * c.decay) - rate * (first / (1 - decay**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+                models = np.where(moves, moved, models)
+            if report is not None:
+                report.append(np.mean(losses, 0).tolist())
+    finally:
+        remove(spark, path)
     return models
 
 
