@@ -46,7 +46,7 @@ SIMILARITY = 0.8
 PART_SHINGLES = 8_000_000
 #: Bits of the part in a shingle's id; the other 40 are of its hash.
 PART_BITS = 24
-#: A shingle with about so many occurrences, found in a sample of one row in SAMPLE, isn't dealt to one task.
+#: A shingle with about so many occurrences (a millionth of all, if that is more), found in a sample of one row in SAMPLE, isn't dealt to one task.
 HOT_SHINGLE = 1 << 20
 SAMPLE = 64
 PREFIX_ROWS = 1_000
@@ -404,7 +404,7 @@ def repeated_shingles(docs: DataFrame, shingle: int, total: int) -> DataFrame:
     parts = 1 << max(6, (total // PART_SHINGLES).bit_length())
     if parts > 1 << PART_BITS:
         raise ValueError(f"{total} shingles are more than ids of 64 bits can tell apart")
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, shingle))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, shingle, max(HOT_SHINGLE, total >> 20)))
 
     def deal(b: pa.RecordBatch) -> dict:
         hashes, n, c = _distinct(b.column("text"), shingle)
@@ -479,16 +479,16 @@ def _among(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (wanted[at] == hashes if len(wanted) else np.zeros(len(hashes), dtype=bool)), at
 
 
-def hot_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and estimated counts of the shingles that some HOT_SHINGLE rows hold, by a sample of rows. All that rests on the sample is which way a shingle goes and
-    its place in the order of rarity, not the result. They are at most the corpus' shingles divided by HOT_SHINGLE, about."""
+def hot_shingles(docs: DataFrame, shingle: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and estimated counts of the shingles that some `least` rows hold, by a sample of rows. All that rests on the sample is which way a shingle goes and its place
+    in the order of rarity, not the result. They are at most the corpus' shingles divided by `least`, about: a million."""
 
     def count(b: pa.RecordBatch) -> dict:
         hashes, n = np.unique(_distinct(b.column("text"), shingle)[0], return_counts=True)
         return {"h": pa.array(signed(hashes)), "n": pa.array(n.astype(np.int64))}
 
     some = only(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
-    found = map_arrow(some, count, "h bigint, n bigint", "text").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, HOT_SHINGLE // SAMPLE)).collect()
+    found = map_arrow(some, count, "h bigint, n bigint", "text").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least // SAMPLE)).collect()
     h, n = np.array([r.h for r in found], dtype=np.int64).view(np.uint64), np.array([r.n for r in found], dtype=np.int64) * SAMPLE
     order = np.argsort(h)
     return h[order], np.minimum(n[order], (1 << 32) - 1)

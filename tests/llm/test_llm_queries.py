@@ -536,5 +536,5 @@ def test_hot_shingles_and_small_chunks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_SHINGLE", 12)
     monkeypatch.setattr(simhash, "SAMPLE", 1)
     monkeypatch.setattr(simhash, "PREFIX_ROWS", 4)
-    assert len(simhash.hot_shingles(docs, 5)[0]) > 3
+    assert len(simhash.hot_shingles(docs, 5, 12)[0]) > 3
     assert sorted(r.doc_id for r in simhash.first_of_each_group(docs, 5).collect()) == plain == sorted(low.values())
