@@ -7,7 +7,6 @@ small matrix products for all images of one shape. A null image stays null.
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
