@@ -307,7 +307,7 @@ SELECT event_id, CASE WHEN hi <= lo THEN 0 ELSE round_even((greatest(least(value
     "train_then_validation": f"SELECT doc_id, min(part)::INT AS part FROM (SELECT doc_id, 0 AS part FROM ({A}) WHERE col = 'toxic' AND label IS NOT NULL UNION ALL SELECT doc_id, 1 FROM ({GOLD}) WHERE label IS NOT NULL) GROUP BY doc_id",
     "prediction_spread": f"SELECT col AS \"column\", round(stddev_pop(p), 9) AS std, stddev_pop(p) < 0.001 AS collapsed FROM ({SCORED}) WHERE model = 'm1' GROUP BY col",
     "json_reply_parse": "SELECT event_id, CASE json_type(props, '$.k') WHEN 'VARCHAR' THEN CASE lower(trim(json_extract_string(props, '$.k'))) WHEN '1' THEN 1 WHEN 'true' THEN 1 WHEN 'yes' THEN 1 WHEN 'present' THEN 1 WHEN '0' THEN 0 WHEN 'false' THEN 0 WHEN 'no' THEN 0 WHEN 'absent' THEN 0 END WHEN 'BOOLEAN' THEN (json_extract_string(props, '$.k') = 'true')::INT ELSE CASE WHEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) IN (0, 1) THEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) END END::DOUBLE AS k FROM events",
-    "reply_labels": f"SELECT doc_id, {_in_turn([y for _, y in V.REPLIES], 'doc_id')}::DOUBLE AS toxic FROM documents",
+    "reply_labels": f"SELECT doc_id, CASE WHEN y = -1 THEN CASE WHEN n_chars % 3 < 2 THEN n_chars % 3 END ELSE y END::DOUBLE AS toxic FROM (SELECT doc_id, n_chars, {_in_turn([-1 if y == V.OWN else y for _, y in V.REPLIES], 'doc_id')} AS y FROM documents)",
     "prompt_render": f"SELECT doc_id, md5(concat('{PROMPT}', left(coalesce(text, ''), 6000))) AS prompt_md5 FROM documents",
     "shard_histogram": "SELECT left(sha1(doc_id::VARCHAR), 2) AS shard, count(*) AS n FROM documents GROUP BY 1",
     "config_keys": """SELECT left(sha1(concat('{"n_slices": ', p_size, ', "name": "', p_brand, '", "size": ', p_partkey % 3 * 112, '}')), 12) AS "key", count(*) AS n FROM part GROUP BY 1""",

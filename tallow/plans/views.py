@@ -101,6 +101,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.concat_ws("\n", "text", in_turn(REPORT_LINES, F.col("doc_id"))).alias("text"))
 
 
+#: Stands for a document's own number in a reply, 0, 1 or 2, of which 2 is no answer.
+OWN = "V"
 #: Replies of a language model, and what each says of the column "toxic".
 REPLIES = [
     ('{"toxic": 1}', 1.0),
@@ -125,6 +127,9 @@ REPLIES = [
     ('{"toxic": "yes\u00a0"}', 1.0),
     ('{"\u2003TOXIC\u3000": "\u2009No\x85"}', 0.0),
     ('{"quality": {"toxic": 0}, "toxic": 1}', 1.0),
+    ('{"toxic": V}', OWN),
+    ('As asked:\n{"quality": null,\n "Toxic": "V"}\nDone.', OWN),
+    ('{"toxic": V.0, "quality": V}', OWN),
 ]
 #: Raw series metadata, and what it means: planes, fluid flags, descriptions with (plane, contrast).
 RAW_PLANES = [("Sagittal ", "sagittal"), (None, None), ("oblique", None), ("AXIAL", "axial"), ("coronal", "coronal")]
@@ -144,7 +149,7 @@ def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     iop = F.element_at(F.array(*[F.array(*map(F.lit, v)) for v, _ in RAW_IOP]), (F.pmod("l_orderkey", F.lit(len(RAW_IOP))) + 1).cast("int"))
     sides = [in_turn([r[k] for r in RAW_SIDES], F.col("l_suppkey")).alias(n) for k, n in enumerate(("image", "tag", "part"))]
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", pick(RAW_PLANES, 0, "l_linenumber").alias("plane"), pick(RAW_FLUID, 0, "l_suppkey").alias("fluid"), pick(RAW_DESCRIPTIONS, 0, "l_partkey").alias("description"), iop.alias("iop"), *sides, (F.col("l_quantity") - 25).cast("double").alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", pick(RAW_PLANES, 0, "l_linenumber").alias("plane"), pick(RAW_FLUID, 0, "l_suppkey").alias("fluid"), F.concat_ws("/", pick(RAW_DESCRIPTIONS, 0, "l_partkey"), "l_returnflag").alias("description"), iop.alias("iop"), *sides, (F.col("l_quantity") - 25).cast("double").alias("x"))
 
 
 def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
