@@ -36,7 +36,7 @@ def hostile(spark, sf, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, sf, tmp_path_factory):
     out = f"file://{tmp_path_factory.mktemp('empty')}"
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{out}/{name}.parquet")
     return out
 
