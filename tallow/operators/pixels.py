@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import normal, slice_dropout, uniform
+from .series import normal, percentiles, slice_dropout, uniform
 
 #: Images of a batch inside a task, of some 500 kB at most before resizing.
 IMAGES = 64
@@ -210,13 +210,14 @@ def clip_series(slices: DataFrame, by: list[str], order: str, low: float = 0.01,
 
     kinds = dict(slices.dtypes)
     counts = map_images(shaped, count, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", value double, n bigint").groupBy(*by, "value").agg(F.sum("n").alias("n"))
-    bounds = counts.groupBy(*by).agg(F.percentile("value", F.array(F.lit(low), F.lit(high)), F.col("n")).alias("_q"))
+    bounds = percentiles(counts, by, "value", "n", [low, high])
 
     def scale(b: pa.RecordBatch) -> dict:
         out = []
         for x, h, w, q in zip(b.column("values"), b.column("height").to_pylist(), b.column("width").to_pylist(), b.column("_q").to_pylist(), strict=True):
             v = x.values.to_numpy().astype(np.float64) if x.is_valid else np.zeros(h * w)
-            for lo, hi in (q, np.percentile(v, [100 * low, 100 * high]), (v.min(), v.max())):
+            for bounds_of in (lambda v, q=q: q, lambda v: np.percentile(v, [100 * low, 100 * high]), lambda v: (v.min(), v.max())):
+                lo, hi = bounds_of(v)
                 if hi > lo:
                     out.append(np.rint((np.clip(v, lo, hi) - lo) / (hi - lo) * 255).astype(np.uint8).tobytes())
                     break

@@ -155,3 +155,9 @@ def test_augment(spark):
             assert np.abs(got - x.ravel().astype(int)).max() <= 1 and (got == x.ravel()).mean() > 0.99
     off = pixels.augment(rows, ["series"], "slice", pixels.Augment(p=-1.0), 3, 1)
     assert {r.slice: bytes(r.pixels) for r in off.collect()} == {k: x.tobytes() for k, x in enumerate(images)}
+
+
+def test_clip_to_the_last_bit_of_a_percentile(spark):
+    """The middle value's level is 128 by the SQL's percentiles, 127 if they are off by a bit."""
+    rows = spark.createDataFrame([("s", 0, 1, 3, [6.5, 7.5, 8.5])], "series string, slice int, height int, width int, values array<float>")
+    assert list(pixels.clip_series(rows, ["series"], "slice").first().pixels) == [0, 128, 255]
