@@ -332,9 +332,10 @@ def slice_noise(s, d):
 
 
 def _with_scans(s, d, read):
-    """What `read` makes of a folder of scan files, one for each event, below its series; the files go when it is written."""
+    """What `read` makes of a folder of scan files, one for each event, below its series, packed into archives; the files go when it is written."""
     folder = shared.new_folder(s, "scans")
-    scans.write_scans(V.scan_rows(s, d), folder)
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
+    scans.write_scans(V.scan_rows(s, d).repartition(parts), folder, packed=True)
     out = shared.written(read(folder), "scans-read")
     shared.remove(s, folder)
     return out

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -91,3 +92,28 @@ def test_files_come_back(spark, tmp_path):
     headers = scans.read_scans(spark, folder, "path", "instance")
     assert headers.columns == ["path", "instance"] and headers.agg(F.sum("instance")).first()[0] == sum(range(70))
     assert scans.read_scans(spark, f"{folder}/none").count() == 0
+
+
+def test_archives_read_as_their_files(spark, tmp_path, monkeypatch):
+    """Packed files give the rows of single ones, in as few files as their number asks for; damage inside an archive stays with its file."""
+    rows = spark.range(50).selectExpr("concat('s', id % 7, '/', id, '.scan') AS path", "2 AS `rows`", "3 AS `columns`", "1 AS frames", "CASE WHEN id % 5 = 1 THEN array(1, 2) ELSE transform(sequence(0, 5), j -> cast(id + j AS int)) END AS values", "'MONOCHROME2' AS photometric", "'left' AS side").repartition(3)
+    one, packed = (f"file://{tmp_path}/{n}" for n in ("one", "packed"))
+    scans.write_scans(rows, one)
+    monkeypatch.setattr(scans, "PACKED", 10)
+    scans.write_scans(rows, packed, packed=True)
+    assert 3 <= len(list((tmp_path / "packed").iterdir())) <= 9 and all(p.name.endswith(".tar") and not p.name.startswith(".") for p in (tmp_path / "packed").iterdir())
+    for columns in (("path", "side", "frames"), ("path", "rows", "readable", "pixels")):
+        want, got = ({r.path.removeprefix(f): tuple(r)[1:] for r in scans.read_scans(spark, f, *columns).collect()} for f in (one, packed))
+        assert got == want and len(want) == 50
+    assert sum(r.pixels is None for r in scans.read_scans(spark, packed, "path", "pixels").collect()) == 10
+
+
+def test_scan_queries_write_few_files(spark, monkeypatch):
+    from tallow.plans import registry
+    from tallow.sources import shared
+
+    listed = []
+    remove = shared.remove
+    monkeypatch.setattr(shared, "remove", lambda s, path: (listed.append(sum(p.is_file() for p in Path(path.removeprefix("file://")).rglob("*"))), remove(s, path)))
+    n = registry.QUERIES["scan_pixels"](spark, "/root/testdata/sf0.001").count()
+    assert n > 500 and max(listed) < 50
