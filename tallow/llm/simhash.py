@@ -10,10 +10,11 @@ answers with a star to each local component's smallest member, so links out of a
 for one task is split into ranges of Gray rank, and the pairs of ranges that the masks don't cut off become tasks.
 Stars then shrink to components by alternating large-star and small-star rounds, each written to the shared folder.
 
-Links by similarity (first_of_each_group) are found exactly, by prefixes. Distinct shingles are counted over the distinct sets; each set's shingles
+Links by similarity (first_of_each_group) begin with the same index: sets of shingles have fingerprints, those within the bound are candidates, and what
+has the similarity by its shingles is linked. Fingerprints of sets at the similarity may differ in more bits, so the links that they miss are then found exactly, by prefixes. Distinct shingles are counted over the distinct sets; each set's shingles
 stand in order of (sets that have it, hash). Of a pair at the similarity or more, both sets hold a common shingle among their first n - ceil(similarity n) + 1.
 A shingle that one set alone has can't be shared, so only sets whose first ones reach into repeated shingles go on, with their repeated
-shingles, which also suffice to verify. In linking rounds each set meets, under each of its first shingles, the set with the largest share of repeated shingles and
+shingles, which also suffice to verify. In linking rounds after the fingerprints' each set meets, under each of its first shingles, the set with the largest share of repeated shingles and
 its neighbours in an order by hash, a number of pairs that is linear in the sets; what these link is one component. Then sets of different components under a
 shingle are compared where they are, in chunk pairs if many share it, by parity sketches: bit k is the parity of the shingles that hash to k, so the bits in which two
 sketches differ never outnumber the shingles in which the sets differ. Only pairs that this leaves possible come out, and are verified by blocks of sets that
@@ -122,15 +123,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
 
 def set_hashes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, tk (hash of the text), c (hash of its set of shingles) and n, the set's size."""
+    """doc_id, tk (hash of the text), c (hash of its set of shingles), n, the set's size, and fp, the set's fingerprint."""
     bound_arrow(docs.sparkSession)
 
     def run(b: pa.RecordBatch) -> dict:
-        _, n, c = _distinct(b.column("text"), shingle)
-        return {"doc_id": b.column("doc_id"), "tk": b.column("tk"), "c": pa.array(signed(c)), "n": pa.array(n.astype(np.int64))}
+        hashes, n, c = _distinct(b.column("text"), shingle)
+        return {"doc_id": b.column("doc_id"), "tk": b.column("tk"), "c": pa.array(signed(c)), "n": pa.array(n.astype(np.int64)), "fp": pa.array(signed(_majority(hashes, n)))}
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    return map_arrow(rows, run, "doc_id bigint, tk bigint, c bigint, n bigint", "text", 4 << 20)
+    return map_arrow(rows, run, "doc_id bigint, tk bigint, c bigint, n bigint, fp bigint", "text", 4 << 20)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -624,10 +625,17 @@ def linking_pairs(rooted: DataFrame, similarity: float, seed: int) -> DataFrame:
     return near.unionByName(central).distinct()
 
 
-def with_roots(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+def fingerprint_pairs(marked: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (x, y) of sets whose fingerprints link at the bound: the smallest sets of linked fingerprints, and each set with the smallest of its own fingerprint. marked: c, fp."""
+    firsts = materialize(marked.groupBy("fp").agg(F.min("c").alias("first")), "simhash-firsts")
+    own = marked.join(firsts, "fp").where("c <> first").select("c", "first")
+    edges = materialize(links(firsts.select("fp"), bits), "simhash-edges")
+    linked = edges.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select("x", "y").where("x <> y")
+    return linked.unionByName(own.toDF("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Adds root, the component by the links so far, as a written table."""
-    if links is None:
-        return materialize(rows.withColumn("root", F.col("c")), "simhash-rooted")
     roots = components(links).toDF("c", "root")
     return materialize(rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "simhash-rooted")
 
@@ -733,15 +741,16 @@ def verified(pairs: DataFrame, possible: DataFrame, similarity: float) -> DataFr
 
 
 def similar_sets(docs: DataFrame, sizes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of every set of shingles that has a smaller one in its group; sizes holds c and n of all distinct sets."""
+    """(node, root) of every set of shingles that has a smaller one in its group; sizes holds c, n and fp of all distinct sets."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    possible = possible_sets(repeated_shingles(docs, shingle, total), sizes, similarity)
+    possible = possible_sets(repeated_shingles(docs, shingle, total), sizes.select("c", "n"), similarity)
+    # a set without a repeated shingle among its first ones is like no other, whatever its fingerprint
+    marked = materialize(possible.select("c").join(sizes.select("c", "fp"), "c"), "simhash-marked")
+    linked = verified(fingerprint_pairs(marked), possible, similarity)
     rows = first_shingles(possible)
-    links = None
     for k in range(LINKING):
-        found = verified(linking_pairs(with_roots(rows, links), similarity, k), possible, similarity)
-        links = found if links is None else links.unionByName(found)
-    return components(links.unionByName(verified(pairs_across(with_roots(rows, links), possible, similarity), possible, similarity)))
+        linked = linked.unionByName(verified(linking_pairs(with_roots(rows, linked), similarity, k), possible, similarity))
+    return components(linked.unionByName(verified(pairs_across(with_roots(rows, linked), possible, similarity), possible, similarity)))
 
 
 def first_of_each_group(docs: DataFrame, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
@@ -751,8 +760,8 @@ def first_of_each_group(docs: DataFrame, shingle: int, similarity: float = SIMIL
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk"))
     with scratch(docs.sparkSession) as keep:
         fps = materialize(set_hashes(docs, shingle), "fingerprints")
-        sets = materialize(fps.groupBy("c").agg(first.alias("k"), F.first("n").alias("n")), "simhash-sets")
-        roots = similar_sets(docs, sets.select("c", "n"), shingle, similarity).withColumnRenamed("node", "c")
+        sets = materialize(fps.groupBy("c").agg(first.alias("k"), F.first("n").alias("n"), F.first("fp").alias("fp")), "simhash-sets")
+        roots = similar_sets(docs, sets.select("c", "n", "fp"), shingle, similarity).withColumnRenamed("node", "c")
         chosen = sets.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tk").alias("_k"))
         rows = fps.groupBy(F.col("doc_id").alias("_i"), F.col("tk").alias("_t")).agg(F.count("*").alias("_n"))
         kept = keep(materialize(chosen.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_t"))).select("_id", "_k", "_n"), "simhash-kept"))

@@ -538,3 +538,34 @@ def test_hot_shingles_and_small_chunks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PREFIX_ROWS", 4)
     assert len(simhash.hot_shingles(docs, 5, 12)[0]) > 3
     assert sorted(r.doc_id for r in simhash.first_of_each_group(docs, 5).collect()) == plain == sorted(low.values())
+
+
+def test_near_duplicates_begin_with_fingerprints(spark, monkeypatch):
+    """Near copies of long texts are linked through fingerprints; what these miss is found by the exact step."""
+    import random
+
+    from tallow.llm import simhash
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(400)] for _ in range(6)]
+    rows = [(k, " ".join(base[k % 6][:-1] + [f"v{k}"])) for k in range(24)]
+    short = [f"s{k}" for k in range(60)]
+    rows += [(100 + k, " ".join(short[:k] + [f"x{k}"] + short[k:])) for k in (0, 30, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    plain = simhash.fingerprint_pairs
+
+    def spied(marked):
+        out = simhash.materialize(plain(marked), "spied")
+        seen.append((marked.select("c").collect(), {(r.x, r.y) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", spied)
+    low = {}
+    for (i, _), g in zip(rows, brute.similar(rows), strict=True):
+        low[g] = min(low.get(g, i), i)
+    assert sorted(r.doc_id for r in simhash.first_of_each_group(docs, 5).collect()) == sorted(low.values())
+    sets = {r.doc_id: r.c for r in simhash.set_hashes(docs, 5).collect()}
+    (_, pairs), = seen
+    near = {tuple(sorted((sets[i], sets[j]))) for i in range(24) for j in range(i) if i % 6 == j % 6}
+    assert len(pairs & near) >= 6
