@@ -23,23 +23,47 @@ def is_ascii(text: Column) -> Column:
 
 
 def says(text: Column, pattern: str, ascii_: Column | None = None) -> Column:
-    """Whether the text has the pattern, by Unicode's classes. Where every alternative has a literal part, only texts with one of those are matched."""
-    found = F.when(is_ascii(text) if ascii_ is None else ascii_, text.rlike(pattern)).otherwise(text.rlike(U + pattern))
-    parts = literal_parts(pattern)
-    return any_of(*[text.contains(x) for x in parts]) & found if parts else found
-
-
-def literal_parts(pattern: str, least: int = 4) -> list[str]:
-    """For each top-level alternative the longest run of letters and blanks that any match holds; none at all if one of them has no run of `least` signs."""
-    depth, alternatives = 0, [""]
+    """Whether the text has the pattern, by Unicode's classes. Alternatives with a literal part are only matched against texts that hold one of their parts, long parts apart from short ones."""
+    plain = is_ascii(text) if ascii_ is None else ascii_
+    long, short, rest = [], [], []
+    for a in alternatives(pattern):
+        n = len(literal_run(a))
+        (long if n >= 4 else short if n == 3 else rest).append(a)
+    found = []
+    for group in (long, short, rest):
+        if group:
+            p = "|".join(group)
+            match = F.when(plain, text.rlike(p)).otherwise(text.rlike(U + p))
+            found.append(match if group is rest else any_of(*[text.contains(x) for x in dict.fromkeys(map(literal_run, group))]) & match)
+    return found[0] if len(found) == 1 else any_of(*found)
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The top-level alternatives of a pattern."""
+    depth, out = 0, [""]
     for token in re.findall(r"\\.|\[[^]]*\]|.", pattern, re.DOTALL):
         depth += (token == "(") - (token == ")")
         if token == "|" and not depth:
-            alternatives.append("")
+            out.append("")
         else:
-            # what stands in groups, classes and escapes isn't sure to be there
-            alternatives[-1] += token if not depth and len(token) == 1 and token != ")" else "\0"
-    runs = [max(re.findall(r"[a-z ]+(?![a-z ?*{])", a), key=len, default="") for a in alternatives]
+            out[-1] += token
+    return out
+
+
+def literal_run(alternative: str) -> str:
+    """The longest run of letters and blanks that any match of an alternative holds."""
+    depth, sure = 0, ""
+    for token in re.findall(r"\\.|\[[^]]*\]|.", alternative, re.DOTALL):
+        depth += (token == "(") - (token == ")")
+        # what stands in groups, classes and escapes isn't sure to be there
+        sure += token if not depth and len(token) == 1 and token != ")" else "\0"
+    letters = "a-z\u0370-\u03ff\u0400-\u04ff "
+    return max(re.findall(f"[{letters}]+(?![{letters}?*{{])", sure), key=len, default="")
+
+
+def literal_parts(pattern: str, least: int = 4) -> list[str]:
+    """The literal run of each top-level alternative; none at all if one of them has no run of `least` signs."""
+    runs = [literal_run(a) for a in alternatives(pattern)]
     return list(dict.fromkeys(runs)) if all(len(r) >= least for r in runs) else []
 
 

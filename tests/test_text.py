@@ -94,3 +94,17 @@ def test_language(spark):
     rows = [("the dog and the cat are in the house", "en"), ("der Hund und die Katze ist nicht da", "de"), ("Η εικόνα είναι καλή", "el"), ("Снимок сделан хорошо", "ru"), ("a b", "unknown"), (None, "unknown"), ("het is geen hond van mij", "nl")]
     got = with_language(spark.createDataFrame([(t,) for t, _ in rows], "t string"), "t", "l").collect()
     assert [r.l for r in got] == [y for _, y in rows]
+
+
+def test_other_scripts_keep_the_guard(spark):
+    """Alternatives in Greek and Cyrillic letters have literal parts too, and short or open ones don't take the guard from the rest."""
+    from tallow.operators import votes
+
+    assert votes.literal_parts(r"\bcruciat\w*|σταυρ|крест") == ["cruciat", "σταυρ", "крест"]
+    assert votes.literal_run(r"abc?d{2}\w") == "" and votes.literal_run(r"(?:tear|rupture) of acl\w*") == " of acl"
+    assert [p for p in votes.mention_patterns().values() if any(len(votes.literal_run(a)) < 3 for a in votes.alternatives(p))] == []
+    pattern = r"\bcruciat\w*|υγρ|\bx[12]\b|\b(?:an|no)\b"
+    texts = ["the cruciate", "το υγρο", "x2", "x3", "an end", "and", "", "ligament крест", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.a for r in rows.select("k", votes.says(F.col("t"), pattern).alias("a")).orderBy("k").collect()]
+    assert got == [True, True, True, False, True, False, False, False, None]
