@@ -8,7 +8,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 #: Where a clause ends: punctuation, or a contrasting conjunction.
-CLAUSE_ENDS = r"[.;:\n\r]+|,|\b(?:but|however|pero|sin embargo|ancak|fakat|aber|jedoch|maar|echter)\b"
+CLAUSE_MARKS = r"[.;:\n\r]+|,"
+CLAUSE_ENDS = CLAUSE_MARKS + r"|\b(?:but|however|pero|sin embargo|ancak|fakat|aber|jedoch|maar|echter)\b"
 
 NEGATION = r"\b(?:no|not|without|absent|none|free of|negative for|sin|ausencia|nieg\w*|descarta\w*|yok\w*|izlenme(?:di|mis|me)\w*|saptanma(?:di|mis|ma)\w*|gorulme(?:di|mis|me)\w*|rastlanma(?:di|mis|ma)\w*|mevcut degil|kein\w*|ohne|nicht|frei von|negativ|geen|zonder|niet|afwezig\w*|vrij van)\b"
 NEGATION_EXCEPTIONS = r"\b(?:non|not|no|nicht|niet)[ -]?(?:displaced|desplazad\w*|disloz\w*|disloc\w*|gedisloceerd\w*|deplase)|\bnondisplaced"

@@ -30,14 +30,24 @@ _FROM, _TO = _plain_letters()
 STROKES = "øđł"
 
 
-def _unmarked(text: Column, strokes: bool = True) -> Column:
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def unmarked(text: Column, strokes: bool = True) -> Column:
+    """Lower case without marks; a text in ASCII has none to take off."""
     source, target = (_FROM, _TO) if strokes else ("".join(c) for c in zip(*[(a, b) for a, b in zip(_FROM, _TO, strict=True) if a not in STROKES], strict=True))
-    return F.regexp_replace(F.replace(F.translate(F.lower(text), source, target), F.lit("ß"), F.lit("ss")), r"\p{M}+", "")
+    bare = F.regexp_replace(F.replace(F.translate(F.lower(text), source, target), F.lit("ß"), F.lit("ss")), r"\p{M}+", "")
+    return F.when(is_ascii(text), F.lower(text)).otherwise(bare)
 
 
 def normalize(text: Column) -> Column:
     """Lower case without marks, white space as single spaces; null is empty. Ligatures keep their form (normalize_exact opens them)."""
-    return F.regexp_replace(_unmarked(F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")
+    return squeezed(unmarked(F.coalesce(text, F.lit(""))))
+
+
+def squeezed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
 @F.pandas_udf(StringType())
@@ -49,8 +59,11 @@ def normalize_exact(text: pd.Series) -> pd.Series:
 
 def lines(text: Column) -> Column:
     """The plain form line by line; a null text has no lines."""
-    plain = F.transform(F.split(_unmarked(text), r"\R"), lambda s: F.trim(F.regexp_replace(s, r"[ \t]+", " ")))
-    return F.coalesce(plain, F.array().cast("array<string>"))
+    return F.coalesce(F.transform(F.split(unmarked(text), r"\R"), tidied), F.array().cast("array<string>"))
+
+
+def tidied(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"[ \t]+", " "))
 
 
 def split_clauses(plain: Column, ends: str = CLAUSE_ENDS) -> Column:
@@ -73,7 +86,7 @@ def with_language(rows: DataFrame, text: str = "text", name: str = "language", w
     scores = F.array(*[F.struct((hits(w) + 3 * hits(strong.get(k, []))).alias("n"), F.lit(k).alias("lang")) for k, w in words.items()])
     top, second = F.col("_ranked")[0], F.col("_ranked")[1]
     by_words = F.when((F.col("_n") < 3) | (top["n"] == 0) | (top["n"] == second["n"]), "unknown").otherwise(top["lang"])
-    out = rows.withColumn("_plain", _unmarked(F.coalesce(F.col(text), F.lit("")), strokes=False))
+    out = rows.withColumn("_plain", unmarked(F.coalesce(F.col(text), F.lit("")), strokes=False))
     out = out.withColumns({"_words": F.split("_plain", "[^a-z]+"), "_greek": count(r"\p{IsGreek}"), "_cyrillic": count(r"\p{IsCyrillic}"), "_latin": count(r"\p{IsLatin}")})
     # an empty part is first or last, so five parts show whether there are three words
     out = out.withColumns({"_n": F.size(F.filter(F.slice("_words", 1, 5), lambda w: w != "")), "_listed": F.array_intersect("_words", F.array(*map(F.lit, listed)))})

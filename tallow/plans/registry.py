@@ -84,9 +84,8 @@ def finding_mentions(s, d):
 @query
 def finding_ceiling(s, d):
     """How far labels of the twelve columns could go, with the labels of the reports' sentences as the truth."""
-    truth = votes.label_reports(V.reports(s, d)).select("doc_id", "column", F.col("label").alias("gold"))
-    both = truth.join(votes.mentioned(V.reports(s, d)), ["doc_id", "column"]).withColumn("label", F.when(F.col("doc_id") % 3 > 0, F.col("gold")))
-    return votes.mention_table(both)
+    cells = votes.labels_and_mentions(V.reports(s, d)).withColumnRenamed("label", "gold")
+    return votes.mention_table(cells.withColumn("label", F.when(F.col("doc_id") % 3 > 0, F.col("gold"))))
 
 
 def _mentioned(s, d):
