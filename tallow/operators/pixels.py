@@ -19,15 +19,18 @@ from .series import normal, percentiles, slice_dropout, uniform
 
 #: Images of a batch inside a task, of some 500 kB at most before resizing.
 IMAGES = 64
+#: Bytes of rows that are worked on at once where images keep their size, and samples of small images that are worked on in one step.
+WHOLE, SAMPLES = 1 << 22, 1 << 18
 
 
-def map_images(rows: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow over at most IMAGES rows at a time; f returns columns."""
+def map_images(rows: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, whole: bool = False) -> DataFrame:
+    """mapInArrow over at most IMAGES rows at a time, or with `whole` a batch of at most WHOLE bytes; f returns columns."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, IMAGES):
-                yield pa.RecordBatch.from_pydict(f(b.slice(at, IMAGES)))
+            step = max(b.num_rows, 1) if whole and b.nbytes <= WHOLE else IMAGES
+            for at in range(0, b.num_rows, step):
+                yield pa.RecordBatch.from_pydict(f(b.slice(at, step)))
 
     return rows.mapInArrow(run, schema)
 
@@ -47,8 +50,13 @@ def _shapes(b: pa.RecordBatch, image: str = "pixels") -> dict[tuple[int, int], l
 
 
 def _stack(b: pa.RecordBatch, at: list[int], shape: tuple[int, int], image: str = "pixels") -> np.ndarray:
-    column = b.column(image)
-    return np.stack([np.frombuffer(column[k].as_buffer(), np.uint8).reshape(shape) for k in at])
+    return np.frombuffer(b"".join(b.column(image).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), *shape)
+
+
+def _stretches(at: list[int], shape: tuple[int, int]) -> list[list[int]]:
+    """Row numbers of images of one shape in stretches of at most SAMPLES samples, or of one image."""
+    n = max(1, SAMPLES // max(1, shape[0] * shape[1]))
+    return [at[k : k + n] for k in range(0, len(at), n)]
 
 
 def _replaced(b: pa.RecordBatch, **columns) -> dict:
@@ -124,10 +132,12 @@ def turn_matrix(size: Column, degrees: Column, scale: Column, right: Column, dow
     return F.array(a, b, c - a * c - b * c + right, -b, a, c + b * c - a * c + down)
 
 
-def warped(images: np.ndarray, matrix: list[float]) -> np.ndarray:
-    """Bilinear samples of images (n, h, w), truncated to bytes; 0 outside."""
-    h, w = images.shape[1:]
-    a, b, c, d, e, f = matrix
+def warped(images: np.ndarray, matrix: list[float] | np.ndarray) -> np.ndarray:
+    """Bilinear samples of images (n, h, w), truncated to bytes; 0 outside. The matrix is one for all images, or an array (n, 6)."""
+    n, h, w = images.shape
+    own = isinstance(matrix, np.ndarray)
+    a, b, c, d, e, f = matrix.T[:, :, None, None] if own else matrix
+    k = np.arange(n)[:, None, None] if own else slice(None)
     x, y = np.meshgrid(np.arange(w) + 0.5, np.arange(h) + 0.5)
     u, v = a * x + b * y + c, d * x + e * y + f
     inside = (u >= 0) & (u < w) & (v >= 0) & (v < h)
@@ -138,29 +148,34 @@ def warped(images: np.ndarray, matrix: list[float]) -> np.ndarray:
     x0, x1 = np.clip(left, 0, w - 1), np.clip(left + 1, 0, w - 1)
     y0, y1 = np.clip(top, 0, h - 1), np.clip(top + 1, 0, h - 1)
     src = images.astype(np.float64)
-    upper = src[:, y0, x0] + (src[:, y0, x1] - src[:, y0, x0]) * dx
-    lower = src[:, y1, x0] + (src[:, y1, x1] - src[:, y1, x0]) * dx
+    upper = src[k, y0, x0] + (src[k, y0, x1] - src[k, y0, x0]) * dx
+    lower = src[k, y1, x0] + (src[k, y1, x1] - src[k, y1, x0]) * dx
     lower = np.where((top + 1 >= 0) & (top + 1 < h), lower, upper)
     return np.where(inside, upper + (lower - upper) * dy, 0.0).astype(np.uint8)
 
 
 def warp(rows: DataFrame, matrix: str = "matrix") -> DataFrame:
-    """rows with images read through `matrix` (six numbers; null: as it is); the places are worked out once for all images of a batch that share it."""
-
-    def run(b: pa.RecordBatch) -> dict:
-        out = b.column("pixels").to_pylist()
-        matrices = b.column(matrix).to_pylist()
-        for shape, at in _shapes(b).items():
+    """rows with images read through `matrix` (six numbers; null: as it is)."""
+    return map_images(rows, lambda b: _replaced(b, pixels=pa.array(_moved(b, matrix), pa.binary())), _schema(rows), whole=True)
+
+
+def _moved(b: pa.RecordBatch, matrix: str) -> list[bytes | None]:
+    """A batch's images read through their matrices: small ones all in one step, of large ones those that share a matrix."""
+    out = b.column("pixels").to_pylist()
+    matrices = b.column(matrix).to_pylist()
+    for shape, at in _shapes(b).items():
+        at = [k for k in at if matrices[k] is not None]
+        if shape[0] * shape[1] * 8 <= SAMPLES:
+            moves = [(mine, np.array([matrices[k] for k in mine])) for mine in _stretches(at, shape)]
+        else:
             by: dict[tuple, list[int]] = {}
             for k in at:
-                if matrices[k] is not None:
-                    by.setdefault(tuple(matrices[k]), []).append(k)
-            for m, mine in by.items():
-                for k, image in zip(mine, warped(_stack(b, mine, shape), list(m)), strict=True):
-                    out[k] = image.tobytes()
-        return _replaced(b, pixels=pa.array(out, pa.binary()))
-
-    return map_images(rows, run, _schema(rows))
+                by.setdefault(tuple(matrices[k]), []).append(k)
+            moves = [(mine, list(m)) for m, mine in by.items()]
+        for mine, m in moves:
+            for k, image in zip(mine, warped(_stack(b, mine, shape), m), strict=True):
+                out[k] = image.tobytes()
+    return out
 
 
 # Smooth fields
@@ -274,31 +289,59 @@ def augment(slices: DataFrame, by: list[str], order: str, config: Augment, seed:
     parameters that are drawn once a series; truncated to bytes. Series that aren't drawn stay as they are. Noise is drawn by slice, so that it doesn't depend on how rows are
     dealt out either."""
     key = [F.col(c) for c in by]
-    rows = slices.select(*by, order, "height", "width", "pixels").join(draws(slices, by, config, seed, epoch), by)
+    # what is drawn comes before the images are worked on, so that no image is worked on twice; few files would make few tasks
+    parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = slices.select(*by, order, "height", "width", "pixels").repartition(parts, *by)
+    rows = slice_dropout(rows, by, order, config.dropout, f"{seed}:{epoch}:dropout").join(draws(slices, by, config, seed, epoch), by)
     side = F.col("width")
     geometry = F.when(F.col("applied") & (F.col("height") == side), turn_matrix(side, F.col("degrees"), F.col("scale"), F.col("right") * side, F.col("down") * side))
-    rows = warp(rows.withColumn("matrix", geometry).drop("degrees", "scale", "right", "down")).drop("matrix")
+    rows = rows.withColumn("matrix", geometry).drop("degrees", "scale", "right", "down")
+
+    def bent(b: pa.RecordBatch, at: list[int], shape: tuple[int, int]) -> np.ndarray:
+        return (_stack(b, at, shape) / 255.0) ** _numbers(b, "gamma", at)
 
     def bend(b: pa.RecordBatch) -> dict:
-        bent = [(np.frombuffer(x, np.uint8) / 255.0) ** g if x is not None else np.zeros(0) for x, g in zip(b.column("pixels").to_pylist(), b.column("gamma").to_pylist(), strict=True)]
-        return _replaced(b, bent=pa.array([float(x.sum()) for x in bent]), n=pa.array([len(x) for x in bent], pa.int64()))
+        b = pa.RecordBatch.from_pydict(_replaced(b, pixels=pa.array(_moved(b, "matrix"), pa.binary())))
+        total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+        for shape, at in _shapes(b).items():
+            n[at] = shape[0] * shape[1]
+            for mine in _stretches(at, shape):
+                total[mine] = bent(b, mine, shape).reshape(len(mine), -1).sum(1)
+        return _replaced(b, bent=pa.array(total), n=pa.array(n))
 
-    rows = map_images(rows, bend, _schema(rows, ", bent double, n bigint"))
+    rows = map_images(rows, bend, _schema(rows, ", bent double, n bigint"), whole=True).drop("matrix")
     whole = Window.partitionBy(*by)  # the slices of one series
     rows = rows.withColumn("mean", F.sum("bent").over(whole) / F.sum("n").over(whole)).drop("bent", "n")
-    rows = slice_dropout(rows, by, order, config.dropout, f"{seed}:{epoch}:dropout")
     rows = rows.withColumn("noise", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{epoch}:noise"), *key, F.col(order))), 1, 15), 16, 10).cast("bigint"))
 
     def change(b: pa.RecordBatch) -> dict:
-        out = []
-        for r in b.to_pylist():
-            if r["pixels"] is None or not r["applied"]:
-                out.append(r["pixels"])
-                continue
-            x = (np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]) / 255.0) ** r["gamma"]
-            x = ((x - r["mean"]) * r["contrast"] + r["mean"] + r["brightness"]) * field(np.array(r["grid"]), r["height"], r["width"], config.field)
-            x = x + np.random.Generator(np.random.Philox(key=r["noise"])).normal(0.0, config.noise, x.shape) if r["kept"] else np.zeros_like(x)
-            out.append((np.clip(x, 0.0, 1.0) * 255.0).astype(np.uint8).tobytes())
+        out, applied = b.column("pixels").to_pylist(), b.column("applied").to_pylist()
+        kept, keys, grids = (b.column(c).to_pylist() for c in ("kept", "noise", "grid"))
+        for shape, at in _shapes(b).items():
+            fields: dict[tuple, np.ndarray] = {}
+            for mine in _stretches([k for k in at if applied[k]], shape):
+                factors = []
+                for k in mine:
+                    g = tuple(grids[k])
+                    if g not in fields:
+                        if len(fields) * shape[0] * shape[1] > SAMPLES:
+                            fields.clear()
+                        fields[g] = field(np.array(g), *shape, config.field)
+                    factors.append(fields[g])
+                mean, contrast, brightness = (_numbers(b, c, mine) for c in ("mean", "contrast", "brightness"))
+                x = ((bent(b, mine, shape) - mean) * contrast + mean + brightness) * np.stack(factors)
+                for j, k in enumerate(mine):
+                    if not kept[k]:
+                        x[j] = 0.0
+                    elif config.noise:
+                        x[j] += np.random.Generator(np.random.Philox(key=keys[k])).normal(0.0, config.noise, shape)
+                for k, image in zip(mine, (np.clip(x, 0.0, 1.0) * 255.0).astype(np.uint8), strict=True):
+                    out[k] = image.tobytes()
         return {c: b.column(c) for c in (*by, order, "height", "width")} | {"pixels": pa.array(out, pa.binary())}
 
-    return map_images(rows, change, _schema(slices.select(*by, order, "height", "width", "pixels")))
+    return map_images(rows, change, _schema(slices.select(*by, order, "height", "width", "pixels")), whole=True)
+
+
+def _numbers(b: pa.RecordBatch, column: str, at: list[int]) -> np.ndarray:
+    """Numbers of rows, a row an image."""
+    return b.column(column).to_numpy(zero_copy_only=False)[at][:, None, None]

@@ -161,3 +161,22 @@ def test_clip_to_the_last_bit_of_a_percentile(spark):
     """The middle value's level is 128 by the SQL's percentiles, 127 if they are off by a bit."""
     rows = spark.createDataFrame([("s", 0, 1, 3, [6.5, 7.5, 8.5])], "series string, slice int, height int, width int, values array<float>")
     assert list(pixels.clip_series(rows, ["series"], "slice").first().pixels) == [0, 128, 255]
+
+
+def test_small_and_large_images_by_their_own_matrices(spark):
+    """Images of a batch are read each through its own matrix, small ones in one step."""
+    sizes = [(5, 5), (5, 5), (200, 180), (5, 5), (200, 180), (3, 7)]
+    images = [RNG.integers(0, 256, s).astype(np.uint8) for s in sizes]
+    matrices = [[0.9, 0.1 * k, -0.4, -0.2, 1.1, 0.3 * k] for k in range(5)] + [None]
+    both = pixels.warped(np.stack([images[0], images[1]]), np.array(matrices[:2]))
+    assert all((both[k] == plain_warp(images[k], matrices[k])).all() for k in (0, 1))
+    rows = rows_of(spark, images).coalesce(1).join(F.broadcast(spark.createDataFrame(list(enumerate(matrices)), "slice long, matrix array<double>")), "slice")
+    got = {r.slice: bytes(r.pixels) for r in pixels.warp(rows).collect()}
+    assert all(got[k] == (pixels.warped(x[None], m)[0] if m else x).tobytes() for k, (x, m) in enumerate(zip(images, matrices, strict=True)))
+
+
+def test_augment_works_on_an_image_once(spark):
+    """Images pass one step for the warp and the mean, and one for the rest, in as many tasks as there are shuffle partitions."""
+    rows = rows_of(spark, [RNG.integers(0, 256, (4, 4)).astype(np.uint8) for _ in range(6)])
+    plan = pixels.augment(rows, ["series"], "slice", pixels.Augment(), 3, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "REPARTITION_BY_NUM" in plan
