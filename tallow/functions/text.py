@@ -30,6 +30,13 @@ _FROM, _TO = _plain_letters()
 STROKES = "øđł"
 
 
+#: For Arrow: line ends as Java's \R knows them, and marks between stretches of a text that isn't unmarked yet; line ends are white space there.
+LINE_ENDS = r"\r\n|[\n-\r\x{85}\x{2028}\x{2029}]"
+STRETCH_ENDS = "[.;:,%s]+" % "".join(a for a, b in zip(_FROM, _TO, strict=True) if b in ".;:,")
+#: The letters that each plain letter stands for, and ß, which is two of them.
+_MARKED = {c: "".join(a for a, b in zip(_FROM, _TO, strict=True) if b == c) for c in set(_TO)} | {"s": "ß" + "".join(a for a, b in zip(_FROM, _TO, strict=True) if b == "s")}
+
+
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
@@ -41,6 +48,12 @@ def unmarked(text: Column, strokes: bool = True) -> Column:
     return F.when(is_ascii(text), F.lower(text)).otherwise(bare)
 
 
+def loose(word: str) -> str:
+    """A pattern for Arrow that a text in lower case has if its unmarked form holds the word; others may have it too."""
+    letter = lambda k: f"[{word[k]}{_MARKED.get(word[k], '')}]" + "?" * (word[k - 1 : k + 1] == "ss")
+    return r"[^\x00-\x7f]*".join(map(letter, range(len(word))))
+
+
 def normalize(text: Column) -> Column:
     """Lower case without marks, white space as single spaces; null is empty. Ligatures keep their form (normalize_exact opens them)."""
     return squeezed(unmarked(F.coalesce(text, F.lit(""))))
